@@ -82,6 +82,10 @@ def ceil_log2_ratio(whole: Column, part: Column) -> Column:
     return F.when(quotient <= 1, F.lit(0)).otherwise(F.length(F.bin(quotient - 1))).cast("int")
 
 
+def power_of_two(exponent: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), exponent.cast("int"))
+
+
 def int_div(a: Column, b: Column | int) -> Column:
     """Whole quotient (towards zero) of integers without a trip through double."""
     divisor = F.lit(b).cast("bigint") if isinstance(b, int) else b
