@@ -17,7 +17,6 @@ SHEET_PATTERN = r"(?i)sheet#(\d+)"
 SHEET_MEMBER_PATTERN = r"(?i)sheet#\d+/sheet#\d+\.xml$"
 MEASURE_NUMBER_PATTERN = r"^\s*(-?\d+)\s*$"
 
-_RATIO = "struct<num:bigint,den:bigint>"
 
 
 def pitch_text(step: Column, alter: Column, octave: Column, unpitched: Column) -> Column:

@@ -13,11 +13,12 @@ def word_profiles(words: DataFrame, modulus: int = 2) -> DataFrame:
     n, k, p = F.col("n").cast("bigint"), F.col("k").cast("bigint"), F.lit(modulus).cast("bigint")
     checked = words.withColumn("metric_word", C.normalized_word(F.col("word"))).withColumn("valid", F.coalesce(C.is_metric_word(F.col("metric_word")), F.lit(False)))
     word = F.when(F.col("valid"), F.col("metric_word"))
-    ended = checked.withColumns({"n": F.length(word), "k": C.word_ones(word)})
-    return ended.select(
-        *words.columns, "metric_word", "valid", "n", "k", C.word_path(word).alias("path"), C.binomial(n, k).alias("class_size"),
-        p.alias("modulus"), C.pascal_mod(n, k, p).alias("binomial_mod"), C.lucas_mod(n, k, p).alias("lucas_mod"),
-    )
+    ended = checked.withColumns({"n": F.length(word), "k": C.word_ones(word), "path": C.word_path(word)})
+    # Sizes and residues depend on (n, k) only: one evaluation per class, not per word.
+    classes = ended.select("n", "k").filter("n IS NOT NULL").distinct().select(
+        "n", "k", C.binomial(n, k).alias("class_size"), p.alias("modulus"), C.pascal_mod(n, k, p).alias("binomial_mod"), C.lucas_mod(n, k, p).alias("lucas_mod"))
+    return ended.join(classes, ["n", "k"], "left").select(
+        *words.columns, "metric_word", "valid", "n", "k", "path", "class_size", "modulus", "binomial_mod", "lucas_mod")
 
 
 def word_classes(words: DataFrame) -> DataFrame:

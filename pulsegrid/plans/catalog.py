@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pulsegrid.plans import generic as G
+from pulsegrid.plans import generic_more as H
 from pulsegrid.plans.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +38,24 @@ QUERIES: dict[str, Query] = {
     "gcd_quantum": G.gcd_quantum,
     "anchor_chain": G.anchor_chains,
     "monotone_fill": G.fill_rows,
+    "framework_gaps": H.framework_gaps,
+    "framework_verdicts": H.framework_verdicts,
+    "register_anchors": H.register_anchors,
+    "register_stats": H.register_stats,
+    "missing_targets": H.missing_targets,
+    "branch_endpoints": H.branch_endpoints,
+    "pivot_anchors": H.pivot_anchors,
+    "wave_anchor_stats": H.wave_anchor_stats,
+    "nearest_anchor": H.nearest_anchor,
+    "top_gap_systems": H.top_gap_systems,
+    "guard_bounds": H.guard_bounds,
+    "graph_members": H.graph_members,
+    "metric_words": H.metric_words,
+    "word_classes": H.word_classes,
+    "lucas_mod": H.lucas_mod,
+    "boundary_seq": H.boundary_seq,
+    "scale_vector": H.scale_vector,
+    "quality_report": H.quality_report,
 }
 
 __all__ = ["ORACLES", "QUERIES", "Query"]

@@ -33,6 +33,14 @@ def week_meter(day: Column) -> tuple[Column, Column]:
     return num, den
 
 
+def calendar_columns(sec: Column) -> list[Column]:
+    """Day and lattice position of a second since the epoch."""
+    day = F.call_function("div", sec, F.lit(86400)).cast("int")
+    num, den = week_meter(day)
+    full = F.call_function("div", num * 4 * TPQ, den)
+    return [day.alias("measure_index"), F.call_function("div", (sec % 86400) * full, F.lit(86400)).cast("bigint").alias("offset")]
+
+
 def event_attacks(events: DataFrame) -> DataFrame:
     """Events as attacks inside their day; onsets come from the measure table."""
     sec = seconds_since_epoch()

@@ -117,7 +117,8 @@ def frac(num: str, den: str) -> str:
 
 
 def longs(*names: str) -> str:
-    return ", ".join(f'CAST({n.split(" AS ")[0]} AS BIGINT) AS "{n.split(" AS ")[-1]}"' for n in names)
+    """``expr`` or ``expr AS name``, each cast to BIGINT under its name."""
+    return ", ".join(f'CAST({n.rpartition(" AS ")[0] or n} AS BIGINT) AS "{n.rpartition(" AS ")[2]}"' for n in names)
 
 
 def with_(*parts: str) -> str:
@@ -358,3 +359,162 @@ SELECT {longs('g.score_id AS score_id', 'g.m AS measure_index', 'g.m // 7 AS lay
   g.visual_kind, t.pitches, CAST(CASE WHEN sounds THEN 1 ELSE 0 END AS BIGINT) AS analyzed
 FROM grouped g JOIN texts t ON t.score_id = g.score_id AND t.m = g.m AND t.x IS NOT DISTINCT FROM g.x AND t.okey IS NOT DISTINCT FROM g.okey AND t.visual_kind = g.visual_kind""",
 }
+
+
+FRAMEWORK = """
+active AS (
+  SELECT score_id, day, row_number() OVER (PARTITION BY score_id ORDER BY day) - 1 AS idx,
+    CASE (day // 7) % 3 WHEN 0 THEN '4/4' WHEN 1 THEN '3/4' ELSE '6/8' END AS meter, CASE WHEN (day // 7) % 3 = 0 THEN 256 ELSE 192 END AS full_ticks
+  FROM (SELECT DISTINCT score_id, sec // 86400 AS day FROM ev)
+),
+spans AS (
+  SELECT score_id, min(day) AS first_day, max(day) AS last_day, count(*) AS measures, max(day) - min(day) + 1 + CASE WHEN score_id % 7 = 0 THEN 1 ELSE 0 END AS stacks
+  FROM active GROUP BY 1
+),
+slots AS (
+  SELECT s.score_id, d.day, a.meter, a.full_ticks,
+    last_value(a.meter IGNORE NULLS) OVER (PARTITION BY s.score_id ORDER BY d.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS back,
+    first_value(a.meter IGNORE NULLS) OVER (PARTITION BY s.score_id ORDER BY d.day ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead
+  FROM spans s, LATERAL (SELECT unnest(range(s.first_day, s.last_day + 1)) AS day) d LEFT JOIN active a ON a.score_id = s.score_id AND a.day = d.day
+),
+verdict AS (
+  SELECT s.*, CASE
+    WHEN stacks <= measures THEN 'none'
+    WHEN score_id % 13 = 5 THEN 'numbering-not-numeric'
+    WHEN last_day - first_day <> stacks - 1 THEN 'numbering-does-not-cover-stacks'
+    WHEN EXISTS (SELECT 1 FROM slots t WHERE t.score_id = s.score_id AND t.meter IS NULL AND t.back <> t.ahead) THEN 'conflicting-neighbour-meters'
+    ELSE 'none' END AS rejection
+  FROM spans s
+),
+frame AS (
+  SELECT a.score_id, a.idx, CASE WHEN a.score_id % 13 = 5 THEN 'x' ELSE '' END || a.day AS measure_number, a.meter, a.full_ticks, 0 AS synthesized
+  FROM active a JOIN verdict v USING (score_id) WHERE v.rejection = 'none' AND v.stacks <= v.measures
+  UNION ALL
+  SELECT t.score_id, t.day - v.first_day, CAST(t.day AS VARCHAR), coalesce(t.meter, t.back), CASE WHEN coalesce(t.meter, t.back) = '4/4' THEN 256 ELSE 192 END, CASE WHEN t.meter IS NULL THEN 1 ELSE 0 END
+  FROM slots t JOIN verdict v USING (score_id) WHERE v.rejection = 'none' AND v.stacks > v.measures
+)
+"""
+
+ANCHORS = """
+minute_columns AS (
+  SELECT score_id, m, (sec % 86400) * full_ticks // 86400 AS off, sec % 86400 // 60 AS col, bool_or(event_type IN ('purchase', 'click', 'view')) AS attack FROM att GROUP BY 1, 2, 3, 4
+),
+taken AS (
+  SELECT score_id, m, off, max(col) AS col FROM minute_columns WHERE attack GROUP BY 1, 2, 3
+),
+heads AS (
+  SELECT t.score_id, t.m, t.off, CAST(sec % 86400 AS DOUBLE) AS x, CAST(length(event_type) AS DOUBLE) AS y, event_type AS id, t.col * 60.0 + 30.0 AS cx
+  FROM taken t JOIN att a ON a.score_id = t.score_id AND a.m = t.m AND (a.sec % 86400) * a.full_ticks // 86400 = t.off AND a.sec % 86400 // 60 = t.col
+  WHERE event_type IN ('purchase', 'click')
+),
+pos AS (SELECT score_id, m, off, arg_min({'x': x, 'y': y}, (abs(x - cx), x, y, id)) AS p FROM heads GROUP BY 1, 2, 3),
+anchored AS (
+  SELECT b.*, CASE WHEN t.col IS NOT NULL THEN b.m // 7 END AS page_index, CASE WHEN t.col IS NOT NULL THEN b.m % 7 END AS system_index, p.p.x AS px, p.p.y AS py,
+    CASE WHEN t.col IS NULL THEN 'canonical-attack-column-not-found' WHEN p.p IS NULL THEN 'exact-attacking-notehead-geometry-not-found'
+         WHEN b.m // 7 = 3 THEN 'page-dimensions-unavailable' ELSE 'mapped' END AS reason
+  FROM banded b LEFT JOIN taken t ON t.score_id = b.score_id AND t.m = b.m AND t.off = b.off LEFT JOIN pos p ON p.score_id = b.score_id AND p.m = b.m AND p.off = b.off
+),
+labels_ AS (
+  SELECT score_id, m, off, reason, lowest_level AS lv FROM anchored UNION SELECT score_id, m, off, reason, height FROM anchored
+)
+"""
+
+WORDS = """
+hour_bits AS (
+  SELECT score_id, sec // 86400 AS m, sec % 86400 // 3600 AS h, bool_or(event_type IN ('purchase', 'click')) AS lit FROM ev GROUP BY 1, 2, 3
+),
+day_words AS (
+  SELECT d.score_id, d.m, string_agg(CASE WHEN b.lit THEN 'T' ELSE 'A' END, '' ORDER BY d.h) AS word
+  FROM (SELECT score_id, m, unnest(range(0, max(h) + 1)) AS h FROM hour_bits GROUP BY 1, 2) d LEFT JOIN hour_bits b USING (score_id, m, h) GROUP BY 1, 2
+),
+sized AS (
+  SELECT *, length(word) AS n, length(replace(word, 'A', '')) AS k FROM day_words
+),
+classed AS (SELECT *, CAST(factorial(CAST(n AS INTEGER)) // (factorial(CAST(k AS INTEGER)) * factorial(CAST(n - k AS INTEGER))) AS BIGINT) AS c FROM sized)
+"""
+
+ORDER_NUMBERS = """
+nums AS (
+  SELECT o_orderkey, o_custkey, CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 2 THEN 5 ELSE 7 END AS p FROM orders
+)
+"""
+
+ORACLES |= {
+    "framework_gaps": with_(BASE, FRAMEWORK) + f"""
+SELECT {longs('score_id', 'idx AS measure_index', "split_part(meter, '/', 1) AS num", "split_part(meter, '/', 2) AS den", 'full_ticks AS full', 'coalesce(sum(full_ticks) OVER (PARTITION BY score_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start', 'synthesized')}, measure_number FROM frame""",
+    "framework_verdicts": with_(BASE, FRAMEWORK) + f"""
+SELECT {longs('score_id', 'stacks', 'measures', "CASE WHEN rejection = 'none' AND stacks > measures THEN stacks - measures ELSE 0 END AS synthesized")}, rejection FROM verdict""",
+    "register_anchors": with_(BASE, BANDED, ANCHORS) + f"""
+SELECT {longs('score_id', 'm AS measure_index', 'off AS offset', 'page_index', 'system_index', "CASE WHEN reason = 'mapped' THEN px END AS recovered_x_abs")},
+  CASE WHEN reason = 'mapped' THEN px / 86400.0 END AS cx_norm, CASE WHEN reason = 'mapped' THEN py / 64.0 END AS cy_norm, reason FROM anchored""",
+    "register_stats": with_(BASE, BANDED, ANCHORS) + f"""
+SELECT {longs('score_id', 'coalesce(lv, 0) AS level', 'count(*) AS expected', "count(*) FILTER (reason = 'mapped') AS mapped", "count(*) FILTER (reason <> 'mapped') AS missing")}
+FROM labels_ GROUP BY GROUPING SETS ((score_id, lv), (score_id))""",
+    "missing_targets": with_(BASE, BANDED, ANCHORS) + f"""
+SELECT {longs('score_id', 'lv AS level', 'm AS measure_index', 'off AS offset')}, reason FROM labels_ WHERE reason <> 'mapped'""",
+    "branch_endpoints": with_(BASE, BANDED, TREE, """
+ends AS (SELECT score_id, node_index, m // 7 AS page, m % 7 AS sys, off FROM node WHERE off % 11 <> 0),
+joined AS (
+  SELECT b.*, s.page AS sp, s.sys AS ss, s.off AS so, t.page AS tp, t.sys AS ts_, t.off AS t_o
+  FROM branch b LEFT JOIN ends s ON s.score_id = b.score_id AND s.node_index = b.source_node_index LEFT JOIN ends t ON t.score_id = b.score_id AND t.node_index = b.target_node_index
+)""") + f"""
+SELECT {longs('score_id', 'branch_index', 'NULL AS page_index', 'NULL AS system_index', 'NULL AS endpoint_level', 'so AS source_x_abs', 't_o AS target_x_abs')}, 'missing' AS span_role FROM joined WHERE sp IS NULL OR tp IS NULL
+UNION ALL SELECT {longs('score_id', 'branch_index', 'sp', 'ss', 'NULL AS e', 'so', 't_o')}, 'complete' FROM joined WHERE sp = tp AND ss = ts_
+UNION ALL SELECT {longs('score_id', 'branch_index', 'sp', 'ss', 'source_level', 'so', 't_o')}, 'source-endpoint' FROM joined WHERE sp <> tp OR ss <> ts_
+UNION ALL SELECT {longs('score_id', 'branch_index', 'tp', 'ts_', 'target_level', 'so', 't_o')}, 'target-endpoint' FROM joined WHERE sp <> tp OR ss <> ts_""",
+    "pivot_anchors": with_(BASE, BANDED, pivot_sql("banded")) + f"""
+SELECT {longs('score_id', 'pivot_index', 'CASE WHEN pivot_offset % 11 <> 0 THEN pivot_measure_index // 7 END AS page_index', 'CASE WHEN pivot_offset % 11 <> 0 THEN pivot_measure_index % 7 END AS system_index', 'CASE WHEN pivot_offset % 11 <> 0 THEN pivot_offset END AS recovered_x_abs')},
+  CASE WHEN pivot_offset % 11 <> 0 THEN 'mapped' ELSE 'existing-wave-anchor-not-found' END AS reason FROM piv""",
+    "wave_anchor_stats": with_(BASE, BANDED) + f"""
+SELECT {longs('score_id', 'count(*) AS wave_expected', 'count(*) FILTER (off % 11 <> 0) AS wave_mapped', 'count(*) FILTER (off % 11 = 0) AS wave_missing', 'max(height) AS wave_max_height')} FROM banded GROUP BY score_id""",
+    "nearest_anchor": f"""
+SELECT {longs('p_partkey', 'l_orderkey', 'l_linenumber')} FROM (
+  SELECT p_partkey, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(l_extendedprice / l_quantity - p_retailprice), l_extendedprice / l_quantity, l_orderkey, l_linenumber) AS nth
+  FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE nth = 1""",
+    "top_gap_systems": with_(BASE, """
+mins AS (
+  SELECT score_id, event_id, sec // 60 AS minute, row_number() OVER w - 1 AS idx, lead(sec // 60) OVER w - sec // 60 AS gap FROM ev WINDOW w AS (PARTITION BY score_id ORDER BY ts, event_id)
+),
+cuts AS (
+  SELECT *, CASE WHEN gap IS NOT NULL AND row_number() OVER (PARTITION BY score_id ORDER BY gap DESC NULLS LAST, idx DESC) <= score_id % 4 THEN 1 ELSE 0 END AS cut FROM mins
+)""") + f"""
+SELECT {longs('score_id', 'event_id', 'coalesce(sum(cut) OVER (PARTITION BY score_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS system_index')} FROM cuts""",
+    "guard_bounds": f"""
+WITH boxes AS (
+  SELECT year(o_orderdate) AS page, month(o_orderdate) AS system, min(dayofyear(o_orderdate)) AS top, max(dayofyear(o_orderdate)) + 5 AS bottom, min(o_totalprice) AS l, max(o_totalprice) AS r FROM orders GROUP BY 1, 2
+)
+SELECT {longs('page', 'system', 'top', 'bottom')}, l AS "left", r AS "right", CAST(coalesce((bottom + lead(top) OVER (PARTITION BY page ORDER BY top, system)) / 2, bottom) AS DOUBLE) AS guard_bottom FROM boxes""",
+    "graph_members": f"""
+SELECT 'o' || l_orderkey AS source, l_returnflag AS type, {longs('count(*) AS members', 'count(DISTINCT l_partkey) AS distinct_members', "count(*) FILTER (p_type = 'SMALL') AS small_members")}
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2""",
+    "metric_words": with_(BASE, WORDS) + f"""
+SELECT {longs('score_id', 'm AS measure_index', 'n', 'k', 'c AS class_size', 'c % 3 AS binomial_mod', 'c % 3 AS lucas_mod')}, word AS metric_word,
+  array_to_string(list_transform(range(0, n + 1), lambda i: length(replace(substr(word, 1, i), 'A', ''))), ',') AS path FROM classed""",
+    "word_classes": with_(BASE, WORDS) + f"""
+SELECT {longs('n', 'k', 'count(*) AS words', 'count(DISTINCT word) AS distinct_words', 'any_value(c) AS class_size')} FROM classed GROUP BY n, k""",
+    "lucas_mod": "WITH " + ORDER_NUMBERS + f"""
+, digits AS (
+  SELECT o_orderkey, o_custkey, p, o_orderkey // CAST(pow(p, e) AS BIGINT) % p AS a, o_custkey // CAST(pow(p, e) AS BIGINT) % p AS b FROM nums, range(0, 40) r(e) WHERE pow(p, e) <= greatest(o_orderkey, o_custkey, 1)
+),
+parts AS (
+  SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(p) AS p, CAST(product(CASE WHEN b > a THEN 0 ELSE CAST(factorial(CAST(a AS INTEGER)) // (factorial(CAST(b AS INTEGER)) * factorial(CAST(a - b AS INTEGER))) AS BIGINT) % p END) AS BIGINT) AS pr FROM digits GROUP BY 1
+)
+SELECT {longs('o_orderkey', 'p', 'CASE WHEN o_custkey > o_orderkey THEN 0 ELSE pr % p END AS residue', '1 AS invariant')} FROM parts""",
+    "boundary_seq": "WITH RECURSIVE " + ORDER_NUMBERS + f"""
+, bases AS (SELECT DISTINCT p FROM nums), hi AS (SELECT max(o_orderkey) AS h FROM nums),
+seq AS (SELECT p, 1 AS nth, CAST(1 AS BIGINT) AS term FROM bases UNION ALL SELECT p, nth + 1, CASE WHEN nth = 1 THEN 2 ELSE p * term - (p - 1) END FROM seq, hi WHERE term <= h + 1)
+SELECT {longs('o.o_orderkey AS o_orderkey', 'o.p AS p', 'min(s.nth) AS terms', 'min(s.term) AS last_term', '1 AS closed_form_agrees')}
+FROM nums o JOIN seq s ON s.p = o.p AND s.term >= o.o_orderkey + 1 GROUP BY o.o_orderkey, o.p""",
+    "scale_vector": f"""
+WITH s AS (SELECT l_orderkey, list_sort(list(DISTINCT CAST(l_linenumber + 1 AS BIGINT))) AS l FROM lineitem GROUP BY 1),
+v AS (SELECT *, len(list_filter(l, lambda x: x NOT IN (2, 3, 5, 7, 11, 13))) = 0 AS ok FROM s)
+SELECT {longs('l_orderkey', 'CASE WHEN ok THEN 1 ELSE 0 END AS valid')}, array_to_string(l, ',') AS schedule,
+  CASE WHEN ok THEN array_to_string(list_transform(range(1, len(l) + 1), lambda i: CAST(list_product(l[1:i]) AS BIGINT)), ',') ELSE 'none' END AS scales FROM v""",
+    "quality_report": with_(BASE, BANDED, ANCHORS, TIES, FRAMEWORK) + f"""
+, all_ AS (
+  SELECT score_id, 'timeline' AS stage, 'unmatched-tie-stop' AS code FROM closing WHERE stops AND NOT (island > 0 AND closed = 0)
+  UNION ALL SELECT score_id, 'framework', CASE WHEN rejection <> 'none' THEN rejection ELSE 'measures-restored' END FROM verdict WHERE rejection <> 'none' OR stacks > measures
+  UNION ALL SELECT score_id, 'registration', 'missing-label' FROM labels_ WHERE reason <> 'mapped'
+)
+SELECT {longs('score_id', 'count(*) AS n')}, stage, code FROM all_ GROUP BY score_id, stage, code""",
+}
