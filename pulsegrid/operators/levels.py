@@ -15,15 +15,20 @@ Either way everything happens under one shuffle by beat; a beat holds at most 2*
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.grid import child_level, grid_position, grid_top, point_levels
 from pulsegrid.functions.meter import is_prime
 from pulsegrid.functions.rational import ceil_log2_ratio, int_div
+from pulsegrid.session import freeze
 
 # Fixed value: refinement rounds allowed beyond the number a beat's smallest gap asks for.
 DEPTH_SLACK = 6
 
+ROUNDS_PER_BLOCK = 4
+
 _BEAT = ("score_id", "segment_index", "_beat")
 
 
@@ -109,24 +114,20 @@ def power_of_three(width: Column) -> Column:
     )
 
 
-def refine(hits: DataFrame, rounds: int | None = None) -> DataFrame:
-    """Add levels, height, density, lowest_level and refinement notes to segmented hits.
-
-    ``rounds`` bounds the voting rounds of irregular beats; left out, one aggregate over those beats finds the deepest allowance.
-    """
+def refine(hits: DataFrame) -> DataFrame:
+    """Add levels, height, density, lowest_level and refinement notes to segmented hits."""
     rows = beat_rows(hits)
     irregular = is_irregular(rows)
     kept = ["score_id", "segment_index", "onset", "_payload", "_levels", "_note"]
     if irregular is None:
         settled = by_fold(rows).select(*kept)
     else:
-        rows = rows.withColumn("_irregular", irregular)
-        voting = rows.filter("_irregular")
-        if rounds is None:
-            rounds = int(voting.agg(F.max("_cap")).first()[0] or -1) + 1
+        # Both branches and every voting block read these rows, so they are written once.
+        rows = freeze(rows.withColumn("_irregular", irregular))
         settled = by_fold(rows.filter("NOT _irregular")).select(*kept)
-        if rounds:
-            settled = settled.unionByName(by_votes(voting, rounds).select(*kept))
+        voting = rows.filter("_irregular")
+        if not voting.isEmpty():
+            settled = settled.unionByName(by_votes(voting).select(*kept))
 
     collected = settled.groupBy("score_id", "segment_index", "onset").agg(
         F.first("_payload", ignorenulls=True).alias("_payload"),
@@ -175,17 +176,29 @@ def by_fold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_done", folded).withColumns({"_levels": F.col("_done.levels"), "_note": F.col("_done.note")})
 
 
-def by_votes(rows: DataFrame, rounds: int) -> DataFrame:
-    """Arities voted by the hits of each span: explicit tuplets, recovered ternary positions, else the default."""
+def by_votes(rows: DataFrame) -> DataFrame:
+    """Arities voted by the hits of each span: explicit tuplets, recovered ternary positions, else the default.
+
+    Rounds run in blocks; after a block the frontier is written, rows that left it are set aside and the rest goes on.  The depth
+    allowance ends every row, so the loop stops by itself.
+    """
     with_tuplets, ternary_possible = "tuplets" in rows.columns, "canonical_recovered" in rows.columns
-    rows = rows.withColumns({
+    frontier = rows.withColumns({
         "_s": F.lit(1).cast("bigint"), "_q": F.lit(0).cast("bigint"), "_active": F.lit(True), "_note": F.array().cast("array<string>"),
     })
     if ternary_possible:
-        rows = rows.withColumn("_pow3", power_of_three(F.col("beat_ticks")))
-    for depth in range(rounds):
-        rows = _round(rows, depth, with_tuplets, ternary_possible)
-    return rows
+        frontier = frontier.withColumn("_pow3", power_of_three(F.col("beat_ticks")))
+    settled: list[DataFrame] = []
+    depth = 0
+    while True:
+        for _ in range(ROUNDS_PER_BLOCK):
+            frontier = _round(frontier, depth, with_tuplets, ternary_possible)
+            depth += 1
+        written = freeze(frontier)
+        settled.append(written.filter("NOT _active"))
+        frontier = written.filter("_active")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, settled)
 
 
 def with_profile(events: DataFrame) -> DataFrame:
@@ -199,10 +212,10 @@ def with_profile(events: DataFrame) -> DataFrame:
 
 def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bool) -> DataFrame:
     span = Window.partitionBy(*_BEAT, "_s", "_q")
-    width = F.col("beat_ticks")
-    start_side = F.col("_active") & (F.col("_side") == "S")
+    width, is_end = F.col("beat_ticks"), F.col("_side") == "E"
+    start_side = F.col("_active") & ~is_end
     inner = start_side & (F.col("_rel") > 0)
-    default = F.when(F.col("compound"), F.lit(3)).otherwise(F.lit(2)) if depth == 0 else F.lit(2)
+    none = F.array().cast("array<string>")
 
     votes: dict[str, Column] = {"_has": F.coalesce(F.max(inner).over(span), F.lit(False))}
     if ternary_possible:
@@ -210,59 +223,49 @@ def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bo
         votes["_tern"] = F.coalesce(F.max(off_dyadic).over(span), F.lit(False))
     if with_tuplets:
         usable = F.when(start_side, F.filter("tuplets", lambda t: t["actual"] != t["normal"]))
-        prime = F.filter(usable, lambda t: is_prime(t["actual"]))
-        aligned = F.filter(prime, lambda t: (F.col("_rel") * t["actual"]) % width == 0)
+        aligned = F.filter(usable, lambda t: is_prime(t["actual"]) & ((F.col("_rel") * t["actual"]) % width == 0))
         strong = F.filter(aligned, lambda t: (t["duration"] > 0) & (t["duration"] * t["actual"] * F.col("_s") == width))
         arities = lambda marks: F.array_distinct(F.transform(marks, lambda t: t["actual"]))
-        rows = rows.withColumns({
-            "_al": arities(aligned), "_st": arities(strong),
-            "_comp": F.transform(F.filter(usable, lambda t: ~is_prime(t["actual"])), lambda t: F.concat_ws(":", F.lit("composite"), t["actual"].cast("string"), t["normal"].cast("string"))),
-        })
-        votes["_alv"] = F.flatten(F.collect_list("_al").over(span))
-        votes["_stv"] = F.array_distinct(F.flatten(F.collect_list("_st").over(span)))
-    rows = rows.withColumns(votes)
-
-    allowed = F.lit(depth) < F.col("_cap")
-    state: dict[str, Column] = {"_split": F.col("_active") & F.col("_has") & allowed}
+        votes["_alv"] = F.flatten(F.collect_list(arities(aligned)).over(span))
+        votes["_stv"] = F.array_distinct(F.flatten(F.collect_list(arities(strong)).over(span)))
+    rows = rows.select("*", *[vote.alias(name) for name, vote in votes.items()])
+
+    visited = F.col("_active") & F.col("_has")
+    split = visited & (F.lit(depth) < F.col("_cap"))
+    default = F.when(F.col("compound"), F.lit(3)).otherwise(F.lit(2)) if depth == 0 else F.lit(2)
     explicit: Column = F.lit(None).cast("int")
-    conflict: Column = F.lit(False)
+    notes = [F.when(visited & ~split, F.concat_ws(":", F.lit("depth"), *[F.col(c).cast("string") for c in ("_beat", "_q", "_s")]))]
     if with_tuplets:
         twice = F.filter(F.array_distinct("_alv"), lambda v: F.size(F.filter("_alv", lambda u: u == v)) >= 2)
-        rows = rows.withColumn("_two", twice)
-        explicit = F.when(F.size("_stv") == 1, F.get("_stv", F.lit(0))).when(
-            (F.size("_stv") == 0) & (F.size("_two") == 1), F.get("_two", F.lit(0)))
-        conflict = (F.size("_stv") > 1) | ((F.size("_stv") == 0) & (F.size("_two") > 1))
+        pool = F.when(F.size("_stv") > 0, F.col("_stv")).otherwise(twice)
+        explicit = F.when(F.size(pool) == 1, F.get(pool, F.lit(0)))
+        notes.append(F.when(split & (F.size(pool) > 1), F.lit("conflict")))
     ternary: Column = F.lit(None).cast("int")
     if ternary_possible:
         ternary = F.when((default == 2) & F.col("_tern"), F.lit(3))
-    state["_f"] = F.coalesce(explicit, ternary, default).cast("int")
-    notes = [
-        F.when(F.col("_active") & F.col("_has") & ~allowed, F.concat_ws(":", F.lit("depth"), F.col("_beat").cast("string"), F.col("_q").cast("string"), F.col("_s").cast("string"))),
-    ]
-    if with_tuplets:
-        notes.append(F.when(F.col("_active") & F.col("_has") & allowed & conflict, F.lit("conflict")))
-    if ternary_possible:
-        notes.append(F.when(F.col("_active") & F.col("_has") & allowed & explicit.isNull() & ternary.isNotNull(), F.lit("ternary")))
+        notes.append(F.when(split & explicit.isNull() & ternary.isNotNull(), F.lit("ternary")))
     found = F.array_compact(F.array(*notes))
     if with_tuplets:
-        found = F.concat(found, F.when(F.col("_active") & F.col("_has") & allowed & (F.col("_side") == "S"), F.coalesce(F.col("_comp"), F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
-    state["_note"] = F.concat(F.col("_note"), found)
-    rows = rows.withColumns(state)
-
-    x = F.col("_rel") * F.col("_f")
-    is_end = F.col("_side") == "E"
-    # Inside a lambda a column of the same select can win over the input column, hence the second name for the parent.
-    rows = rows.withColumns({"_k": F.when(is_end, int_div(x - 1, width)).otherwise(int_div(x, width)).cast("int"), "_above": F.col("_parent")})
+        composite = F.transform(
+            F.filter("tuplets", lambda t: (t["actual"] != t["normal"]) & ~is_prime(t["actual"])),
+            lambda t: F.concat_ws(":", F.lit("composite"), t["actual"].cast("string"), t["normal"].cast("string")))
+        found = F.concat(found, F.coalesce(F.when(split & ~is_end, composite), none))
+    rows = rows.select(
+        *[c for c in rows.columns if c not in (*votes, "_note")], split.alias("_split"),
+        F.coalesce(explicit, ternary, default).cast("int").alias("_f"), F.concat(F.col("_note"), found).alias("_note"))
+
+    x, split = F.col("_rel") * F.col("_f"), F.col("_split")
+    rows = rows.select("*", F.when(is_end, int_div(x - 1, width)).otherwise(int_div(x, width)).cast("int").alias("_k"))
     point = F.when(is_end, F.col("_k") + 1).otherwise(F.col("_k"))
-    lands = F.col("_split") & (x % width == 0)
-    gained = F.transform(point_levels(F.col("_f"), point), lambda level: level + F.col("_above"))
-    split = F.col("_split")
-    moved = rows.withColumns({
-        "_levels": F.when(lands, F.concat(F.col("_levels"), gained)).otherwise(F.col("_levels")),
+    gained = F.transform(point_levels(F.col("_f"), point), lambda level: level + F.col("_parent"))
+    moved = {
         "_rel": F.when(split, x - F.col("_k") * width).otherwise(F.col("_rel")),
         "_q": F.when(split, F.col("_q") * F.col("_f") + F.col("_k")).otherwise(F.col("_q")),
         "_s": F.when(split, F.col("_s") * F.col("_f")).otherwise(F.col("_s")),
-        "_parent": F.when(split, F.col("_parent") + child_level(F.col("_f"), F.col("_k"))).otherwise(F.col("_parent")),
-        "_active": split,
-    })
-    return moved.drop("_has", "_tern", "_al", "_st", "_comp", "_alv", "_stv", "_two", "_split", "_f", "_k", "_above")
+        # Under another name: inside a lambda a column of the same select wins over the input column.
+        "_under": F.when(split, F.col("_parent") + child_level(F.col("_f"), F.col("_k"))).otherwise(F.col("_parent")),
+        "_levels": F.when(split & (x % width == 0), F.concat(F.col("_levels"), gained)).otherwise(F.col("_levels")),
+    }
+    gone = (*moved, "_parent", "_active", "_split", "_f", "_k")
+    rows = rows.select(*[c for c in rows.columns if c not in gone], *[e.alias(n) for n, e in moved.items()], split.alias("_active"))
+    return rows.withColumnRenamed("_under", "_parent")

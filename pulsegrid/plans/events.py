@@ -14,8 +14,6 @@ from pulsegrid.operators.levels import refine
 
 TPQ = 64
 EPOCH = "2024-01-01 00:00:00"
-# Beats are 64 or 96 = 3*32 ticks, so six halvings (or one third and five halvings) reach single ticks.
-EVENT_ROUNDS = 6
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +88,4 @@ def event_segments(events: DataFrame) -> DataFrame:
 
 
 def event_levels(events: DataFrame) -> DataFrame:
-    return refine(segment_hits(event_hits(events), event_segments(events)), rounds=EVENT_ROUNDS)
+    return refine(segment_hits(event_hits(events), event_segments(events)))

@@ -63,12 +63,12 @@ def visual_groups(parsed: ParsedScores) -> DataFrame:
     return groups.join(known, "score_id", "left")
 
 
-def analyze_levels(hits: DataFrame, measures: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+def analyze_levels(hits: DataFrame, measures: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events with Levels, meter segments) of every score."""
     segments = meter_segments(measures)
     bases = measures.groupBy("score_id").agg(F.max("tpq").alias("tpq"))
     placed = segment_hits(hits.drop("tpq"), segments)
-    return refine(placed, rounds).join(bases, "score_id"), segments
+    return refine(placed).join(bases, "score_id"), segments
 
 
 def analysis_quality(events: DataFrame, segments: DataFrame) -> DataFrame:
