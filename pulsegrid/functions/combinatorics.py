@@ -60,14 +60,15 @@ def mod_power(base: Column, exponent: Column, modulus: Column) -> Column:
         return F.when(s["e"] == 0, s).otherwise(F.struct(
             F.when(odd, s["r"] * s["b"] % modulus).otherwise(s["r"]).alias("r"), (s["b"] * s["b"] % modulus).alias("b"), int_div(s["e"], 2).alias("e")))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, step, lambda s: s["r"])
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(exponent.cast("bigint")))), start, step, lambda s: s["r"])
 
 
 def digits(value: Column, base: Column) -> Column:
     """Digits of a non-negative integer, least significant first; zero is [0]."""
     v, b = value.cast("bigint"), base.cast("bigint")
     start = F.struct(v.alias("rest"), F.array().cast("array<bigint>").alias("out"))
-    steps = F.sequence(F.lit(1), F.greatest(F.length(F.bin(v)), F.lit(1)))
+    # A digit holds at least floor(log2(base)) bits.
+    steps = F.sequence(F.lit(1), int_div(F.length(F.bin(v)), F.length(F.bin(b)) - 1).cast("int") + 1)
     return F.aggregate(
         steps, start,
         lambda s, i: F.when((s["rest"] == 0) & (i > 1), s).otherwise(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pulsegrid.functions.rational import int_div
+from pulsegrid.functions.rational import int_div, trailing_zeros
 
 _STATE = "struct<a:bigint,len:bigint,level:int,span:int,levels:array<int>,done:boolean>"
 
@@ -22,7 +22,26 @@ def grid_top(base: Column, beats: Column) -> Column:
 
 
 def grid_position(n: Column, top: Column, base: Column) -> Column:
-    """struct<levels, span>: Levels of zero-based position ``n`` and the Level of the span that starts there.
+    """struct<levels, span>: Levels of zero-based position ``n`` and the Level of the span that starts there."""
+    return F.when(base == 2, binary_position(n, top)).otherwise(folded_position(n, top, base))
+
+
+def binary_position(n: Column, top: Column) -> Column:
+    """Base 2 without a fold.
+
+    Every piece of a power-of-two interval is again one, so moving into a piece strips the highest bit: the first boundary is met at the
+    Level popcount(n).  With z trailing zeros the left pieces add z - 1 further Levels, and the right piece (none at the top) one.
+    """
+    n = n.cast("bigint")
+    first = F.greatest(F.bit_count(n), F.lit(1)).cast("int")
+    zeros = F.when(n == 0, 0).otherwise(trailing_zeros(n)).cast("int")
+    right = (zeros >= 1).cast("int")
+    more = F.greatest(zeros - 1, F.when(n < top, right).otherwise(0))
+    return F.struct(F.sequence(first, first + more).alias("levels"), F.when(n < top, first + right).cast("int").alias("span"))
+
+
+def folded_position(n: Column, top: Column, base: Column) -> Column:
+    """Any base, one step per interval on the way down.
 
     The boundaries of an interval of length m are 0, 1, base, base^2, ... below m, and m.  A position that is no boundary moves into
     the piece that holds it, one Level down.  A boundary takes the Level, the next one too if the piece to its right is divisible,
@@ -56,7 +75,8 @@ def grid_position(n: Column, top: Column, base: Column) -> Column:
         zero.alias("a"), top.alias("len"), F.lit(1).alias("level"), F.lit(None).cast("int").alias("span"),
         F.array().cast("array<int>").alias("levels"), F.lit(False).alias("done"),
     ).cast(_STATE)
-    steps = F.sequence(F.lit(1), F.lit(2) * F.length(F.bin(top)).cast("int") + 2)
+    # Base 3 goes down twice per power; base 2 once.
+    steps = F.sequence(F.lit(1), int_div(F.length(F.bin(top)) * 4, 3).cast("int") + 3)
     return F.aggregate(
         steps, start, step,
         lambda s: F.struct(F.array_sort(F.array_distinct(s["levels"])).alias("levels"), s["span"].alias("span")),

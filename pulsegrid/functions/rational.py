@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 RATIONAL = "struct<num:bigint,den:bigint>"
 
-# Euclid needs at most 1.45*log2(n)+2 steps; 64 covers every operand below 2^42.
-_EUCLID_STEPS = 64
-
-
 def _long(value: Column | str | int) -> Column:
     return (F.lit(value) if isinstance(value, int) else F.col(value) if isinstance(value, str) else value).cast("bigint")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times inside ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def gcd(a: Column | str | int, b: Column | str | int) -> Column:
-    """Greatest common divisor of two non-negative integers (gcd(0, n) = n)."""
+    """Greatest common divisor of two non-negative integers (gcd(0, n) = n).
+
+    Euclid takes at most 1.45 * log2(smaller) + 2 steps, so the fold is as long as the smaller operand asks for.
+    """
     start = F.struct(_long(a).alias("a"), _long(b).alias("b"))
+    bits = F.length(F.bin(F.least(_long(a), _long(b))))
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_EUCLID_STEPS)),
+        F.sequence(F.lit(1), bits + int_div(bits, 2) + 3),
         start,
         lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % s["b"]).alias("b"))),
         lambda s: s["a"],
@@ -40,15 +47,14 @@ def lcm_of(values: Column) -> Column:
 def rational(num: Column | str | int, den: Column | str | int) -> Column:
     """Reduced struct<num,den>; null when the denominator is null or zero."""
     n, d = _long(num), _long(den)
-    g = gcd(F.abs(n), F.abs(d))
     sign = F.when(d < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    return F.when(d != 0, F.struct((int_div(n, g) * sign).alias("num"), (int_div(d, g) * sign).alias("den")))
+    return F.when(d != 0, let(gcd(F.abs(n), F.abs(d)), lambda g: F.struct((int_div(n, g) * sign).alias("num"), (int_div(d, g) * sign).alias("den"))))
 
 
 def rational_text(num: Column | str | int, den: Column | str | int) -> Column:
     """``n`` for whole values, else ``n/d`` in lowest terms."""
-    r = rational(num, den)
-    return F.when(r["den"] == 1, r["num"].cast("string")).otherwise(F.concat_ws("/", r["num"].cast("string"), r["den"].cast("string")))
+    return let(rational(num, den), lambda r: F.when(r["den"] == 1, r["num"].cast("string")).otherwise(
+        F.concat_ws("/", r["num"].cast("string"), r["den"].cast("string"))))
 
 
 # Accepted spellings of a rational (integer, n/d, decimal with optional exponent).
@@ -71,9 +77,9 @@ def parse_rational(text: Column | str) -> Column:
     )
 
 
-def dyadic_floor_log2(value: Column) -> Column:
-    """floor(log2(value)) of a positive integer, exactly."""
-    return F.length(F.bin(value)) - 1
+def trailing_zeros(value: Column) -> Column:
+    """Number of trailing zero bits of a positive integer."""
+    return F.bit_count(value.bitwiseAND(-value) - 1)
 
 
 def ceil_log2_ratio(whole: Column, part: Column) -> Column:

@@ -6,7 +6,7 @@ side of what lies to its left (``rel`` in (0, W]).  With f parts, ``rel`` become
 
 * Beats whose arities are the defaults (no tuplet marks, no recovered off-dyadic hits) need no rounds: a hit strictly inside a span
   always splits it, and a span that starts or ends at a hit is split exactly when the neighbour hit is nearer than its width.  That is
-  one sort per beat for the neighbours and one native fold per row.
+  one sort per beat for the neighbours and integer arithmetic per row.
 * Other beats let the hits of a span vote on its arity.  Their rows carry the span as (s, q), the q-th of s equal parts, and every
   round is a window under the partitioning (score, segment, beat).
 
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.grid import child_level, grid_position, grid_top, point_levels
 from pulsegrid.functions.meter import is_prime
-from pulsegrid.functions.rational import ceil_log2_ratio, int_div
+from pulsegrid.functions.rational import ceil_log2_ratio, int_div, power_of_two, trailing_zeros
 from pulsegrid.session import freeze
 
 # Fixed value: refinement rounds allowed beyond the number a beat's smallest gap asks for.
@@ -120,11 +120,11 @@ def refine(hits: DataFrame) -> DataFrame:
     irregular = is_irregular(rows)
     kept = ["score_id", "segment_index", "onset", "_payload", "_levels", "_note"]
     if irregular is None:
-        settled = by_fold(rows).select(*kept)
+        settled = by_default_arities(rows).select(*kept)
     else:
         # Both branches and every voting block read these rows, so they are written once.
         rows = freeze(rows.withColumn("_irregular", irregular))
-        settled = by_fold(rows.filter("NOT _irregular")).select(*kept)
+        settled = by_default_arities(rows.filter("NOT _irregular")).select(*kept)
         voting = rows.filter("_irregular")
         if not voting.isEmpty():
             settled = settled.unionByName(by_votes(voting).select(*kept))
@@ -140,40 +140,49 @@ def refine(hits: DataFrame) -> DataFrame:
     ))
 
 
-def by_fold(rows: DataFrame) -> DataFrame:
-    """Default arities: the chain of spans at each side of a hit, folded on the row."""
-    width, is_end = F.col("beat_ticks"), F.col("_side") == "E"
-    start = F.struct(
-        F.col("_rel").alias("rel"), F.lit(1).cast("bigint").alias("s"), F.col("_parent").cast("int").alias("parent"),
-        F.col("_levels").alias("levels"), F.lit(True).alias("active"),
-    )
+def by_default_arities(rows: DataFrame) -> DataFrame:
+    """Levels of hits in beats that split by the defaults: a third first in compound meters, then halves.
 
-    def splits(st: Column) -> Column:
-        inside = (st["rel"] > 0) & (st["rel"] < width)
-        return st["active"] & (inside | F.coalesce(F.col("_gap") * st["s"] < width, F.lit(False)))
-
-    def step(st: Column, depth: Column) -> Column:
-        f = F.when(F.col("compound") & (depth == 1), F.lit(3)).otherwise(F.lit(2))
-        x = st["rel"] * f
-        k = F.when(is_end, int_div(x - 1, width)).otherwise(int_div(x, width)).cast("int")
-        point = F.when(is_end, k + 1).otherwise(k)
-        gained = F.transform(point_levels(f, point), lambda level: level + st["parent"])
-        moved = F.struct(
-            (x - k * width).alias("rel"), (st["s"] * f).alias("s"), (st["parent"] + child_level(f, k)).alias("parent"),
-            F.when(x % width == 0, F.concat(st["levels"], gained)).otherwise(st["levels"]).alias("levels"), F.lit(True).alias("active"),
-        )
-        stay = F.struct(st["rel"].alias("rel"), st["s"].alias("s"), st["parent"].alias("parent"), st["levels"].alias("levels"), F.lit(False).alias("active"))
-        return F.when(splits(st), moved).otherwise(stay)
-
-    def finish(st: Column) -> Column:
-        q = int_div(F.col("_rel") * st["s"] - st["rel"], width)
-        note = F.when(
-            ~is_end & splits(st), F.array(F.concat_ws(":", F.lit("depth"), F.col("_beat").cast("string"), q.cast("string"), st["s"].cast("string")))
-        ).otherwise(F.array().cast("array<string>"))
-        return F.struct(st["levels"].alias("levels"), note.alias("note"))
-
-    folded = F.aggregate(F.sequence(F.lit(1), F.col("_cap")), start, step, finish)
-    return rows.withColumn("_done", folded).withColumns({"_levels": F.col("_done.levels"), "_note": F.col("_done.note")})
+    Halving a span of width W puts a hit at ``rel`` on a boundary after n = log2(W / gcd(rel, W)) steps (never if an odd factor of W is
+    missing in ``rel``); it takes the Level of that step.  From there on the span beside it keeps splitting while the neighbour hit is
+    nearer than its width, which is ceil(log2(W / gap)) steps from the start, one Level each.
+    """
+    width, is_end, rel, parent = F.col("beat_ticks"), F.col("_side") == "E", F.col("_rel"), F.col("_parent").cast("int")
+    # The third of a compound beat.
+    three = F.lit(3)
+    k = F.when(is_end, int_div(rel * 3 - 1, width)).otherwise(int_div(rel * 3, width)).cast("int")
+    on_third = (rel * 3) % width == 0
+    opened = ((rel > 0) & (rel < width)) | F.coalesce(F.col("_gap") < width, F.lit(False))
+    thirds = F.transform(point_levels(three, F.when(is_end, F.col("_k") + 1).otherwise(F.col("_k"))), lambda level: level + F.col("_parent"))
+    compound = F.col("compound")
+    rows = rows.withColumn("_k", k)
+    rows = rows.withColumns({
+        "_open": ~compound | opened,
+        "_third": F.when(compound & opened & on_third, thirds),
+        "_from": F.when(compound, parent + child_level(three, F.col("_k"))).otherwise(parent),
+        "_at": F.when(compound, rel * 3 - F.col("_k") * width).otherwise(rel),
+        "_parts": F.when(compound, 3).otherwise(1),
+    })
+    # The halves after it.
+    at, parts = F.col("_at"), F.col("_parts")
+    twos = trailing_zeros(width)
+    odd = F.call_function("shiftright", width, twos.cast("int"))
+    edge = F.when(is_end, at == width).otherwise(at == 0)
+    n = F.when(edge, 0).otherwise(twos - trailing_zeros(at)).cast("int")
+    lands = edge | ((at % odd == 0) & (n + compound.cast("int") <= F.col("_cap")))
+    beside = F.coalesce(ceil_log2_ratio(width, F.col("_gap") * parts), F.lit(0))
+    rows = rows.withColumns({
+        "_low": F.col("_from") + F.greatest(n, F.lit(1)), "_high": F.when(F.col("_open") & lands, F.col("_from") + F.greatest(n, beside)),
+        "_lost": ~is_end & F.col("_open") & ~lands,
+    })
+    none = F.array().cast("array<int>")
+    gained = F.when(F.col("_high") >= F.col("_low"), F.sequence(F.col("_low"), F.greatest(F.col("_low"), F.col("_high")))).otherwise(none)
+    s = parts * power_of_two(F.col("_cap") - compound.cast("int"))
+    place = F.concat_ws(":", F.lit("depth"), F.col("_beat").cast("string"), int_div(rel * s, width).cast("string"), s.cast("string"))
+    return rows.withColumns({
+        "_levels": F.concat(F.col("_levels"), F.coalesce("_third", none), gained),
+        "_note": F.when(F.col("_lost"), F.array(place)).otherwise(F.array().cast("array<string>")),
+    })
 
 
 def by_votes(rows: DataFrame) -> DataFrame:

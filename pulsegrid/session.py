@@ -18,7 +18,11 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, shuffl
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master is not None:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        # On one machine small stages are bound by work per row, not bytes: keep them spread over the cores.
+        builder = (
+            builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

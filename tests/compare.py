@@ -1,4 +1,7 @@
-"""Run registered queries next to their SQL: python -m tests.compare <sf_dir> [query ...]"""
+"""Run registered queries next to their SQL: python -m tests.compare [--hot ROWS] <sf_dir> [query ...]
+
+``--hot`` lowers the row count at which a key is treated as hot, so that every scan takes its chunked form.
+"""
 
 import sys
 import time
@@ -40,12 +43,18 @@ def difference(spark, con, sf_dir, query, sql):
 
 
 def main():
+    from pulsegrid.operators.scan import HOT_ROWS_CONF
     from pulsegrid.plans.catalog import ORACLES, QUERIES
     from pulsegrid.session import build_session
 
-    sf_dir, names = sys.argv[1], sys.argv[2:] or list(QUERIES)
+    args = sys.argv[1:]
+    hot = args[1] if args[0] == "--hot" else None
+    args = args[2:] if hot else args
+    sf_dir, names = args[0], args[1:] or list(QUERIES)
     spark = build_session("compare", master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
+    if hot:
+        spark.conf.set(HOT_ROWS_CONF, hot)
     con = connect(sf_dir)
     for name in names:
         t0 = time.time()

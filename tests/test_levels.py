@@ -99,7 +99,7 @@ def test_refinement_equals_recursion(spark, tuplets, canonical):
     check(segments, L.refine(to_frame(spark, segments, tuplets, canonical)))
 
 
-def test_fold_and_votes_agree(spark, monkeypatch):
+def test_defaults_and_votes_agree(spark, monkeypatch):
     segments = random_segments(11, 80, True, True)
     for s in segments:
         for mark in s[5].values():
