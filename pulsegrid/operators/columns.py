@@ -11,6 +11,7 @@ from pulsegrid.operators.clusters import gap_clusters, medoids
 from pulsegrid.operators.graph import typed_edges
 from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan
+from pulsegrid.session import freeze
 
 SYSTEM = ["score_id", "page_index", "system_index"]
 STACK = [*SYSTEM, "stack_ord"]
@@ -147,7 +148,8 @@ def recover_columns(
     begins = begins.join(base, "score_id").withColumn("t", int_div(F.col("num") * F.col("base"), F.col("den"))).drop("num", "den", "base")
 
     in_order = Scan(tuple(MEASURE), ("x_abs", "staff", "chord_id"))
-    clustered = gap_clusters(events, in_order, "x_abs", F.lit(COLUMN_TOLERANCE), "i").withColumn("i", F.col("i").cast("int"))
+    # Members, begin times and columns are each read by several of the steps below, so each is written once.
+    clustered = freeze(gap_clusters(events, in_order, "x_abs", F.lit(COLUMN_TOLERANCE), "i").withColumn("i", F.col("i").cast("int")))
     column = [*MEASURE, "i"]
     representative = medoids(clustered, Scan(tuple(column), ("x_abs", "chord_id")), "x_abs", "chord_id").select(*column, F.col("medoid").alias("chord_id"))
     heads = F.col("kind") == "head"
@@ -168,16 +170,16 @@ def recover_columns(
     # Begin times by column, in event order then reading order.
     begun = clustered.select(*STACK, *[c for c in column if c not in STACK], "chord_id", "x_abs", "staff", "full").join(begins, [*STACK, "chord_id"])
     seen = F.struct("x_abs", "staff", "chord_id", F.col("seen").alias("entry"))
-    support = begun.groupBy(*column, "t").agg(F.count(F.lit(1)).alias("support"), F.min(seen).alias("seen"), F.first("full").alias("full"))
+    support = freeze(begun.groupBy(*column, "t").agg(F.count(F.lit(1)).alias("support"), F.min(seen).alias("seen"), F.first("full").alias("full")))
 
     gaps = support.filter("t >= 0 AND t < full").select(*MEASURE, "t").distinct()
     before = F.lag("t").over(Window.partitionBy(*MEASURE).orderBy("t"))
     lengths = gaps.withColumn("v", F.col("t") - before).filter("v IS NOT NULL").select(*MEASURE, "v").unionByName(
-        events.select(*MEASURE, F.col("duration").alias("v")))
-    lattice = columns.groupBy(*MEASURE).agg(F.first("full").alias("_full"), F.first("base").alias("_base"), F.count(F.lit(1)).alias("_n")).join(
+        clustered.select(*MEASURE, F.col("duration").alias("v")))
+    lattice = clustered.groupBy(*MEASURE).agg(F.first("full").alias("_full"), F.first("base").alias("_base"), (F.max("i") + 1).alias("_n")).join(
         gcd_by(lengths, MEASURE, "v", "_gcd"), MEASURE, "left").withColumn("_q", quantum_columns(F.col("_gcd"), F.col("_full"), F.col("_base"), F.col("_n")))
     lattice = lattice.select(*MEASURE, F.col("_q.quantum").alias("quantum"), F.col("_q.base").alias("quantum_base"), int_div(F.col("_q.base"), F.col("_base")).alias("_scale"))
-    columns = columns.join(lattice, MEASURE).withColumn("units", int_div(F.col("full") * F.col("_scale"), F.col("quantum")))
+    columns = freeze(columns.join(lattice, MEASURE).withColumn("units", int_div(F.col("full") * F.col("_scale"), F.col("quantum"))))
 
     facts = columns.select(*column, "n", "units", "quantum", "_scale", F.col("full").alias("_full"))
     proposed = support.join(facts, column).withColumn("_ticks", F.col("t") * F.col("_scale"))
@@ -188,14 +190,16 @@ def recover_columns(
 
     anchored = columns.join(chosen.select(*column, F.col("j").alias("anchor_j")), column, "left")
     filled = monotone_fill(anchored, MEASURE, x="x_abs")
-    exact = proposed.select(*column, F.col("_ticks"), F.col("support"))
     timed = filled.withColumn("_onset", F.col("j") * F.col("quantum"))
-    hits = timed.select(*column, "_onset").join(exact, column).filter("_onset = _ticks").select(*column, F.col("support").alias("exact_support"))
-    out = timed.join(hits, column, "left").withColumn("exact_support", F.coalesce("exact_support", F.lit(0)))
+    exact = proposed.select(*column, F.col("_ticks").alias("_onset"), F.col("support").alias("exact_support"))
+    out = timed.join(exact, [*column, "_onset"], "left").withColumn("exact_support", F.coalesce("exact_support", F.lit(0)))
     source = F.when(F.col("exact_support") > 0, BEGIN_ANCHOR).when(F.col("anchor_j").isNotNull(), CHAIN_ANCHOR).otherwise(INTERPOLATED)
     sure = F.when(F.col("exact_support") > 0, F.least(F.lit(1.0), F.lit(BEGIN_CONFIDENCE) + F.lit(SUPPORT_BONUS) * F.col("exact_support"))).when(
         F.col("anchor_j").isNotNull(), F.lit(CHAIN_CONFIDENCE)).otherwise(F.lit(INTERPOLATED_CONFIDENCE))
-    return common_base(out.withColumns({"timing_source": source, "confidence": sure})).select(
+    bases = columns.select("score_id", F.col("quantum_base").alias("v")).distinct().groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("tpq"))
+    based = out.withColumns({"timing_source": source, "confidence": sure}).join(bases, "score_id").withColumns({
+        "onset": F.col("_onset") * int_div(F.col("tpq"), F.col("quantum_base")), "duration": F.col("duration") * int_div(F.col("tpq"), F.col("base"))})
+    return based.select(
         "score_id", "measure_index", "page_index", "system_index", "stack_ord", F.col("i").alias("column_index"), "x_abs", "y_abs", "tpq",
         "onset", "duration", "attack", "rest", "tie_continuation_only", "timing_source", "confidence", "exact_support", "px_per_unit",
         "units", F.col("j").alias("grid_index"), "notation_events",
@@ -203,16 +207,6 @@ def recover_columns(
     )
 
 
-def common_base(columns: DataFrame) -> DataFrame:
-    """Bring lattice onsets (per measure base) and lengths (per score base) to one tick base per score."""
-    bases = columns.select("score_id", F.col("quantum_base").alias("v")).distinct().groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("tpq"))
-    joined = columns.join(bases, "score_id")
-    return joined.withColumns({
-        "onset": F.col("_onset") * int_div(F.col("tpq"), F.col("quantum_base")),
-        "duration": F.col("duration") * int_div(F.col("tpq"), F.col("base")),
-    })
-
-
 def column_stats(columns: DataFrame) -> DataFrame:
     """Counts of columns by flag, as the recovery report gives them."""
     exact = F.exists("notation_events", lambda e: (e["kind"] == "head") & e["attack"] & e["head_geometry_exact"])

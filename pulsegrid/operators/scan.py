@@ -67,20 +67,20 @@ class Scan:
         packed = F.struct(*[value.alias(name) for name, value in values.items()])
         shifted = F.lag(packed, 1) if step < 0 else F.lead(packed, 1)
         if self.chunk is None:
-            out = df.withColumn("_n", shifted.over(self.window()))
-            return out.withColumns({name: F.col(f"_n.{name}") for name in values}).drop("_n")
+            out = df.withColumn("_scan_near", shifted.over(self.window()))
+            return out.withColumns({name: F.col(f"_scan_near.{name}") for name in values}).drop("_scan_near")
 
         order = F.struct(*self.order)
         edge = F.max_by(packed, order) if step < 0 else F.min_by(packed, order)
         across = Window.partitionBy(*self.keys).orderBy(self.chunk)
         carried = (
-            df.groupBy(*self.group).agg(edge.alias("_edge"))
-            .select(*self.group, (F.lag("_edge", 1) if step < 0 else F.lead("_edge", 1)).over(across).alias("_c"))
-            .filter("_c IS NOT NULL")
+            df.groupBy(*self.group).agg(edge.alias("_scan_edge"))
+            .select(*self.group, (F.lag("_scan_edge", 1) if step < 0 else F.lead("_scan_edge", 1)).over(across).alias("_scan_carry"))
+            .filter("_scan_carry IS NOT NULL")
         )
-        out = df.withColumn("_n", shifted.over(self.window())).join(F.broadcast(carried), self.group, "left")
-        found = F.coalesce("_n", "_c")
-        return out.withColumns({name: found[name] for name in values}).drop("_n", "_c")
+        out = df.withColumn("_scan_near", shifted.over(self.window())).join(F.broadcast(carried), self.group, "left")
+        found = F.coalesce("_scan_near", "_scan_carry")
+        return out.withColumns({name: found[name] for name in values}).drop("_scan_near", "_scan_carry")
 
     def number(self, df: DataFrame, name: str) -> DataFrame:
         """Zero-based position of each row inside its key."""

@@ -12,6 +12,7 @@ from pulsegrid.operators.hits import merge_hits
 from pulsegrid.operators.levels import refine
 from pulsegrid.operators.scan import Scan, hot_row_limit, largest_key, chunked
 from pulsegrid.operators.segments import meter_segments, segment_hits
+from pulsegrid.session import freeze
 
 
 @dataclass
@@ -105,8 +106,8 @@ def canonical_scores(project: dict[str, DataFrame], measures: DataFrame, symboli
     framework, verdicts = reconcile.framework_gaps(measures, C.stack_counts(stacks))
     moved, unknown = reconcile.remap_hits(symbolic, framework)
     refused = unknown.join(framework.select("score_id").distinct(), "score_id", "left_semi").select("score_id").distinct()
-    framework = framework.join(refused, "score_id", "left_anti")
-    columns = C.recover_columns(project["objects"], project["relations"], stacks, project["slots"], project["chords"], project["entries"], framework)
+    framework = freeze(framework.join(refused, "score_id", "left_anti"))
+    columns = freeze(C.recover_columns(project["objects"], project["relations"], stacks, project["slots"], project["chords"], project["entries"], framework))
     hits = C.canonical_hits(columns, framework, moved)
     stats = C.column_stats(columns).join(C.augmentation_dots(project["objects"], project["relations"]), "score_id", "left").join(
         hits.groupBy("score_id").agg(F.count(F.lit(1)).alias("canonical_hit_count")), "score_id", "left")
