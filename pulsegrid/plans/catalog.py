@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulsegrid.plans import event_scores as S
 from pulsegrid.plans import generic as G
 from pulsegrid.plans import generic_more as H
 from pulsegrid.plans.oracles import ORACLES
@@ -56,6 +57,11 @@ QUERIES: dict[str, Query] = {
     "boundary_seq": H.boundary_seq,
     "scale_vector": H.scale_vector,
     "quality_report": H.quality_report,
+    "score_hits": S.score_hits,
+    "score_measures": S.score_measures,
+    "canonical_columns": S.canonical_columns,
+    "physical_groups": S.physical_groups,
+    "system_bounds": S.system_bounds,
 }
 
 __all__ = ["ORACLES", "QUERIES", "Query"]

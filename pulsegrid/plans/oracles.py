@@ -518,3 +518,77 @@ SELECT {longs('l_orderkey', 'CASE WHEN ok THEN 1 ELSE 0 END AS valid')}, array_t
 )
 SELECT {longs('score_id', 'count(*) AS n')}, stage, code FROM all_ GROUP BY score_id, stage, code""",
 }
+
+
+SCORE = """
+el AS (
+  SELECT score_id, event_id % 2 AS part, sec // 86400 AS m, event_id, dur, CASE event_type WHEN 'error' THEN 'backup' WHEN 'signup' THEN 'forward' ELSE 'note' END AS tag,
+    event_type = 'click' AS chord, event_type = 'purchase' AND dur % 5 = 0 AS grace, event_type = 'view' AND dur % 4 = 0 AS silent,
+    dur % 6 IN (1, 2) AS starts, dur % 6 IN (2, 3) AS stops, upper(event_type[1]) || (dur % 3 + 3) AS pitch,
+    (dur % 8) * 24 // CASE WHEN sec // 86400 >= 5 THEN 4 ELSE 2 + event_id % 2 END AS t
+  FROM ev
+),
+moved AS (
+  SELECT *, CASE WHEN tag = 'forward' OR (tag = 'note' AND NOT chord AND NOT grace) THEN t WHEN tag = 'backup' THEN -t ELSE 0 END AS delta FROM el
+),
+cur AS (
+  SELECT *, coalesce(sum(delta) OVER (PARTITION BY score_id, part, m ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM moved
+),
+timed AS (
+  SELECT *, coalesce(last_value(CASE WHEN tag = 'note' AND NOT chord THEN c END IGNORE NULLS) OVER (PARTITION BY score_id, part, m ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS local_onset FROM cur
+),
+reach AS (
+  SELECT score_id, m, greatest(0, max(CASE WHEN tag = 'forward' OR (tag = 'note' AND NOT chord AND NOT grace) THEN c + delta END)) AS actual FROM cur WHERE part = 0 GROUP BY 1, 2
+),
+frame_ AS (
+  SELECT s.score_id, s.m, s.num, s.den, s.full_ticks * 24 // 64 AS full_24, s.start_tick * 24 // 64 AS start_24, coalesce(r.actual, 0) AS actual,
+    CASE WHEN s.m = 0 AND coalesce(r.actual, 0) < s.full_ticks * 24 // 64 THEN s.full_ticks * 24 // 64 - coalesce(r.actual, 0) ELSE 0 END AS shift
+  FROM meas s LEFT JOIN reach r USING (score_id, m)
+),
+sounding AS (
+  SELECT *, sum(CASE WHEN starts AND NOT stops THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, part, pitch ORDER BY m, event_id) AS island FROM timed WHERE tag = 'note' AND NOT grace AND NOT silent
+),
+closing_ AS (
+  SELECT *, coalesce(sum(CASE WHEN stops AND NOT starts THEN 1 ELSE 0 END) OVER (PARTITION BY score_id, part, pitch, island ORDER BY m, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS closed FROM sounding
+),
+held AS (
+  SELECT score_id, part, pitch, island, sum(t) AS extra FROM closing_ WHERE stops AND island > 0 AND closed = 0 GROUP BY 1, 2, 3, 4
+),
+struck AS (
+  SELECT a.score_id, a.part, a.m, a.event_id, a.pitch, f.shift + a.local_onset AS off, f.start_24 + f.shift + a.local_onset AS onset, a.t + CASE WHEN a.starts THEN coalesce(h.extra, 0) ELSE 0 END AS duration
+  FROM closing_ a JOIN frame_ f ON f.score_id = a.score_id AND f.m = a.m
+  LEFT JOIN held h ON h.score_id = a.score_id AND h.part = a.part AND h.pitch = a.pitch AND h.island = a.island WHERE NOT a.stops
+)
+"""
+
+PAGES = """
+boxes AS (
+  SELECT DISTINCT score_id, sec // 86400 // 7 AS page, sec // 86400 % 7 AS d, CAST(sec % 86400 // 60 * 2 AS DOUBLE) AS x, sec // 86400 % 7 * 300.0 + length(event_type) * 12 AS y, event_type FROM ev
+),
+days_ AS (SELECT DISTINCT score_id, page, d FROM boxes),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY score_id, page ORDER BY d) - 1 AS sys FROM days_),
+heads_ AS (SELECT b.*, r.sys, b.x + 6 AS cx FROM boxes b JOIN ranked r USING (score_id, page, d)),
+extent AS (SELECT score_id, page, sys, min(y) AS top, max(y + 10) AS bottom, min(x) AS l, max(x + 12) AS r FROM heads_ GROUP BY 1, 2, 3),
+xs AS (SELECT score_id, page, sys, cx, count(*) AS n, row_number() OVER (PARTITION BY score_id, page, sys ORDER BY cx) AS nth FROM heads_ GROUP BY 1, 2, 3, 4),
+-- tolerance max(2.5, min(0.34 * 10, 0.55 * 12)) = 3.4
+walk_ AS (
+  SELECT score_id, page, sys, nth, cx, n, 0 AS col, cx * n AS total, n AS members FROM xs WHERE nth = 1
+  UNION ALL
+  SELECT v.score_id, v.page, v.sys, v.nth, v.cx, v.n, CASE WHEN abs(v.cx - w.total / w.members) <= 3.4 THEN w.col ELSE w.col + 1 END,
+    CASE WHEN abs(v.cx - w.total / w.members) <= 3.4 THEN w.total + v.cx * v.n ELSE v.cx * v.n END, CASE WHEN abs(v.cx - w.total / w.members) <= 3.4 THEN w.members + v.n ELSE v.n END
+  FROM walk_ w JOIN xs v ON v.score_id = w.score_id AND v.page = w.page AND v.sys = w.sys AND v.nth = w.nth + 1
+)
+"""
+
+ORACLES |= {
+    "score_hits": with_(BASE, SCORE) + f"""
+SELECT {longs('score_id', 'onset', 'max(duration) AS duration', 'arg_min(off, (part, m, event_id)) AS offset', 'arg_min(m, (part, m, event_id)) AS measure_index', 'count(*) AS source_count')},
+  string_agg(DISTINCT pitch, ',' ORDER BY pitch) AS pitches FROM struck GROUP BY score_id, onset""",
+    "score_measures": with_(BASE, SCORE) + f"""
+SELECT {longs('score_id', 'm AS measure_index', 'num', 'den', 'start_24 AS start', 'full_24 AS full', 'actual', 'shift AS pickup_shift', 'm // 7 + 1 AS page_index', 'CASE WHEN m % 7 >= 3 THEN 1 ELSE 0 END AS system_index', '80 + 100 * CASE WHEN m % 7 >= 3 THEN m % 7 - 3 ELSE m % 7 END AS x_start')} FROM frame_""",
+    "physical_groups": with_(BASE, PAGES) + f"""
+SELECT {longs('w.score_id AS score_id', 'w.page AS page_index', 'w.sys AS system_index', 'w.col AS group_index', 'sum(w.n) AS heads', 'any_value(e.top) AS system_top', 'any_value(e.bottom) AS system_bottom', 'any_value(e.l) AS system_left', 'any_value(e.r) AS system_right')}
+FROM walk_ w JOIN extent e USING (score_id, page, sys) GROUP BY w.score_id, w.page, w.sys, w.col""",
+    "system_bounds": with_(BASE, PAGES) + f"""
+SELECT {longs('score_id', 'page AS page_index', 'sys AS system_index', 'top * 2 AS top', 'bottom * 2 AS bottom', 'coalesce(bottom + lead(top) OVER (PARTITION BY score_id, page ORDER BY top, sys), bottom * 2) AS guard_bottom')} FROM extent""",
+}
