@@ -10,7 +10,7 @@ from pulsegrid.operators.anchors import anchor_chain, monotone_fill
 from pulsegrid.operators.clusters import gap_clusters, medoids
 from pulsegrid.operators.graph import typed_edges
 from pulsegrid.operators.quantum import gcd_by, quantum_columns
-from pulsegrid.operators.scan import Scan
+from pulsegrid.operators.scan import Scan, sized_scan
 from pulsegrid.session import freeze
 
 SYSTEM = ["score_id", "page_index", "system_index"]
@@ -30,8 +30,8 @@ _RATIO = "struct<num:bigint,den:bigint>"
 
 def stack_measures(stacks: DataFrame) -> DataFrame:
     """Stacks numbered through the score in page, system, stack order: the measure they stand for."""
-    return Scan(("score_id",), ("page_index", "system_index", "stack_ord")).number(stacks, "measure_index").withColumn(
-        "measure_index", F.col("measure_index").cast("int"))
+    rows, scan = sized_scan(stacks.select(*STACK), ["score_id"], STACK[1:])
+    return scan.number(rows, "measure_index").select(*STACK, F.col("measure_index").cast("int").alias("measure_index"))
 
 
 def stack_counts(stacks: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.notation import measure_number
 from pulsegrid.functions.rational import int_div
-from pulsegrid.operators.scan import Scan
+from pulsegrid.operators.segments import measure_scan
 
 NOT_NUMERIC = "numbering-not-numeric"
 NOT_INCREASING = "numbering-not-increasing"
@@ -15,14 +15,14 @@ CONFLICTING_METERS = "conflicting-neighbour-meters"
 UNKNOWN_MEASURE = "hit-in-unknown-measure"
 
 
-def framework_gaps(measures: DataFrame, stack_counts: DataFrame, scan: Scan | None = None) -> tuple[DataFrame, DataFrame]:
+def framework_gaps(measures: DataFrame, stack_counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Return (measures in stack order, verdict per score).
 
     Needs measures(score_id, measure_index, measure_number, num, den, full, tpq, ...) and stack_counts(score_id, stacks).  A score whose
     stacks outnumber its measures is expanded only if its numbers rise strictly and cover the stacks exactly; a missing measure takes the
     meter of its two neighbours, which must agree.  Refused scores keep a verdict row and no measures.
     """
-    scan = scan or Scan(("score_id",), ("measure_index",))
+    scan = measure_scan(measures)
     numbered = measures.withColumn("_no", measure_number(F.col("measure_number")))
     linked = scan.neighbour(numbered, +1, _next_no=F.col("_no"), _next_num=F.col("num"), _next_den=F.col("den"), _next_index=F.col("measure_index"))
     step = F.col("_next_no") - F.col("_no")

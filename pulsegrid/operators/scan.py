@@ -18,7 +18,7 @@ from pulsegrid.session import freeze
 HOT_ROWS_CONF = "spark.pulsegrid.hotKeyRows"
 HOT_ROWS = 5_000_000
 
-_CHUNK = "_chunk"
+CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
@@ -132,8 +132,13 @@ def sized_scan(df: DataFrame, keys: list[str], order: list[str], probe: DataFram
     return chunked(df, keys, order, limit)
 
 
+def carried_scan(df: DataFrame, keys: list[str], order: list[str]) -> Scan:
+    """Scan over a frame that may already carry the chunk column of a (key, order) prefix of this scan."""
+    return Scan(tuple(keys), tuple(order), CHUNK if CHUNK in df.columns else None)
+
+
 def chunked(df: DataFrame, keys: list[str], order: list[str], rows_per_chunk: int) -> tuple[DataFrame, Scan]:
     rows = df.agg(F.count(F.lit(1))).first()[0]
     parts = max(2, -(-int(rows) * 2 // rows_per_chunk))
-    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(_CHUNK, F.spark_partition_id())
-    return freeze(ranged), Scan(tuple(keys), tuple(order), _CHUNK)
+    ranged = df.repartitionByRange(parts, *keys, *order).withColumn(CHUNK, F.spark_partition_id())
+    return freeze(ranged), Scan(tuple(keys), tuple(order), CHUNK)

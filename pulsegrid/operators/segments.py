@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.meter import meter_columns
 from pulsegrid.operators.ranges import range_lookup
-from pulsegrid.operators.scan import Scan
+from pulsegrid.operators.scan import Scan, carried_scan
 
 
-def measure_scan() -> Scan:
-    """Measures of one score in order: one row per measure, so a score's own length bounds the window."""
-    return Scan(("score_id",), ("measure_index",))
+def measure_scan(measures: DataFrame) -> Scan:
+    """Measures of one score in order, chunked if the frame carries chunks."""
+    return carried_scan(measures, ["score_id"], ["measure_index"])
 
 
-def measure_starts(measures: DataFrame, scan: Scan | None = None) -> DataFrame:
+def measure_starts(measures: DataFrame) -> DataFrame:
     """Start of each measure = sum of the full durations before it."""
-    return (scan or measure_scan()).running(measures, exclusive=True, start=("sum", F.col("full")))
+    return measure_scan(measures).running(measures, exclusive=True, start=("sum", F.col("full")))
 
 
-def meter_segments(measures: DataFrame, scan: Scan | None = None) -> DataFrame:
+def meter_segments(measures: DataFrame) -> DataFrame:
     """Maximal runs of measures with equal meter.
 
     Needs score_id, measure_index, num, den, start, full, tpq (and opening_anacrusis if there is one).
     """
-    scan = scan or measure_scan()
+    scan = measure_scan(measures)
     has_opening = "opening_anacrusis" in measures.columns
     marked = scan.neighbour(measures, -1, _num=F.col("num"), _den=F.col("den"))
     marked = marked.withColumn("_new", (F.col("_num").isNotNull() & ((F.col("_num") != F.col("num")) | (F.col("_den") != F.col("den")))).cast("int"))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from pulsegrid.functions.meter import normalized_meter, parse_meter
 from pulsegrid.functions.notation import clamp_unit, pitch_text, tie_flag, tuplet_ratio
 from pulsegrid.functions.rational import int_div, lcm_of
-from pulsegrid.operators.scan import Scan
+from pulsegrid.operators.scan import Scan, carried_scan
+from pulsegrid.operators.segments import measure_scan
 
 MEASURE_KEYS = ("score_id", "part_ord", "measure_index")
 
@@ -52,7 +53,7 @@ def actual_durations(timed: DataFrame) -> DataFrame:
 
 def with_divisions(raw_measures: DataFrame) -> DataFrame:
     """Divisions carried forward inside each part (1 until stated)."""
-    scan = Scan(("score_id", "part_ord"), ("measure_index",))
+    scan = carried_scan(raw_measures, ["score_id", "part_ord"], ["measure_index"])
     filled = scan.running(raw_measures, _div=("last", F.col("divisions")))
     return filled.withColumn("divisions", F.coalesce("_div", F.lit(1))).drop("_div")
 
@@ -71,7 +72,8 @@ def tick_base(part_measures: DataFrame) -> DataFrame:
 def measure_templates(part_measures: DataFrame, actual: DataFrame, tpq: DataFrame, override: str | None = None) -> DataFrame:
     """Measures of the first part: meter carried forward, start, actual duration, pickup shift, opening anacrusis."""
     first = part_measures.filter("part_ord = 0")
-    scan = Scan(("score_id",), ("measure_index",))
+    scan = measure_scan(part_measures)
+    chunk = [scan.chunk] if scan.chunk else []
     stated = F.col("beats").isNotNull() | F.col("beat_type").isNotNull() | (F.coalesce("time_symbol", F.lit("")) != "")
     complete = F.col("beats").isNotNull() & F.col("beat_type").isNotNull()
     num, den = F.when(complete, F.col("beats")), F.when(complete, F.col("beat_type"))
@@ -82,7 +84,7 @@ def measure_templates(part_measures: DataFrame, actual: DataFrame, tpq: DataFram
     initial = F.coalesce(parsed, F.struct(F.lit(4).alias("num"), F.lit(4).alias("den")))
     with_meter = meters.withColumn("_now", F.coalesce("_now", initial)).join(tpq, "score_id")
     sized = with_meter.join(actual.filter("part_ord = 0").drop("part_ord"), ["score_id", "measure_index"], "left").select(
-        "score_id", "measure_index",
+        "score_id", "measure_index", *chunk,
         F.coalesce("number", (F.col("measure_index") + 1).cast("string")).alias("measure_number"),
         F.col("_now.num").cast("int").alias("num"), F.col("_now.den").cast("int").alias("den"), "tpq",
         int_div(F.col("_now.num") * 4 * F.col("tpq"), F.col("_now.den")).cast("bigint").alias("full"),
@@ -151,9 +153,9 @@ def layout_counters(rows: DataFrame, scan: Scan) -> DataFrame:
 
 def measure_layouts(part_measures: DataFrame, config: DataFrame) -> DataFrame:
     """Page, system, x start and system top of each measure of the first part."""
-    scan = Scan(("score_id",), ("measure_index",))
+    scan = measure_scan(part_measures)
     first = part_measures.filter("part_ord = 0").select(
-        "score_id", "measure_index", F.coalesce("width", F.lit(DEFAULT_MEASURE_WIDTH)).alias("width"), "new_page", "new_system",
+        "score_id", "measure_index", *([scan.chunk] if scan.chunk else []), F.coalesce("width", F.lit(DEFAULT_MEASURE_WIDTH)).alias("width"), "new_page", "new_system",
         F.col("system_left").alias("_left"), F.col("system_distance").alias("_dist"), F.col("top_system_distance").alias("_top"),
     )
     joined = scan.running(first, _l=("last", F.col("_left")), _d=("last", F.col("_dist")), _t=("last", F.col("_top"))).join(config, "score_id")

@@ -10,7 +10,7 @@ from pulsegrid.operators import columns as C
 from pulsegrid.operators import layout, profiles, quality, reconcile, register, timeline
 from pulsegrid.operators.hits import merge_hits
 from pulsegrid.operators.levels import refine
-from pulsegrid.operators.scan import Scan, hot_row_limit, largest_key, chunked
+from pulsegrid.operators.scan import CHUNK, Scan, chunked, hot_row_limit, largest_key
 from pulsegrid.operators.segments import meter_segments, segment_hits
 from pulsegrid.session import freeze
 
@@ -34,12 +34,12 @@ def parse_scores(elements: DataFrame, raw_measures: DataFrame, layout_table: Dat
         # Keys finer than a score cannot be hot unless a score is.
         return chunked(df, keys, order, hot_row_limit(df)) if hot else (df, Scan(tuple(keys), tuple(order)))
 
+    if largest_key(raw_measures, "score_id") > hot_row_limit(raw_measures):
+        raw_measures, _ = chunked(raw_measures, ["score_id", "part_ord"], ["measure_index"], hot_row_limit(raw_measures))
     part_measures = timeline.with_divisions(raw_measures)
     tpq = timeline.tick_base(part_measures)
     ticked, by_measure = scan(timeline.tick_elements(elements, part_measures, tpq), list(timeline.MEASURE_KEYS), ["doc_order"])
-    timed = timeline.cursor(ticked, by_measure)
-    if by_measure.chunk:
-        timed = timed.drop(by_measure.chunk)
+    timed = timeline.cursor(ticked, by_measure).drop(CHUNK)
     templates = timeline.measure_templates(part_measures, timeline.actual_durations(timed), tpq, meter_override)
     config = timeline.layout_config(layout_table)
     layouts = timeline.measure_layouts(part_measures, config)

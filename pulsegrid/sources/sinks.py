@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.meter import beat_unit_name
 from pulsegrid.functions.rational import int_div, parse_rational, rational_text
-from pulsegrid.operators.scan import Scan
+from pulsegrid.operators.columns import stack_measures
+from pulsegrid.operators.scan import sized_scan
 
 BUCKET = "score_bucket"
 
@@ -18,9 +19,9 @@ def write_by_score(df: DataFrame, path: str, buckets: int = 256, mode: str = "ov
 
 def slot_rows(stacks: DataFrame, slots: DataFrame) -> DataFrame:
     """Timed positions of every measure stack: absolute x, quarter time, counters through the score."""
-    place = Scan(("score_id",), ("page_index", "system_index", "stack_ord"))
-    numbered = place.number(stacks, "global_measure_index")
-    joined = numbered.filter("left IS NOT NULL AND right IS NOT NULL").join(slots, ["score_id", "page_index", "system_index", "stack_ord"])
+    place = ["score_id", "page_index", "system_index", "stack_ord"]
+    numbered = stacks.join(stack_measures(stacks).withColumnRenamed("measure_index", "global_measure_index"), place)
+    joined = numbered.filter("left IS NOT NULL AND right IS NOT NULL").join(slots, place)
     t = joined.withColumn("_t", parse_rational(F.col("time_offset"))).filter("_t IS NOT NULL AND x_offset IS NOT NULL")
     return t.select(
         "score_id", "global_measure_index", (F.col("global_measure_index") + 1).alias("measure_ordinal"), "page_index", "system_index",
@@ -87,7 +88,8 @@ DOCUMENT_EVENTS = 10_000
 def score_documents(segments: DataFrame, events: DataFrame) -> DataFrame:
     """Nested documents: a segment with its events, in numbered pages of bounded size."""
     keys = ["score_id", "segment_index"]
-    numbered = Scan(tuple(keys), ("onset",)).number(events, "_nth").withColumn("document_page", int_div(F.col("_nth"), DOCUMENT_EVENTS))
+    rows, scan = sized_scan(events, keys, ["onset"])
+    numbered = scan.number(rows, "_nth").withColumn("document_page", int_div(F.col("_nth"), DOCUMENT_EVENTS))
     event = F.struct("onset", "measure_index", "offset", "duration", "levels", "height", "density", "lowest_level")
     body = numbered.groupBy(*keys, "document_page").agg(F.array_sort(F.collect_list(event)).alias("events"))
     header = segment_rows(segments, events)

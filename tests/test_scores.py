@@ -4,6 +4,8 @@ from fractions import Fraction
 
 import pytest
 
+from pulsegrid.operators.scan import CHUNK, HOT_ROWS_CONF
+from pulsegrid.operators.segments import meter_segments
 from pulsegrid.plans import scores as J
 from pulsegrid.sources import musicxml
 from tests.scores import measure, move, note, score, zipped_names
@@ -125,3 +127,18 @@ def test_levels_end_to_end(parsed):
     assert derived.nodes.count() == derived.wave.count()
     assert sinks.score_documents(segments, events).count() == segments.count()
     assert J.analysis_quality(events, segments).count() >= 1
+
+
+def test_hot_scores_give_the_same(spark, corpus, parsed):
+    """Chunked scans over elements, measures and notes change nothing."""
+    spark.conf.set(HOT_ROWS_CONF, "3")
+    try:
+        hot = J.parse_scores(corpus["elements"], corpus["measures"], corpus["layout"])
+        rows = lambda df: sorted(repr(r) for r in df.select(*sorted(c for c in df.columns if c != CHUNK)).collect())
+        assert CHUNK in hot.measures.columns
+        assert rows(hot.measures) == rows(parsed.measures)
+        assert rows(hot.hits) == rows(parsed.hits)
+        assert rows(hot.layouts) == rows(parsed.layouts)
+        assert rows(meter_segments(hot.measures)) == rows(meter_segments(parsed.measures))
+    finally:
+        spark.conf.unset(HOT_ROWS_CONF)
