@@ -14,7 +14,7 @@ from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan, sized_scan
 from pulsegrid.operators.segments import segment_hits
 from pulsegrid.plans.events import (
-    TPQ, event_attacks, event_hits, event_levels, event_measures, event_segments, read_events, seconds_since_epoch,
+    TPQ, event_hits, event_levels, event_measures, event_segments, read_events, seconds_since_epoch,
 )
 
 LONG = "bigint"

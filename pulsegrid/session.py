@@ -16,6 +16,10 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, shuffl
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Plans are built from many small expressions; recording a Python call site for each costs more than the rest of building.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # Merges keep small sets per key; the default of 128 keys would send nearly every task to the sorting fallback.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")
     )
     if master is not None:
         # On one machine small stages are bound by work per row, not bytes: keep them spread over the cores.
