@@ -76,6 +76,11 @@ def register_stats(anchors: DataFrame) -> DataFrame:
     return rolled.filter("score_id IS NOT NULL").withColumn("level", F.coalesce("level", F.lit(0)))
 
 
+def reason_stats(anchors: DataFrame) -> DataFrame:
+    """Events per outcome: mapped ones and one row per reason."""
+    return anchors.groupBy("score_id", F.coalesce("reason", F.lit("mapped")).alias("outcome")).agg(F.count(F.lit(1)).alias("events"), F.sum(F.size("levels")).alias("labels"))
+
+
 def missing_targets(anchors: DataFrame) -> DataFrame:
     """Unregistered events, one row per Level with the reason."""
     return anchors.filter("reason IS NOT NULL").select("score_id", F.explode("levels").alias("level"), "measure_index", "offset", "reason")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.meter import beat_unit_name
@@ -75,6 +77,19 @@ def measure_rows(measures: DataFrame) -> DataFrame:
     )
 
 
+def score_summary(measures: DataFrame, events: DataFrame) -> DataFrame:
+    """One row per score: measures, hits, Levels in use, hit source."""
+    counts = measures.groupBy("score_id").agg(F.count(F.lit(1)).alias("measure_count"))
+    recovered = F.bool_or("canonical_recovered") if "canonical_recovered" in events.columns else F.lit(False)
+    found = events.groupBy("score_id").agg(F.count(F.lit(1)).alias("hit_count"), F.max("height").alias("max_level"), recovered.alias("_recovered"))
+    used = events.select("score_id", F.explode("levels").alias("level")).distinct().groupBy("score_id").agg(F.array_sort(F.collect_list("level")).alias("levels_enabled"))
+    joined = counts.join(found, "score_id", "left").join(used, "score_id", "left")
+    return joined.select(
+        "score_id", "measure_count", F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("max_level", F.lit(0)).alias("max_level"),
+        F.coalesce("levels_enabled", F.array().cast("array<int>")).alias("levels_enabled"),
+        F.when(F.col("_recovered"), "canonical-score-time").otherwise("musicxml-symbolic").alias("analysis_hit_source"))
+
+
 def structural_points(events: DataFrame) -> DataFrame:
     """Events that reached a Level, in the shape older consumers read."""
     return events.filter(F.size("levels") > 0).select(
@@ -104,6 +119,15 @@ def summary_documents(events: DataFrame, labels: DataFrame) -> DataFrame:
     return kept.join(named, ["score_id", "segment_index", "onset"], "left").select("score_id", F.to_json(F.struct(*[c for c in kept.columns if c != "score_id"], "label")).alias("document"))
 
 
+def placement_documents(**placed: DataFrame) -> DataFrame:
+    """Placed pieces of every kind as JSON rows under (score, page, kind); pieces without a position are left to the missing report."""
+    def rows(kind: str, df: DataFrame) -> DataFrame:
+        found = df.filter("page_index IS NOT NULL AND reason IS NULL")
+        return found.select("score_id", "page_index", F.lit(kind).alias("kind"), F.to_json(F.struct(*[c for c in found.columns if c not in ("score_id", "page_index", "reason")])).alias("document"))
+
+    return reduce(DataFrame.unionByName, (rows(kind, df) for kind, df in placed.items()))
+
+
 def column_audit(columns: DataFrame) -> DataFrame:
     """Recovered columns as JSON rows for review."""
     quarter = lambda c: rational_text(F.col(c), F.col("tpq"))

@@ -171,6 +171,12 @@ def test_layout_and_overlay(spark, project, columns, tmp_path):
     assert (assembled.layer_anchors, assembled.wave_anchors, assembled.tree_nodes, assembled.system_bounds) == (7, 7, 7, 2)
     assert register.unregistered_stats(events).filter("level = 0").collect()[0].missing == stats[0].expected
     assert sinks.column_audit(columns).count() == 8
+    outcome = register.reason_stats(placed.anchors).collect()
+    assert [(r.outcome, r.events, r.labels) for r in outcome] == [("mapped", 7, stats[0].expected)]
+    documents = sinks.placement_documents(layer=placed.anchors, wave=placed.wave, branch=placed.branches)
+    assert documents.filter("kind = 'layer'").count() == 7 and documents.filter("page_index IS NULL").count() == 0
+    summary = sinks.score_summary(framed, events).collect()[0]
+    assert (summary.measure_count, summary.hit_count, summary.analysis_hit_source) == (2, 7, "canonical-score-time") and summary.max_level == max(summary.levels_enabled)
 
 
 def test_staff_frames(spark):
