@@ -39,11 +39,17 @@ def stack_counts(stacks: DataFrame) -> DataFrame:
 
 
 def begin_times(slots: DataFrame, entries: DataFrame) -> DataFrame:
-    """Times (in quarters) at which a chord is said to begin, in reading order; later slots of the same id win."""
-    timed = slots.withColumn("_t", parse_rational(F.col("time_offset"))).filter("_t IS NOT NULL AND slot_id IS NOT NULL")
-    unique = timed.groupBy(*STACK, "slot_id").agg(F.max_by("_t", "slot_ord").alias("_t"))
-    begins = entries.filter("upper(status) = 'BEGIN' AND chord_id IS NOT NULL").join(unique, [*STACK, "slot_id"])
-    return begins.select(*STACK, "chord_id", F.struct("part_ord", "entry_ord").alias("seen"), (F.col("_t.num") * 4).alias("num"), F.col("_t.den").alias("den"))
+    """Times (in quarters) at which a chord is said to begin, in reading order; later slots of the same id win.
+
+    Only the slots that entries name are parsed.
+    """
+    begins = entries.filter("upper(status) = 'BEGIN' AND chord_id IS NOT NULL").select(*STACK, "slot_id", "chord_id", "part_ord", "entry_ord")
+    named = begins.join(slots.select(*STACK, "slot_id", "slot_ord", "time_offset"), [*STACK, "slot_id"])
+    # Malformed times drop out after the aggregate: a filter on the parsed time would be pushed to all slots and parse them twice.
+    timed = named.withColumn("_t", parse_rational(F.col("time_offset")))
+    last = F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("slot_ord"))).alias("_t")
+    return timed.groupBy(*STACK, "chord_id", F.struct("part_ord", "entry_ord").alias("seen")).agg(last).filter("_t IS NOT NULL").select(
+        *STACK, "chord_id", "seen", (F.col("_t.num") * 4).alias("num"), F.col("_t.den").alias("den"))
 
 
 def measure_chords(chords: DataFrame) -> DataFrame:
@@ -134,8 +140,9 @@ def recover_columns(
     objects: DataFrame, relations: DataFrame, stacks: DataFrame, slots: DataFrame, chords: DataFrame, entries: DataFrame, measures: DataFrame,
 ) -> DataFrame:
     """Columns of every measure with recovered onset and length (ticks of the score's own base ``tpq``), flags and timing source."""
-    events = notation_events(objects, relations, chords, stacks, measures)
-    begins = begin_times(slots, entries)
+    # Events, begin times, members and columns are each read by several of the steps below, so each is written once.
+    events = freeze(notation_events(objects, relations, chords, stacks, measures))
+    begins = freeze(begin_times(slots, entries))
 
     # One tick base per score for lengths, begin times and meters.
     dens = events.select("score_id", F.col("length.den").alias("v")).unionByName(begins.select("score_id", F.col("den").alias("v"))).unionByName(
@@ -148,7 +155,6 @@ def recover_columns(
     begins = begins.join(base, "score_id").withColumn("t", int_div(F.col("num") * F.col("base"), F.col("den"))).drop("num", "den", "base")
 
     in_order = Scan(tuple(MEASURE), ("x_abs", "staff", "chord_id"))
-    # Members, begin times and columns are each read by several of the steps below, so each is written once.
     clustered = freeze(gap_clusters(events, in_order, "x_abs", F.lit(COLUMN_TOLERANCE), "i").withColumn("i", F.col("i").cast("int")))
     column = [*MEASURE, "i"]
     representative = medoids(clustered, Scan(tuple(column), ("x_abs", "chord_id")), "x_abs", "chord_id").select(*column, F.col("medoid").alias("chord_id"))

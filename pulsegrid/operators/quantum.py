@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.functions.rational import gcd_of, power_of_two
-
-MAX_HALVINGS = 40
+from pulsegrid.functions.rational import ceil_log2_ratio, gcd_of, power_of_two
 
 
 def gcd_by(values: DataFrame, keys: list[str], value: str, name: str = "gcd") -> DataFrame:
@@ -16,9 +14,8 @@ def gcd_by(values: DataFrame, keys: list[str], value: str, name: str = "gcd") ->
 
 
 def halvings(whole: Column, ticks: Column, columns: Column) -> Column:
-    """Fewest halvings of ``ticks`` that leave at least ``columns`` units in ``whole``."""
-    fits = F.filter(F.sequence(F.lit(0), F.lit(MAX_HALVINGS)), lambda k: F.call_function("div", whole * power_of_two(k), ticks) >= columns)
-    return F.get(fits, F.lit(0))
+    """Fewest halvings k of ``ticks`` with (whole * 2^k) div ticks >= columns, that is whole * 2^k >= columns * ticks."""
+    return ceil_log2_ratio(columns * ticks, whole)
 
 
 def quantum_columns(gcd_ticks: Column, full: Column, tpq: Column, columns: Column) -> Column:

@@ -10,6 +10,7 @@ from pulsegrid.operators import layout
 from pulsegrid.plans import scores
 from pulsegrid.plans.events import read_events, seconds_since_epoch, week_meter
 from pulsegrid.plans.generic import LONG, as_text, longs
+from pulsegrid.session import freeze
 
 PARTS = 2
 UNIT = 24
@@ -70,7 +71,8 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
     kind, sec = F.col("event_type"), seconds_since_epoch()
     day = int_div(sec, 86400).cast("int")
     base = events.select(F.col("user_id").alias("score_id"), day.alias("day"), int_div(sec % 86400, 60).cast("int").alias("minute"), kind.alias("kind_name"), F.ceil("value").cast("int").alias("size"))
-    chords = base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size")).select(
+    # All six tables are views of the chords, so the chords are written once.
+    chords = freeze(base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size"))).select(
         "*", F.concat_ws(".", "day", "minute", "kind_name").alias("chord_id"), int_div(F.col("day"), 7).cast("int").alias("page_index"), F.lit(0).alias("system_index"), (F.col("day") % 7).cast("int").alias("stack_ord"))
     rest = F.col("kind_name") == "error"
     x, y = F.col("minute").cast("double"), F.length("kind_name") * 10.0
