@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrid.session import ensure_checkpoint_dir
@@ -16,14 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write the frame as Parquet under the shared checkpoint folder and continue from the written copy.
 
     The copy survives lost executors, is read back with column pruning and statistics, and keeps a costly plan from running twice.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,3 +52,17 @@ def unit(hashed: Column) -> Column:
 def count_words(text: Column) -> Column:
     """Words of a text as BIGINT; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def slices(batches, column: str, limit: int = 8 << 20):
+    """Cut Arrow batches into slices whose ``column`` holds about ``limit`` bytes at most; a longer value stands alone."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop

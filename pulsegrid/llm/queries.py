@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import secrets, shards
-from pulsegrid.llm.common import table
+from pulsegrid.llm import blocks, packing, secrets, shards
+from pulsegrid.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +28,20 @@ def hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-blocks")
+    blocks.write(table(spark, sf_dir, "documents"), path, "doc_id", "text")
+    return blocks.read(spark, path)
+
+
+def residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": secret_scan,
+    "op3_token_blocks": token_blocks,
+    "op8_residual_packing": residual_packing,
     "op9_hash_tree_shards": hash_tree_shards,
 }
 
