@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import blocks, packing, secrets, shards
+from pulsegrid.llm import blocks, packing, quality, secrets, shards
 from pulsegrid.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +38,16 @@ def residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", *[f"verdict.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")])
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": secret_scan,
     "op3_token_blocks": token_blocks,
+    "op4_quality_rules": quality_rules,
     "op8_residual_packing": residual_packing,
     "op9_hash_tree_shards": hash_tree_shards,
 }
