@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import blocks, packing, quality, secrets, shards
+from pulsegrid.llm import blocks, langid, packing, pii, quality, secrets, shards
 from pulsegrid.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,12 +44,27 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[f"verdict.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "score")])
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("pii_spans", lambda s: ~s["disguised"])
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *[of(k) for k in pii.KINDS], F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("pii_spans")).alias("spans"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": secret_scan,
     "op3_token_blocks": token_blocks,
     "op4_quality_rules": quality_rules,
+    "op7_personal_data": personal_data,
     "op8_residual_packing": residual_packing,
     "op9_hash_tree_shards": hash_tree_shards,
+    "op10_language_id": language_id,
 }
 
 ORACLES: dict[str, str] = {}
