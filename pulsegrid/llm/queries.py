@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import blocks, langid, packing, pii, quality, secrets, shards
-from pulsegrid.llm.common import shared_path, table
+from pulsegrid.llm import blocks, langid, mixing, neighbours, packing, pii, quality, secrets, shards
+from pulsegrid.llm.common import count_words, shared_path, table, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,10 +57,28 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "language.lang_pred", "language.score")
 
 
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sources, identity = F.array("source"), ["doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))]
+    rows = write_once(docs.select("doc_id", "source", mixing.pattern_of(sources).alias("pattern"), mixing.order_of(*identity).alias("place"), count_words(F.col("text")).alias("size")), "mix")
+    made = mixing.plan(rows)
+    by_source = lambda values, kind: F.coalesce(
+        F.create_map(*[F.lit(x) for s, v in values.items() if s is not None for x in (s, v)])[F.col("source")] if set(values) - {None} else F.lit(None).cast(kind), F.lit(values.get(None)).cast(kind))
+    taken = F.col("size") * mixing.copies(made, F.col("pattern"), F.col("place"), F.col("size"))
+    return rows.select("doc_id", "size", by_source(made.sizes, "long").alias("source_size"), by_source(made.targets, "double").alias("target"), taken.alias("taken"))
+
+
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Query] = {
     "op2_secret_scan": secret_scan,
     "op3_token_blocks": token_blocks,
     "op4_quality_rules": quality_rules,
+    "op5_source_mix": source_mix,
+    "op6_nearest_vectors": nearest_vectors,
     "op7_personal_data": personal_data,
     "op8_residual_packing": residual_packing,
     "op9_hash_tree_shards": hash_tree_shards,
