@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import blocks, langid, mixing, neighbours, packing, pii, quality, secrets, shards
+from pulsegrid.llm import blocks, jaccard, langid, mixing, neighbours, packing, pii, quality, secrets, shards
 from pulsegrid.llm.common import count_words, shared_path, table, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.components(table(spark, sf_dir, "documents"), "doc_id", "text", jaccard.Rule(size=3, per_cent=90))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("secret_spans", lambda s: s["kind"] != "random")
@@ -74,6 +79,7 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_jaccard": ngram_jaccard,
     "op2_secret_scan": secret_scan,
     "op3_token_blocks": token_blocks,
     "op4_quality_rules": quality_rules,
