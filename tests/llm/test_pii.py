@@ -3,6 +3,7 @@ import re
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -31,6 +32,13 @@ def test_detectors_against_patterns(text):
     assert pii.detect(text) == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="a@.-+1204 5()%é\n\u0430\uff11", max_size=40), st.sampled_from(["x one two three four five six seven eight nine zero", "a (at) b.co", "plus one two three four five six seven eight nine"])), max_size=5))
+def test_rows_left_out_have_no_spans(texts):
+    for text, scanned in zip(texts, pii.worth_scanning(pa.array(texts, pa.string())), strict=True):
+        assert scanned or pii.spans_of(text) == []
+
+
 def found(text):
     return [(s["kind"], text[s["start"]:s["end"]]) for s in pii.spans_of(text) if s["disguised"]]
 
