@@ -38,9 +38,9 @@ def gcd_of(values: Column) -> Column:
 
 
 def lcm_of(values: Column) -> Column:
-    """lcm of an array of positive integers; 1 for an empty array."""
+    """lcm of an array of positive integers; 1 for an empty array, null beyond BIGINT."""
     return F.aggregate(
-        values, F.lit(1).cast("bigint"), lambda acc, v: int_div(acc, gcd(acc, v)) * v.cast("bigint")
+        values, F.lit(1).cast("bigint"), lambda acc, v: F.when(acc.isNotNull(), F.try_multiply(int_div(acc, gcd(acc, v)), v.cast("bigint")))
     )
 
 
@@ -59,21 +59,26 @@ def rational_text(num: Column | str | int, den: Column | str | int) -> Column:
 
 # Accepted spellings of a rational (integer, n/d, decimal with optional exponent).
 _FRACTION_TEXT = r"^\s*([-+]?\d+)\s*(?:/\s*(\d+))?\s*$"
-_DECIMAL_TEXT = r"^\s*([-+]?)(\d*)\.(\d*)\s*$"
+_DECIMAL_TEXT = r"^\s*([-+]?)(\d*)\.?(\d*)(?:[eE]([-+]?\d{1,3}))?\s*$"
+MOST_PLACES = 17
 
 
 def parse_rational(text: Column | str) -> Column:
-    """Text to reduced struct<num,den>; null for anything malformed or with a zero denominator."""
+    """Text to reduced struct<num,den>; null for anything malformed, with a zero denominator, or beyond BIGINT or MOST_PLACES places."""
     t = F.col(text) if isinstance(text, str) else text
     num = F.regexp_extract(t, _FRACTION_TEXT, 1).try_cast("bigint")
     den_text = F.regexp_extract(t, _FRACTION_TEXT, 2)
     den = F.when(den_text == "", F.lit(1).cast("bigint")).otherwise(den_text.try_cast("bigint"))
     whole, part = F.regexp_extract(t, _DECIMAL_TEXT, 2), F.regexp_extract(t, _DECIMAL_TEXT, 3)
-    scale = F.pow(F.lit(10.0), F.length(part)).cast("bigint")
-    digits = F.concat(F.regexp_extract(t, _DECIMAL_TEXT, 1), whole, part).try_cast("bigint")
+    exponent = F.coalesce(F.regexp_extract(t, _DECIMAL_TEXT, 4).try_cast("int"), F.lit(0))
+    places = F.length(part) - exponent
+    # A negative number of places appends zeros to the digits.
+    zeros = F.repeat(F.lit("0"), F.greatest(F.lit(0), F.least(F.lit(MOST_PLACES + 2), -places)))
+    digits = F.concat(F.regexp_extract(t, _DECIMAL_TEXT, 1), whole, part, zeros).try_cast("bigint")
+    scale = F.pow(F.lit(10.0), F.least(F.lit(MOST_PLACES), F.greatest(F.lit(0), places))).cast("bigint")
     return (
-        F.when(t.rlike(_FRACTION_TEXT), rational(num, den))
-        .when(t.rlike(_DECIMAL_TEXT) & (F.length(F.concat(whole, part)) > 0) & (F.length(part) <= 17), rational(digits, scale))
+        F.when(t.rlike(_FRACTION_TEXT), F.when(num.isNotNull(), rational(num, den)))
+        .when(t.rlike(_DECIMAL_TEXT) & (F.length(F.concat(whole, part)) > 0) & (places <= MOST_PLACES) & digits.isNotNull(), rational(digits, scale))
     )
 
 

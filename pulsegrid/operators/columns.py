@@ -11,6 +11,7 @@ from pulsegrid.operators.clusters import gap_clusters, medoids
 from pulsegrid.operators.graph import typed_edges
 from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan, sized_scan
+from pulsegrid.operators.timeline import MAX_TPQ
 from pulsegrid.session import freeze
 
 SYSTEM = ["score_id", "page_index", "system_index"]
@@ -52,6 +53,12 @@ def begin_times(slots: DataFrame, entries: DataFrame) -> DataFrame:
         *STACK, "chord_id", "seen", (F.col("_t.num") * 4).alias("num"), F.col("_t.den").alias("den"))
 
 
+def unreadable_times(slots: DataFrame) -> DataFrame:
+    """Stated slot times that are no exact rational: score_id, time_offset."""
+    stated = slots.filter("trim(coalesce(time_offset, '')) <> ''")
+    return stated.withColumn("_t", parse_rational(F.col("time_offset"))).filter("_t IS NULL").select("score_id", "time_offset")
+
+
 def measure_chords(chords: DataFrame) -> DataFrame:
     """Chord ids of each stack, each once per kind, at its first place."""
     return chords.groupBy(*STACK, "kind", "chord_id").agg(F.min(F.struct("part_ord", "chord_ord")).alias("place"))
@@ -147,7 +154,8 @@ def recover_columns(
     # One tick base per score for lengths, begin times and meters.
     dens = events.select("score_id", F.col("length.den").alias("v")).unionByName(begins.select("score_id", F.col("den").alias("v"))).unionByName(
         measures.select("score_id", F.col("tpq").cast("bigint").alias("v"))).distinct()
-    base = dens.groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("base"))
+    # A score whose base leaves BIGINT has no columns; the caller reports it.
+    base = dens.groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("base")).filter(F.col("base") < MAX_TPQ)
     events = events.join(base, "score_id").withColumns({
         "duration": int_div(F.col("length.num") * F.col("base"), F.col("length.den")),
         "full": int_div(F.col("full") * F.col("base"), F.col("_mtpq")),
@@ -202,7 +210,7 @@ def recover_columns(
     source = F.when(F.col("exact_support") > 0, BEGIN_ANCHOR).when(F.col("anchor_j").isNotNull(), CHAIN_ANCHOR).otherwise(INTERPOLATED)
     sure = F.when(F.col("exact_support") > 0, F.least(F.lit(1.0), F.lit(BEGIN_CONFIDENCE) + F.lit(SUPPORT_BONUS) * F.col("exact_support"))).when(
         F.col("anchor_j").isNotNull(), F.lit(CHAIN_CONFIDENCE)).otherwise(F.lit(INTERPOLATED_CONFIDENCE))
-    bases = columns.select("score_id", F.col("quantum_base").alias("v")).distinct().groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("tpq"))
+    bases = columns.select("score_id", F.col("quantum_base").alias("v")).distinct().groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("tpq")).filter(F.col("tpq") < MAX_TPQ)
     based = out.withColumns({"timing_source": source, "confidence": sure}).join(bases, "score_id").withColumns({
         "onset": F.col("_onset") * int_div(F.col("tpq"), F.col("quantum_base")), "duration": F.col("duration") * int_div(F.col("tpq"), F.col("base"))})
     return based.select(

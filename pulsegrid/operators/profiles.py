@@ -67,20 +67,19 @@ def deepest_level(wave: DataFrame) -> int:
     return int(wave.agg(F.max("lowest_level")).first()[0] or 1)
 
 
-def tree(wave: DataFrame, scan: Scan, max_level: int | None = None) -> DataFrame:
+def tree(wave: DataFrame, scan: Scan) -> DataFrame:
     """Nodes with their parent: the nearest earlier point of the segment whose lowest Level is not above the node's own.
 
     For each Level the latest point at or below it is carried along the order; a node reads the entry of its own Level.  Levels are
     few, so this is one window with one running maximum per Level.
     """
-    max_level = max_level or deepest_level(wave)
     inside = scan.within("segment_index")
     place = ["onset", "measure_index", "offset"] + (["measure_number"] if "measure_number" in wave.columns else [])
     chunk = [scan.chunk] if scan.chunk else []
     slim = wave.select("score_id", "segment_index", *place, "levels", "lowest_level", F.col("height").alias("highest_level"), *chunk)
     nodes = scan.number(slim, "node_index")
     point = F.struct(*place, "node_index", "lowest_level")
-    latest = {f"_at{lv}": ("max", F.when(F.col("lowest_level") <= lv, point)) for lv in range(1, max_level + 1)}
+    latest = {f"_at{lv}": ("max", F.when(F.col("lowest_level") <= lv, point)) for lv in range(1, deepest_level(wave) + 1)}
     carried = inside.running(nodes, exclusive=True, **latest)
     return carried.withColumn("parent", F.get(F.array(*latest), F.col("lowest_level") - 1)).drop(*latest)
 

@@ -20,7 +20,7 @@ def framework_gaps(measures: DataFrame, stack_counts: DataFrame) -> tuple[DataFr
 
     Needs measures(score_id, measure_index, measure_number, num, den, full, tpq, ...) and stack_counts(score_id, stacks).  A score whose
     stacks outnumber its measures is expanded only if its numbers rise strictly and cover the stacks exactly; a missing measure takes the
-    meter of its two neighbours, which must agree.  Refused scores keep a verdict row and no measures.
+    meter of its two neighbours, which must agree.  Refused scores keep a verdict row and no measures; scores without stacks keep their measures.
     """
     scan = measure_scan(measures)
     numbered = measures.withColumn("_no", measure_number(F.col("measure_number")))
@@ -34,7 +34,7 @@ def framework_gaps(measures: DataFrame, stack_counts: DataFrame) -> tuple[DataFr
         F.min_by("_no", "measure_index").alias("base_number"), F.max_by("_no", "measure_index").alias("_last_no"),
         F.bool_or(F.coalesce((step > 1) & ((F.col("num") != F.col("_next_num")) | (F.col("den") != F.col("_next_den"))), F.lit(False))).alias("_clash"),
     )
-    joined = stack_counts.join(checks, "score_id", "left").withColumn("measures", F.coalesce("measures", F.lit(0)))
+    joined = stack_counts.join(checks, "score_id", "full").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("stacks", "measures")})
     sparse = F.col("stacks") > F.col("measures")
     reason = (
         F.when(~sparse, F.lit(None))

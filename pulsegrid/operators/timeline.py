@@ -59,14 +59,11 @@ def with_divisions(raw_measures: DataFrame) -> DataFrame:
 
 
 def tick_base(part_measures: DataFrame) -> DataFrame:
-    """Ticks per quarter of each score: lcm of all divisions and meter denominators."""
+    """Ticks per quarter of each score: lcm of all divisions and meter denominators; null where it leaves no room for exact times."""
     each = part_measures.select("score_id", F.explode(F.array(F.col("divisions").cast("bigint"), F.coalesce("beat_type", F.lit(4)).cast("bigint"))).alias("v"))
     distinct = each.filter("v > 0").distinct()
-    return distinct.groupBy("score_id").agg(F.collect_list("v").alias("_v")).select(
-        "score_id",
-        F.when(lcm_of(F.array_append("_v", F.lit(4).cast("bigint"))) < MAX_TPQ, lcm_of(F.array_append("_v", F.lit(4).cast("bigint"))))
-        .otherwise(F.raise_error(F.lit("tick base too large")).cast("bigint")).alias("tpq"),
-    )
+    bases = distinct.groupBy("score_id").agg(F.collect_list("v").alias("_v")).select("score_id", lcm_of(F.array_append("_v", F.lit(4).cast("bigint"))).alias("_base"))
+    return bases.select("score_id", F.when(F.col("_base") < MAX_TPQ, F.col("_base")).alias("tpq"))
 
 
 def measure_templates(part_measures: DataFrame, actual: DataFrame, tpq: DataFrame, override: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pulsegrid.functions.rational import int_div
 from pulsegrid.operators import columns as C
 from pulsegrid.operators import layout
 from pulsegrid.plans import scores
-from pulsegrid.plans.events import read_events, seconds_since_epoch, week_meter
+from pulsegrid.plans.events import calendar, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import LONG, as_text, longs
 from pulsegrid.session import freeze
 
@@ -16,14 +16,9 @@ PARTS = 2
 UNIT = 24
 
 
-def _days(events: DataFrame) -> DataFrame:
-    last = events.groupBy(F.col("user_id").alias("score_id")).agg(F.max(int_div(seconds_since_epoch(), 86400).cast("int")).alias("_last"))
-    return last.select("score_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("measure_index"))
-
-
 def score_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(elements, raw measures, layout) of a two-part score per user; a day is a measure."""
-    kind, size, day = F.col("event_type"), F.ceil("value").cast(LONG), int_div(seconds_since_epoch(), 86400).cast("int")
+    kind, size, day = F.col("event_type"), F.ceil("value").cast(LONG), day_of(seconds_since_epoch())
     part = (F.col("event_id") % PARTS).cast("int")
     tie = F.array_compact(F.array(F.when((size % 6).isin(1, 2), "start"), F.when((size % 6).isin(2, 3), "stop")))
     elements = events.select(
@@ -36,7 +31,7 @@ def score_tables(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     index = F.col("measure_index")
     num, den = week_meter(index)
     weekly = index % 7 == 0
-    measures = _days(events).withColumn("part_ord", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).select(
+    measures = calendar(events).withColumn("part_ord", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).select(
         "score_id", "part_ord", F.concat(F.lit("P"), F.col("part_ord") + 1).alias("part_id"), "measure_index", (index + 1).cast("string").alias("number"), F.lit(False).alias("implicit"),
         F.when(index == 0, F.col("part_ord") + 2).when(index == 5, 4).cast("int").alias("divisions"), F.when(weekly, num).cast("int").alias("beats"), F.when(weekly, den).cast("int").alias("beat_type"),
         F.lit(None).cast("string").alias("time_symbol"), F.lit(1).alias("staves"), F.lit(100.0).alias("width"), weekly.alias("new_page"), (index % 7 == 3).alias("new_system"), F.lit(True).alias("has_print"),
@@ -69,8 +64,8 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
     Chords are distinct (day, minute, type), so a stack holds at most 7,200 of them however many events there are.
     """
     kind, sec = F.col("event_type"), seconds_since_epoch()
-    day = int_div(sec, 86400).cast("int")
-    base = events.select(F.col("user_id").alias("score_id"), day.alias("day"), int_div(sec % 86400, 60).cast("int").alias("minute"), kind.alias("kind_name"), F.ceil("value").cast("int").alias("size"))
+    day = day_of(sec)
+    base = events.select(F.col("user_id").alias("score_id"), day.alias("day"), int_div(F.pmod(sec, F.lit(86400)), 60).cast("int").alias("minute"), kind.alias("kind_name"), F.ceil("value").cast("int").alias("size"))
     # All six tables are views of the chords, so the chords are written once.
     chords = freeze(base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size"))).select(
         "*", F.concat_ws(".", "day", "minute", "kind_name").alias("chord_id"), int_div(F.col("day"), 7).cast("int").alias("page_index"), F.lit(0).alias("system_index"), (F.col("day") % 7).cast("int").alias("stack_ord"))
@@ -86,7 +81,7 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
         chords.select(*columns(member, F.when(rest, "rest").otherwise("head"), shape, 4.0)))
     relations = chords.select(*key, F.lit(0).alias("rel_ord"), F.col("chord_id").alias("source"), member.alias("target"), F.lit("containment").alias("type"), F.lit(None).cast("string").alias("side"))
     # A stack for every day up to the user's last one, so that stacks and measures agree.
-    days = _days(events).select("score_id", int_div(F.col("measure_index"), 7).cast("int").alias("page_index"), F.lit(0).alias("system_index"), (F.col("measure_index") % 7).cast("int").alias("stack_ord"))
+    days = calendar(events).select("score_id", week_of(F.col("measure_index")).alias("page_index"), F.lit(0).alias("system_index"), F.pmod("measure_index", F.lit(7)).cast("int").alias("stack_ord"))
     stacks = days.withColumns({"stack_id": F.col("stack_ord").cast("string"), "left": F.lit(0), "right": F.lit(1440)})
     slots = days.withColumn("slot_ord", F.explode(F.sequence(F.lit(0), F.lit(23)))).withColumns({
         "slot_id": F.col("slot_ord").cast("string"), "time_offset": F.concat(F.col("slot_ord"), F.lit("/24")), "x_offset": F.col("slot_ord") * 60, "suspicious": F.lit(False)})
@@ -100,7 +95,7 @@ def canonical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column recovery of every user's notation graph in 4/4 measures: lattice, anchors, filled onsets, timing sources."""
     events = read_events(spark, sf_dir)
     graph = notation_graph(events)
-    frame = _days(events).withColumns({"measure_number": (F.col("measure_index") + 1).cast("string"), "num": F.lit(4), "den": F.lit(4), "tpq": F.lit(6).cast(LONG),
+    frame = calendar(events).withColumns({"measure_number": (F.col("measure_index") + 1).cast("string"), "num": F.lit(4), "den": F.lit(4), "tpq": F.lit(6).cast(LONG),
                                        "full": F.lit(24).cast(LONG), "actual": F.lit(24).cast(LONG), "pickup_shift": F.lit(0).cast(LONG), "start": F.col("measure_index") * F.lit(24).cast(LONG)})
     out = C.recover_columns(graph["objects"], graph["relations"], graph["stacks"], graph["slots"], graph["chords"], graph["entries"], frame)
     return out.select(*longs("score_id", "measure_index", "column_index", "tpq", "onset", "duration", "exact_support"), "x_abs", "timing_source", F.col("attack").cast(LONG).alias("attack"))
@@ -109,9 +104,9 @@ def canonical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_symbols(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(noteheads, pages, expected systems): a week is a page, a day a system, minutes run across; equal boxes are one."""
     kind, sec = F.col("event_type"), seconds_since_epoch()
-    day = int_div(sec, 86400).cast("int")
+    day = day_of(sec)
     page = int_div(day, 7).cast("int")
-    boxes = events.select(F.col("user_id").alias("score_id"), page.alias("page_index"), F.concat(F.lit("notehead_"), kind).alias("shape"), (int_div(sec % 86400, 60) * 2).cast("double").alias("x"),
+    boxes = events.select(F.col("user_id").alias("score_id"), page.alias("page_index"), F.concat(F.lit("notehead_"), kind).alias("shape"), (int_div(F.pmod(sec, F.lit(86400)), 60) * 2).cast("double").alias("x"),
                           ((day % 7) * 300 + F.length(kind) * 12).cast("double").alias("y")).distinct().withColumns({
         "w": F.lit(12.0), "h": F.lit(10.0), "interline": F.lit(10.0), "symbol_id": F.concat_ws(".", "x", "y")})
     pages = boxes.select("score_id", "page_index").distinct().withColumns({"width": F.lit(2880.0), "height": F.lit(2200.0), "annotation_width": F.lit(2880.0), "annotation_height": F.lit(2200.0)})

@@ -21,11 +21,27 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seconds_since_epoch(ts: str = "ts") -> Column:
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'{EPOCH}', {ts})")
+    """Whole seconds, rounded down, so that days before the epoch count -1, -2 and so on."""
+    return F.expr(f"CAST(floor(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{EPOCH}', {ts}) / 1000000D) AS BIGINT)")
+
+
+def day_of(sec: Column) -> Column:
+    return F.call_function("div", sec - F.pmod(sec, F.lit(86400)), F.lit(86400)).cast("int")
+
+
+def week_of(day: Column) -> Column:
+    return F.call_function("div", day - F.pmod(day, F.lit(7)), F.lit(7)).cast("int")
+
+
+def calendar(events: DataFrame) -> DataFrame:
+    """score_id, measure_index of every day of a user: from the epoch, or the first event if that is earlier, to the last event."""
+    day = day_of(seconds_since_epoch())
+    days = events.groupBy(F.col("user_id").alias("score_id")).agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
+    return days.select("score_id", F.explode(F.sequence(F.least(F.lit(0), F.col("_first")), F.col("_last"))).alias("measure_index"))
 
 
 def week_meter(day: Column) -> tuple[Column, Column]:
-    turn = F.call_function("div", day, F.lit(7)) % 3
+    turn = F.pmod(week_of(day), F.lit(3))
     num = F.when(turn == 0, 4).when(turn == 1, 3).otherwise(6)
     den = F.when(turn == 2, 8).otherwise(4)
     return num, den
@@ -33,20 +49,20 @@ def week_meter(day: Column) -> tuple[Column, Column]:
 
 def calendar_columns(sec: Column) -> list[Column]:
     """Day and lattice position of a second since the epoch."""
-    day = F.call_function("div", sec, F.lit(86400)).cast("int")
+    day = day_of(sec)
     num, den = week_meter(day)
     full = F.call_function("div", num * 4 * TPQ, den)
-    return [day.alias("measure_index"), F.call_function("div", (sec % 86400) * full, F.lit(86400)).cast("bigint").alias("offset")]
+    return [day.alias("measure_index"), F.call_function("div", F.pmod(sec, F.lit(86400)) * full, F.lit(86400)).cast("bigint").alias("offset")]
 
 
 def event_attacks(events: DataFrame) -> DataFrame:
     """Events as attacks inside their day; onsets come from the measure table."""
     sec = seconds_since_epoch()
-    day = F.call_function("div", sec, F.lit(86400)).cast("int")
+    day = day_of(sec)
     num, den = week_meter(F.col("measure_index"))
     return (
         events.select(
-            F.col("user_id").alias("score_id"), day.alias("measure_index"), (sec % 86400).alias("_sec"),
+            F.col("user_id").alias("score_id"), day.alias("measure_index"), F.pmod(sec, F.lit(86400)).alias("_sec"),
             F.ceil("value").cast("bigint").alias("duration"), F.col("event_type").alias("pitch"), F.col("event_id").alias("doc_rank"),
         )
         .withColumn("full", F.call_function("div", num * 4 * TPQ, den).cast("bigint"))
@@ -56,11 +72,9 @@ def event_attacks(events: DataFrame) -> DataFrame:
 
 
 def event_measures(events: DataFrame) -> DataFrame:
-    """Calendar of every user: one measure per day from the epoch to the user's last event."""
-    day = F.call_function("div", seconds_since_epoch(), F.lit(86400)).cast("int")
-    days = events.groupBy(F.col("user_id").alias("score_id")).agg(F.max(day).alias("_last"))
+    """Calendar of every user: one measure per day."""
     num, den = week_meter(F.col("measure_index"))
-    measures = days.select("score_id", F.explode(F.sequence(F.lit(0), F.col("_last"))).alias("measure_index")).select(
+    measures = calendar(events).select(
         "score_id", "measure_index", num.cast("int").alias("num"), den.cast("int").alias("den"),
         F.call_function("div", num * 4 * TPQ, den).cast("bigint").alias("full"), F.lit(TPQ).alias("tpq"),
     )

@@ -14,7 +14,7 @@ from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan, sized_scan
 from pulsegrid.operators.segments import segment_hits
 from pulsegrid.plans.events import (
-    TPQ, event_hits, event_levels, event_measures, event_segments, read_events, seconds_since_epoch,
+    TPQ, day_of, event_hits, event_levels, event_measures, event_segments, read_events, seconds_since_epoch,
 )
 
 LONG = "bigint"
@@ -138,7 +138,7 @@ def level_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def banded_tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Scan]:
     wave, scan = banded_wave(spark, sf_dir)
-    return profiles.tree(wave, scan, max_level=8), scan
+    return profiles.tree(wave, scan), scan
 
 
 def tree_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,11 +205,11 @@ def visual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as noteheads: page = week, system = day, x = hour; errors are grace notes, purchases tied continuations."""
     events = read_events(spark, sf_dir)
     sec, kind = seconds_since_epoch(), F.col("event_type")
-    day = int_div(sec, 86400)
+    day = day_of(sec)
     rows = events.select(
         F.col("user_id").alias("score_id"), day.cast("int").alias("measure_index"), int_div(day, 7).cast("int").alias("layout_page"),
         (day % 7).cast("int").alias("layout_system"),
-        F.when(kind != "signup", int_div(sec % 86400, 3600).cast("double")).alias("layout_default_x"),
+        F.when(kind != "signup", int_div(F.pmod(sec, F.lit(86400)), 3600).cast("double")).alias("layout_default_x"),
         F.when(kind == "error", "grace").otherwise("main").alias("visual_kind"), int_div(sec, 60).alias("onset"),
         F.ceil("value").cast(LONG).alias("duration"), F.lit(0.0).alias("x_start"), F.col("event_id").alias("doc_rank"), kind.alias("pitch"),
         F.when(kind == "view", F.struct(F.lit(3).alias("actual"), F.lit(2).alias("normal"))).alias("tuplet"),
@@ -246,7 +246,7 @@ def cluster_medoid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_columns(events: DataFrame) -> DataFrame:
     """Events of a user's day merged per minute: at most 1,440 columns per day whatever the number of events."""
     sec = seconds_since_epoch()
-    return events.select(F.col("user_id").alias("score_id"), int_div(sec, 86400).alias("measure_index"), int_div(sec % 86400, 60).alias("x"),
+    return events.select(F.col("user_id").alias("score_id"), day_of(sec).alias("measure_index"), int_div(F.pmod(sec, F.lit(86400)), 60).alias("x"),
                          F.ceil("value").cast(LONG).alias("duration")).groupBy("score_id", "measure_index", "x").agg(
         F.count(F.lit(1)).alias("members"), F.max("duration").alias("duration"))
 

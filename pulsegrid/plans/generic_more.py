@@ -8,7 +8,7 @@ from pulsegrid.functions import combinatorics as C
 from pulsegrid.functions.rational import int_div
 from pulsegrid.operators import clusters, graph, profiles, quality, reconcile, register, timeline, words
 from pulsegrid.operators.scan import Scan
-from pulsegrid.plans.events import TPQ, calendar_columns, read_events, seconds_since_epoch, week_meter
+from pulsegrid.plans.events import TPQ, calendar_columns, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import (
     LONG, as_text, banded_events, banded_tree, banded_wave, longs, ordered_events,
 )
@@ -19,7 +19,7 @@ from pulsegrid.plans.generic import (
 
 def _active_days(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Days with events as sparse measures numbered by day; every seventh user claims one stack more than its days span."""
-    days = events.select(F.col("user_id").alias("score_id"), int_div(seconds_since_epoch(), 86400).cast("int").alias("day")).distinct()
+    days = events.select(F.col("user_id").alias("score_id"), day_of(seconds_since_epoch()).alias("day")).distinct()
     numbered = Scan(("score_id",), ("day",)).number(days, "measure_index").withColumn("measure_index", F.col("measure_index").cast("int"))
     num, den = week_meter(F.col("day"))
     text = F.when(F.col("score_id") % 13 == 5, F.concat(F.lit("x"), F.col("day"))).otherwise(F.col("day").cast("string"))
@@ -50,19 +50,19 @@ def notation_columns(events: DataFrame) -> DataFrame:
     Heads are distinct (second, type) pairs, at most 300 per column.
     """
     sec, kind = seconds_since_epoch(), F.col("event_type")
-    base = events.select(F.col("user_id").alias("score_id"), kind.alias("kind_name"), *calendar_columns(sec), int_div(sec % 86400, 60).cast("int").alias("column_index"), (sec % 86400).alias("second"))
+    base = events.select(F.col("user_id").alias("score_id"), kind.alias("kind_name"), *calendar_columns(sec), int_div(F.pmod(sec, F.lit(86400)), 60).cast("int").alias("column_index"), F.pmod(sec, F.lit(86400)).alias("second"))
     head = F.struct(
         F.lit("head").alias("kind"), F.col("kind_name").isin("purchase", "click", "view").alias("attack"), F.col("kind_name").isin("purchase", "click").alias("head_geometry_exact"),
         F.col("second").cast("double").alias("visual_x_abs"), F.length("kind_name").cast("double").alias("visual_y_abs"), F.col("kind_name").alias("chord_id"))
     return base.groupBy("score_id", "measure_index", "offset", "column_index").agg(F.array_sort(F.collect_set(head)).alias("notation_events")).withColumns({
-        "attack": F.exists("notation_events", lambda e: e["attack"]), "page_index": int_div(F.col("measure_index"), 7).cast("int"),
-        "system_index": (F.col("measure_index") % 7).cast("int"), "x_abs": F.col("column_index") * 60.0 + 30.0,
+        "attack": F.exists("notation_events", lambda e: e["attack"]), "page_index": week_of(F.col("measure_index")),
+        "system_index": F.pmod("measure_index", F.lit(7)).cast("int"), "x_abs": F.col("column_index") * 60.0 + 30.0,
         "timing_source": F.lit("lattice"), "confidence": F.lit(1.0)})
 
 
 def _pages(events: DataFrame) -> DataFrame:
     """A page per user and week, except the fourth week, which has no known size."""
-    week = int_div(seconds_since_epoch(), 86400 * 7).cast("int")
+    week = week_of(day_of(seconds_since_epoch()))
     return events.select(F.col("user_id").alias("score_id"), week.alias("page_index")).distinct().filter("page_index <> 3").withColumns({
         "width": F.lit(86400.0), "height": F.lit(64.0)})
 
@@ -89,7 +89,7 @@ def _wave_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wave points at the position of their time of day; every eleventh offset has none."""
     wave = profiles.wave_profile(banded_events(read_events(spark, sf_dir)))
     return wave.filter("offset % 11 <> 0").select(
-        "score_id", "measure_index", "offset", "onset", int_div(F.col("measure_index"), 7).cast("int").alias("page_index"), (F.col("measure_index") % 7).cast("int").alias("system_index"),
+        "score_id", "measure_index", "offset", "onset", week_of(F.col("measure_index")).alias("page_index"), F.pmod("measure_index", F.lit(7)).cast("int").alias("system_index"),
         (F.col("offset") / 256.0).alias("cx_norm"), F.lit(0.5).alias("cy_norm"), F.col("offset").cast("double").alias("recovered_x_abs"), F.lit("wave").alias("registration_source"))
 
 
@@ -160,7 +160,7 @@ def graph_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def day_words(events: DataFrame) -> DataFrame:
     """A word per user and day, one letter per hour up to the last active one: T where a purchase or click fell, else A."""
     sec = seconds_since_epoch()
-    hours = events.select(F.col("user_id").alias("score_id"), int_div(sec, 86400).alias("measure_index"), int_div(sec % 86400, 3600).cast("int").alias("hour"),
+    hours = events.select(F.col("user_id").alias("score_id"), day_of(sec).alias("measure_index"), int_div(F.pmod(sec, F.lit(86400)), 3600).cast("int").alias("hour"),
                           F.col("event_type").isin("purchase", "click").alias("on"))
     days = hours.groupBy("score_id", "measure_index").agg(F.max("hour").alias("last"), F.collect_set(F.when(F.col("on"), F.col("hour"))).alias("ts"))
     letters = F.transform(F.sequence(F.lit(0), F.col("last")), lambda h: F.when(F.array_contains(F.col("ts"), h), "T").otherwise("A"))

@@ -37,7 +37,9 @@ def parse_scores(elements: DataFrame, raw_measures: DataFrame, layout_table: Dat
     if largest_key(raw_measures, "score_id") > hot_row_limit(raw_measures):
         raw_measures, _ = chunked(raw_measures, ["score_id", "part_ord"], ["measure_index"], hot_row_limit(raw_measures))
     part_measures = timeline.with_divisions(raw_measures)
-    tpq = timeline.tick_base(part_measures)
+    bases = timeline.tick_base(part_measures)
+    tpq, without = bases.filter("tpq IS NOT NULL"), bases.filter("tpq IS NULL").select("score_id")
+    part_measures = part_measures.join(tpq.select("score_id"), "score_id", "left_semi")
     ticked, by_measure = scan(timeline.tick_elements(elements, part_measures, tpq), list(timeline.MEASURE_KEYS), ["doc_order"])
     timed = timeline.cursor(ticked, by_measure).drop(CHUNK)
     templates = timeline.measure_templates(part_measures, timeline.actual_durations(timed), tpq, meter_override)
@@ -48,10 +50,11 @@ def parse_scores(elements: DataFrame, raw_measures: DataFrame, layout_table: Dat
     attacks, unmatched = timeline.tie_chains(notes, by_pitch)
     hits = merge_hits(attacks)
     measures = templates.drop("_printed", "_complete", "_num", "_den", "_forced")
-    no_layout = notes.groupBy("score_id").agg(F.count_if(F.col("x_norm").isNotNull() & F.col("y_norm").isNotNull()).alias("placed")).filter("placed = 0")
+    placed = notes.filter("x_norm IS NOT NULL AND y_norm IS NOT NULL").select("score_id").distinct()
+    no_layout = tpq.select("score_id").join(placed, "score_id", "left_anti")
     report = quality.union_reports(
         timeline.meter_warnings(templates, meter_override), quality.part_length_mismatches(part_measures), quality.unmatched_ties(unmatched),
-        quality.note_rows("timeline", "no-note-coordinates", no_layout),
+        quality.note_rows("timeline", "no-note-coordinates", no_layout), quality.note_rows("timeline", "tick-base-too-large", without),
     )
     return ParsedScores(attacks, hits, measures, part_measures, timed, layouts, report)
 
@@ -84,10 +87,10 @@ class Profiles:
     branches: DataFrame
 
 
-def profile(events: DataFrame, probe: DataFrame | None = None, max_level: int | None = None) -> Profiles:
+def profile(events: DataFrame, probe: DataFrame | None = None) -> Profiles:
     """Wave, turning points and tree of every segment."""
     wave, scan = profiles.profile_scan(profiles.wave_profile(events), probe)
-    rooted = profiles.tree(wave, scan, max_level)
+    rooted = profiles.tree(wave, scan)
     return Profiles(wave, profiles.pivots(wave, scan), rooted, profiles.branches(rooted, scan))
 
 
@@ -111,16 +114,19 @@ def canonical_scores(project: dict[str, DataFrame], measures: DataFrame, symboli
     hits = C.canonical_hits(columns, framework, moved)
     stats = C.column_stats(columns).join(C.augmentation_dots(project["objects"], project["relations"]), "score_id", "left").join(
         hits.groupBy("score_id").agg(F.count(F.lit(1)).alias("canonical_hit_count")), "score_id", "left")
-    empty = framework.select("score_id").distinct().join(hits.select("score_id").distinct(), "score_id", "left_anti")
+    kept = framework.select("score_id").distinct()
+    empty = kept.join(hits.select("score_id").distinct(), "score_id", "left_anti")
+    bare = kept.join(columns.select("score_id").distinct(), "score_id", "left_anti")
     report = quality.union_reports(
-        reconcile.framework_warnings(verdicts), quality.note_rows("framework", reconcile.UNKNOWN_MEASURE, refused), quality.note_rows("columns", "no-usable-attacks", empty))
+        reconcile.framework_warnings(verdicts), quality.note_rows("framework", reconcile.UNKNOWN_MEASURE, refused), quality.note_rows("columns", "no-usable-attacks", empty),
+        quality.note_rows("columns", "no-recovered-columns", bare), quality.note_rows("columns", "begin-time-unreadable", C.unreadable_times(project["slots"]), None, time="time_offset"))
     return CanonicalScores(rescaled(framework, columns), columns, hits, stats, report)
 
 
 def rescaled(measures: DataFrame, columns: DataFrame) -> DataFrame:
-    """Measures on the tick base of the recovered columns."""
-    bases = columns.select("score_id", F.col("tpq").alias("_new")).distinct()
-    joined = measures.join(bases, "score_id")
+    """Measures on the tick base of the recovered columns; scores without columns keep their own base."""
+    bases = columns.groupBy("score_id").agg(F.max("tpq").alias("_base"))
+    joined = measures.join(bases, "score_id", "left").withColumn("_new", F.coalesce("_base", "tpq")).drop("_base")
     up = F.call_function("div", F.col("_new"), F.col("tpq"))
     return joined.withColumns({**{c: F.col(c) * up for c in ("start", "full", "actual", "pickup_shift")}, "tpq": F.col("_new")}).drop("_new")
 

@@ -112,14 +112,14 @@ def _measure_rows(measure: ElementTree.Element, at: dict, out: dict[str, list])
 
 
 def decode_project(content: bytes) -> dict[str, list]:
-    """Rows of every sheet of a project; a page is a sheet in sheet order, unreadable sheets are skipped."""
+    """Rows of every sheet of a project; a page is a sheet in sheet order. An unreadable sheet refuses the project: later measures would be misnumbered."""
     out: dict[str, list] = {name: [] for name in PROJECT_TABLES}
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for page, member in enumerate(sheet_members(archive.namelist())):
             try:
                 root = ElementTree.fromstring(archive.read(member))
-            except ElementTree.ParseError:
-                continue
+            except ElementTree.ParseError as exc:
+                raise ValueError(f"sheet {page + 1} ({member}): {exc}") from exc
             lines = next((e for e in root.iter() if _name(e) == "interline"), None)
             stated = None if lines is None else _real(lines.get("main")) or _real(lines.get("min"))
             out["sheets"].append({"page_index": page, "member": member, "interline": stated or DEFAULT_INTERLINE})

@@ -72,7 +72,8 @@ def measures(spark, score, count, tpq=1, numbers=None, meters=None):
 @pytest.fixture(scope="module")
 def project(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("omr")
-    (folder / "a.omr").write_bytes(zipped_names([("sheet#1/sheet#1.xml", sheet()), ("book.xml", b"<book/>"), ("sheet#2/sheet#2.xml", b"<broken")]))
+    (folder / "a.omr").write_bytes(zipped_names([("sheet#1/sheet#1.xml", sheet()), ("book.xml", b"<book/>")]))
+    (folder / "c.omr").write_bytes(zipped_names([("sheet#1/sheet#1.xml", sheet()), ("sheet#2/sheet#2.xml", b"<broken")]))
     (folder / "b.omr").write_bytes(b"no archive")
     tables = recognition.read_projects(spark, str(folder))
     for name, df in tables.items():
@@ -88,7 +89,8 @@ def columns(spark, project, tmp_path_factory):
 
 
 def test_project_tables(project):
-    assert project["rejected"].count() == 1
+    errors = sorted(r.error for r in project["rejected"].collect())
+    assert len(errors) == 2 and errors[1].startswith("ValueError: sheet 2 (sheet#2/sheet#2.xml)")
     assert [(r.page_index, r.interline) for r in project["sheets"].collect()] == [(0, 20.0)]
     rows = sorted(sinks.slot_rows(project["stacks"], project["slots"]).collect(), key=lambda r: (r.global_measure_index, r.slot_ord))
     assert [(r.global_measure_index, r.time_offset_quarter, r.x_abs, r.suspicious) for r in rows] == [(0, "0", 50, False), (0, "1", 150, False), (0, "2", 250, False), (0, "3", 350, False), (1, "0", 600, True)]
@@ -161,7 +163,7 @@ def test_layout_and_overlay(spark, project, columns, tmp_path):
     hits = C.canonical_hits(columns, framed)
     events, _ = J.analyze_levels(hits.withColumns({"source_count": F.lit(1), "pitches": F.array(F.lit("x"))}), framed)
     canonical = J.CanonicalScores(framed, columns, hits, C.column_stats(columns), None)
-    placed = J.overlay(events, J.profile(events, max_level=8), canonical, notes, expected, sizes)
+    placed = J.overlay(events, J.profile(events), canonical, notes, expected, sizes)
     anchors = sorted(placed.anchors.collect(), key=lambda r: r.onset)
     assert [r.recovered_x_abs for r in anchors] == [100.0, 200.0, 300.0, 400.0, 600.0, 800.0, 850.0] and all(r.reason is None for r in anchors)
     assert anchors[0].cx_norm == pytest.approx(0.05) and anchors[0].cy_norm == pytest.approx(0.055)
