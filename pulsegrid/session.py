@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +53,26 @@ def freeze(df: DataFrame) -> DataFrame:
     """Write the frame to the reliable checkpoint folder and continue from the written copy."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame as Parquet under the shared folder and continue from the written copy, which is read back pruned and with statistics."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers once per application, so that jobs may start from any folder."""
+    context = spark.sparkContext
+    if getattr(context, "_pulsegrid_shipped", False):
+        return
+    root = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp" if context.master.startswith("local[") else None)) / "pulsegrid.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, str(source.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    context._pulsegrid_shipped = True

@@ -14,6 +14,8 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegrid.session import ship, write_table
+
 ELEMENT_SCHEMA = (
     "score_id string, part_ord int, part_id string, measure_index int, doc_order int, tag string, duration_div bigint, is_chord boolean, "
     "is_grace boolean, is_rest boolean, voice string, staff string, step string, alter int, octave string, unpitched boolean, "
@@ -149,10 +151,18 @@ def decode_score(path: str, content: bytes) -> dict:
     return {"error": None, "elements": elements, "measures": measures, "layout": _layout_row(root)}
 
 
+def score_files(spark: SparkSession, path: str, *endings: str) -> DataFrame:
+    """Files under a path with one of the endings in any case; no others are opened."""
+    anycase = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in endings]
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(anycase)}}}").load(path)
+
+
 def read_scores(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables ``elements``, ``measures``, ``layout`` and ``rejected`` of all score files under a path; the path is the score id."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    kinds = F.lower("path").rlike(r"\.(mxl|musicxml|xml)$")
+    """Tables ``elements``, ``measures``, ``layout`` and ``rejected`` of all score files under a path; the path is the score id.
+
+    Every file is decoded once: the nested rows are written to the shared folder and the tables read from there.
+    """
+    files = score_files(spark, path, "mxl", "musicxml", "xml").select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,7 +172,8 @@ def read_scores(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     own = lambda schema: _fields(schema.split(", ", 1)[1])
     schema = DECODED_SCHEMA.format(e=own(ELEMENT_SCHEMA), m=own(MEASURE_SCHEMA), l=own(LAYOUT_SCHEMA))
-    decoded = files.filter(kinds).mapInPandas(decode, schema)
+    ship(spark)
+    decoded = write_table(files.mapInPandas(decode, schema), "scores")
     good = decoded.filter("error IS NULL")
     return {
         "elements": good.select("score_id", F.explode("elements").alias("r")).select("score_id", "r.*"),

@@ -11,6 +11,9 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegrid.session import ship, write_table
+from pulsegrid.sources.musicxml import score_files
+
 from pulsegrid.functions.notation import SHEET_MEMBER_PATTERN, SHEET_PATTERN
 
 KEY = "page_index int, system_index int"
@@ -162,8 +165,8 @@ def decode_annotations(content: bytes) -> dict[str, list]:
     return out
 
 
-def _read(spark: SparkSession, path: str, pattern: str, tables: dict[str, str], decoder: Callable[[bytes], dict[str, list]]) -> dict[str, DataFrame]:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.lower("path").rlike(pattern)).select("path", "content")
+def _read(spark: SparkSession, path: str, ending: str, tables: dict[str, str], decoder: Callable[[bytes], dict[str, list]]) -> dict[str, DataFrame]:
+    files = score_files(spark, path, ending).select("path", "content")
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -176,19 +179,20 @@ def _read(spark: SparkSession, path: str, pattern: str, tables: dict[str, str],
 
     as_fields = lambda fields: ", ".join(f.replace(" ", ":", 1) for f in fields.split(", "))
     schema = "score_id string, error string, " + ", ".join(f"{t} array<struct<{as_fields(f)}>>" for t, f in tables.items())
-    decoded = files.mapInPandas(decode, schema)
+    ship(spark)
+    decoded = write_table(files.mapInPandas(decode, schema), "projects")
     out = {t: decoded.filter("error IS NULL").select("score_id", F.explode(t).alias("r")).select("score_id", "r.*") for t in tables}
     return {**out, "rejected": decoded.filter("error IS NOT NULL").select("score_id", "error")}
 
 
 def read_projects(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Graph and slot tables of all recognised-notation projects (.omr) under a path."""
-    return _read(spark, path, r"\.omr$", PROJECT_TABLES, decode_project)
+    return _read(spark, path, "omr", PROJECT_TABLES, decode_project)
 
 
 def read_annotations(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Page, symbol and member tables of all annotation archives (.zip) under a path."""
-    return _read(spark, path, r"\.zip$", ANNOTATION_TABLES, decode_annotations)
+    return _read(spark, path, "zip", ANNOTATION_TABLES, decode_annotations)
 
 
 def newest_exports(spark: SparkSession, path: str, endings: tuple[str, ...] = ("mxl", "musicxml", "xml")) -> DataFrame:

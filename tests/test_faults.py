@@ -88,3 +88,25 @@ def test_deep_levels_keep_their_parent(spark):
 def test_rational_spellings(spark, text, want):
     got = spark.range(1).select(parse_rational(F.lit(text)).alias("r")).first().r
     assert (Fraction(got.num, got.den) if got else None) == want
+
+
+def test_runs_from_another_folder(tmp_path):
+    """Python stages find the package on the workers whatever the working folder; files are decoded once."""
+    import os
+    import subprocess
+    import sys
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.XML").write_bytes(score([measure("1", note(1, C4), divisions=1, time=(4, 4))]))
+    (tmp_path / "in" / "b.pdf").write_bytes(b"no score")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {repo!r})\n"
+            "from pulsegrid.session import build_session\nfrom pulsegrid.sources import musicxml\n"
+            "spark = build_session('other', master='local[2]', shuffle_partitions=2)\n"
+            f"t = musicxml.read_scores(spark, {str(tmp_path / 'in')!r})\n"
+            "plans = [df._jdf.queryExecution().executedPlan().toString() for df in t.values()]\n"
+            "print('SEEN', t['elements'].count(), t['rejected'].count(), sum('MapInPandas' in p for p in plans))\n"
+            "import __spark_entry__ as E\nprint('CHAIN', E.queries()['anchor_chain'](spark, '/root/testdata/sf0.001').count() > 0)\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "SEEN 1 0 0" in out.stdout and "CHAIN True" in out.stdout, out.stdout + out.stderr[-3000:]
