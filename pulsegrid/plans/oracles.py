@@ -306,6 +306,27 @@ k AS (
 ),
 f AS (SELECT *, CASE WHEN q < (1 << halved) THEN 1 ELSE q END AS num, 32 * (1 << CASE WHEN q < (1 << halved) THEN floored ELSE halved END) AS den FROM k)
 SELECT """ + longs("l_orderkey", "gcd", "columns", "longest") + ", " + frac("num", "den") + " AS quantum FROM f",
+    "anchor_chain": with_(BASE, DAYCOLS, """
+usable AS (
+  SELECT *, row_number() OVER (PARTITION BY score_id, m ORDER BY i) AS k
+  FROM (SELECT score_id, m, i, n, (x + duration * 7) % 1440 AS j, members AS w FROM daycols) WHERE i > 0 AND j > 0 AND j >= i AND 1439 - j >= n - 1 - i
+),
+grown AS (
+  SELECT DISTINCT score_id, m, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(i BIGINT, j BIGINT, w BIGINT, c BIGINT, p BIGINT)[]) AS done FROM usable
+  UNION ALL
+  SELECT score_id, m, k, list_append(done, {'i': i, 'j': j, 'w': w + coalesce(best.w, 0), 'c': 1 + coalesce(best.c, 0), 'p': coalesce(-best.q, 0)}) FROM (
+    SELECT g.score_id, g.m, u.k, u.i, u.j, u.w, g.done,
+      list_max([{'w': g.done[q].w, 'c': g.done[q].c, 'q': -q} FOR q IN range(1, len(g.done) + 1) IF u.j - g.done[q].j >= u.i - g.done[q].i]) AS best
+    FROM grown g JOIN usable u ON u.score_id = g.score_id AND u.m = g.m AND u.k = g.k + 1)
+),
+whole AS (SELECT score_id, m, max_by(done, k) AS done FROM grown GROUP BY 1, 2 HAVING max(k) > 0),
+walked AS (
+  SELECT score_id, m, done, -list_max([{'w': done[q].w, 'c': done[q].c, 'j': -done[q].j, 'i': -done[q].i, 'q': -q} FOR q IN range(1, len(done) + 1)]).q AS q FROM whole
+  UNION ALL
+  SELECT score_id, m, done, done[q].p FROM walked WHERE done[q].p > 0
+),
+chained AS (SELECT score_id, m, done[q].i AS i, done[q].j AS j FROM walked UNION ALL SELECT DISTINCT score_id, m, 0, 0 FROM daycols)""") + f"""
+SELECT {longs('score_id', 'm AS measure_index', 'i', 'j')} FROM chained""",
     "monotone_fill": with_(BASE, DAYCOLS, """
 anc AS (SELECT *, CASE WHEN i % 3 = 0 THEN i + x // 20 END AS j0 FROM daycols),
 firsts AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE j0 END AS j1 FROM anc),
