@@ -161,11 +161,12 @@ def _marked(wanted: DataFrame) -> np.ndarray:
     return out
 
 
-SETS = "class long, tokens binary, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
+PREFIXES = "class long, " + ", ".join(f"order{k} array<long>" for k in range(1, ORDERS))
+SETS = "class long, tokens binary"
 
 
-def _candidate_sets(rows: DataFrame, rule: Rule, sketch: Broadcast, marked: Broadcast) -> DataFrame:
-    """Whole sets, and the prefixes of the other orders, of the marked documents."""
+def _of_marked(rows: DataFrame, rule: Rule, sketch: Broadcast, marked: Broadcast, whole: bool) -> DataFrame:
+    """The whole sets of the marked documents, or their prefixes under the further orders."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         known = set()
@@ -177,18 +178,34 @@ def _candidate_sets(rows: DataFrame, rule: Rule, sketch: Broadcast, marked: Broa
                 continue
             mine = hashes[np.repeat(hit, counts)]
             own, ends = counts[hit], np.cumsum(counts[hit])
-            columns = [pa.array(names[hit]), pa.array([mine[e - n:e].astype("<u8").tobytes() for e, n in zip(ends.tolist(), own.tolist(), strict=True)], pa.binary())]
-            for k in range(1, ORDERS):
+            columns = [pa.array(names[hit])]
+            if whole:
+                columns.append(pa.array([mine[e - n:e].astype("<u8").tobytes() for e, n in zip(ends.tolist(), own.tolist(), strict=True)], pa.binary()))
+            for k in range(1, ORDERS) if not whole else ():
                 token, owner, _ = _prefixes(mine, own, sketch.value, rule, k)
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(own)))]).astype(np.int32)
                 columns.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(token.view(np.int64))))
-            yield pa.record_batch(columns, names=[c.split()[0] for c in SETS.split(", ")])
+            yield pa.record_batch(columns, names=[c.split()[0] for c in (SETS if whole else PREFIXES).split(", ")])
 
-    return rows.withColumn("slot", _map_slot(F.col("id"))).mapInArrow(work, SETS)
+    return rows.withColumn("slot", _map_slot(F.col("id"))).mapInArrow(work, SETS if whole else PREFIXES)
+
+
+def _both(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the facts of both classes as a_ and b_ columns."""
+    side = lambda name: facts.select(F.col("class").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in facts.columns if c != "class"])
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def _intersected(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs that share a prefix token under every further order."""
+    met = _both(pairs, prefixes)
+    for k in range(1, ORDERS):
+        met = met.filter(F.arrays_overlap(f"a_order{k}", f"b_order{k}"))
+    return met.select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) that share a prefix token under every further order and whose whole sets reach the similarity."""
+    """Pairs whose whole sets reach the similarity."""
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -199,11 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
             out.append(100 * both >= rule.per_cent * (len(x) + len(y) - both))
         return pa.array(out, pa.bool_())
 
-    side = lambda name: sets.select(F.col("class").alias(name), F.struct(*[c for c in sets.columns if c != "class"]).alias(f"{name}_set"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    for k in range(1, ORDERS):
-        met = met.filter(F.arrays_overlap(f"a_set.order{k}", f"b_set.order{k}"))
-    return met.filter(similar(F.col("a_set.tokens"), F.col("b_set.tokens"))).select("a", "b")
+    return _both(pairs, sets).filter(similar("a_tokens", "b_tokens")).select("a", "b")
 
 
 def _may_reach(rule: Rule, a: str, b: str) -> Column:
@@ -249,28 +262,40 @@ def join(df: DataFrame, id_column: str, text_column: str, rule: Rule, every_link
     docs = level.filter("slots IS NULL").select("id", "class", "n")
     sketch = context.broadcast(_sketch(level))
 
-    tokens = write_once(_tokens(rows, rule, sketch), "jaccard-tokens")
-    buckets = tokens.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.min(F.struct("at", "n", "class")).alias("centre")).filter("low < high")
-    shared = write_once(tokens.join(buckets.select("token", "centre"), "token").dropDuplicates(["token", "class"]), "jaccard-shared")
-    mates = shared.select("class").distinct()
-    wanted = docs.groupBy("class").agg(F.min("id").alias("id")).join(mates, "class", "left_semi")
-    marked = context.broadcast(_marked(wanted))
-    sets = write_once(_candidate_sets(rows, rule, sketch, marked).join(mates, "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets")
+    # Dealt out by token once: the buckets where a pair may link are found, and their rows picked, from the same exchange, without holding any bucket.
+    # A bucket of two rows, by far the most frequent kind, is decided at once by the position filter; larger ones are kept.
+    tokens = _tokens(rows, rule, sketch).repartition("token")
+    member = F.struct("class", "n", "at")
+    met = tokens.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y"), F.count(F.lit(1)).alias("rows"))
+    met = met.filter((F.col("x.class") < F.col("y.class")) & ((F.col("rows") > 2) | _may_reach(rule, "x", "y"))).select("token")
+    shared = write_once(tokens.join(met, "token").dropDuplicates(["token", "class"]), "jaccard-shared")
+
+    def of_classes(pairs: DataFrame, whole: bool) -> DataFrame:
+        """Prefixes or whole sets of the classes in these pairs, by one more scan of the documents that stand for them."""
+        mates = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+        marked = context.broadcast(_marked(docs.groupBy("class").agg(F.min("id").alias("id")).join(mates, "class", "left_semi")))
+        return write_once(_of_marked(rows, rule, sketch, marked, whole).join(mates, "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs: intersect the orders' filters on short prefixes first, fetch and compare whole sets for what is left."""
+        pairs = write_once(pairs.distinct(), "jaccard-pairs")
+        left = write_once(_intersected(pairs, of_classes(pairs, whole=False)), "jaccard-pairs")
+        return write_once(_verified(left, of_classes(left, whole=True), rule), "jaccard-links")
+
+    def meeting(frame: DataFrame, key: str) -> DataFrame:
+        """Pairs of classes that share a bucket, differ in ``key`` and pass the position filter."""
+        side = lambda name: frame.select("token", F.struct("class", "n", "at", "label").alias(name))
+        pairs = side("x").join(side("y"), "token").filter((F.col(f"x.{key}") < F.col(f"y.{key}")) & _may_reach(rule, "x", "y"))
+        return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
-    member = lambda name, *more: shared.select("token", F.struct("class", "n", "at", *more).alias(name))
     if every_link:
-        meet = member("x").join(member("y"), "token").filter((F.col("x.class") < F.col("y.class")) & _may_reach(rule, "x", "y"))
-        return Joined(docs, write_once(_verified(meet.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), sets, rule), "jaccard-links"))
-    star = shared.select(F.struct("class", "n", "at").alias("x"), F.col("centre").alias("y")).filter((F.col("x.class") != F.col("y.class")) & _may_reach(rule, "x", "y"))
-    links = write_once(_verified(star.select(F.col("y.class").alias("a"), F.col("x.class").alias("b")).distinct(), sets, rule), "jaccard-links")
+        return Joined(docs, verified(meeting(shared.withColumn("label", F.col("class")), "class")))
+    centres = shared.groupBy("token").agg(F.min(F.struct("at", "n", "class")).alias("y"))
+    star = shared.select("token", F.struct("class", "n", "at").alias("x")).join(centres, "token").filter((F.col("x.class") != F.col("y.class")) & _may_reach(rule, "x", "y"))
+    links = verified(star.select(F.col("y.class").alias("a"), F.col("x.class").alias("b")))
     labels = connected(links).withColumnRenamed("node", "class")
-    shared = write_once(shared.drop("centre").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")), "jaccard-shared")
-    apart = shared.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    left = shared.join(apart, "token", "left_semi")
-    side = lambda name: left.select("token", F.struct("class", "n", "at", "label").alias(name))
-    meet = side("x").join(side("y"), "token").filter((F.col("x.label") < F.col("y.label")) & _may_reach(rule, "x", "y"))
-    across = _verified(meet.select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct(), sets, rule)
-    return Joined(docs, links.unionByName(write_once(across, "jaccard-links")))
+    labelled = shared.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return Joined(docs, links.unionByName(verified(meeting(labelled, "label"))))
 
 
 def components(df: DataFrame, id_column: str, text_column: str, rule: Rule) -> DataFrame:

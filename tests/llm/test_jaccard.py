@@ -92,9 +92,10 @@ def test_null_and_repeated_ids(spark):
 
 
 def test_query(spark):
-    from pulsegrid.llm.queries import QUERIES
+    from pulsegrid.llm.queries import ORACLES, QUERIES
+    from tests.compare import connect
 
     for sf in ("sf0.001", "sf0.01"):
         rows = duckdb.sql(f"select doc_id, text from '/root/testdata/{sf}/documents.parquet'").fetchall()
         got = sorted(map(tuple, QUERIES["op1_ngram_jaccard"](spark, f"/root/testdata/{sf}").collect()))
-        assert got == sorted(brute(rows, 3, 90)[2])
+        assert got == sorted(brute(rows, 3, 90)[2]) == sorted(connect(f"/root/testdata/{sf}").sql(ORACLES["op1_ngram_jaccard"]).fetchall())
