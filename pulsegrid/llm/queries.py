@@ -69,8 +69,8 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mixing.plan(rows)
     by_source = lambda values, kind: F.coalesce(
         F.create_map(*[F.lit(x) for s, v in values.items() if s is not None for x in (s, v)])[F.col("source")] if set(values) - {None} else F.lit(None).cast(kind), F.lit(values.get(None)).cast(kind))
-    taken = F.col("size") * mixing.copies(made, F.col("pattern"), F.col("place"), F.col("size"))
-    return rows.select("doc_id", "size", by_source(made.sizes, "long").alias("source_size"), by_source(made.targets, "double").alias("target"), taken.alias("taken"))
+    counted = mixing.copies(rows, made, "pattern", "place", "size", "copies")
+    return counted.select("doc_id", "size", by_source(made.sizes, "long").alias("source_size"), by_source(made.targets, "double").alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

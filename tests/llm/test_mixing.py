@@ -88,3 +88,29 @@ def test_overlap_edge_rows_and_ranges(spark):
     assert mixing.mix(df.limit(0), F.col("sources"), [F.col("doc_id")]).count() == 0
     twice = mixing.repeated(spark.createDataFrame([(1, 2), (2, 0), (3, 1)], "id long, n int"), "n").collect()
     assert sorted(r["id"] for r in twice) == [1, 1, 3]
+
+
+def first_fit(rows, rest):
+    """Sizes taken one by one in the order of (place, size), each as long as it fits."""
+    out = []
+    for place, size in sorted(rows):
+        if 0 < size <= rest:
+            out.append((place, size))
+            rest -= size
+    return out, rest
+
+
+def test_rest_is_filled_until_nothing_fits(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 300)
+    r = random.Random(5)
+    straddled = [(i << 50, 100_000 if i == 500 else 100) for i in range(1001)]
+    repeated = [(7 << 50, 7)] * 40
+    falling = [(i << 50, 1 if i % 2 == 0 else 90 - i) for i in range(80)]
+    mixed = [(r.randrange(60) << 55, r.choice([0, 1, 2, 5, 30, 400])) for _ in range(500)]
+    for rows, rest in ((straddled, 99_000), (repeated, 150), (falling, 95), *[(mixed, n) for n in (333, 1234, 9999)]):
+        df = spark.createDataFrame([('["a"]', p, s) for p, s in rows], "pattern string, place long, size long").repartition(5)
+        made = mixing.plan(df, share=(rest + 0.01) / sum(s for _, s in rows))
+        got = mixing.copies(df, made, "pattern", "place", "size", "copies").filter("copies > 0").collect()
+        assert len(got) > 0 and all(x["copies"] == 1 for x in got)
+        assert sorted((x["place"], x["size"]) for x in got) == first_fit(rows, rest)[0]
+    assert first_fit(straddled, 99_000)[1] == 0
