@@ -62,3 +62,14 @@ def test_near_duplicates_with_null_and_repeated_rows(spark):
     kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
     assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(5, same), (5, same), (9, ""), (10, ""), (0, ""), (0, rows[4][1])])
     assert jaccard.components(df, "doc_id", "text", corpus_pipeline.NEAR_DUPLICATE).count() == len(rows)
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    same, other, lone = words("s"), words("o"), words("l")
+    rows = [(None, same, "a")] * 3 + [(None, same, "b"), (None, same + " x", "a"), (3, other, "a"), (7, other, "a"), (7, lone, "a"), (8, words("p"), "a"), (8, words("p") + " y", "a"), (None, " \t", "a"), (None, " \t", "a")]
+    df = spark.createDataFrame([(d, t, "en", s, 1) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df.repartition(4), SF).collect()]
+    assert sum(d is None and t.startswith("s0") for d, t in kept) == 1
+    assert [d for d, t in kept if t == other] == [3] and [d for d, t in kept if t == lone] == [7]
+    assert sum(d == 8 for d, _ in kept) == 1 and kept.count((None, " \t")) == 2 and len(kept) == 6
