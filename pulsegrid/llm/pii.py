@@ -4,7 +4,9 @@ Base spans are what four detectors find in the text itself.  For the disguised o
 they put out which source range it stands for:
 
 * characters: homoglyphs and compatibility forms become ASCII, invisible characters go;
-* words: ``(at)``, ``[dot]``, HTML character codes, ``name at host dot org``, ``192 dot 168 dot ...``, and runs of three or more spelled digits.
+* words: ``(at)``, ``[dot]``, HTML character codes, ``name at host dot org``, ``192 dot 168 dot ...``, and runs of three or more digits spelled in English,
+  French, German or Spanish, with or without ``double`` and ``triple``.  A bare address needs a known ending (any country code or a common generic one), or any
+  ending of letters if its name or host is dotted or a word such as ``mail`` or ``write to`` stands right before it.
 
 The same detectors run over the rewritten text; a span that touches a rewritten place and lies in no base span of its kind is mapped back to
 the source and added.  Rewriting starts only where something in the text can be rewritten, so clean texts are left alone.
@@ -108,22 +110,46 @@ def _plain(c: str) -> str | None:
 _PLAIN = {c: p for c in map(chr, range(128, 0x20000)) if not 0xD800 <= ord(c) < 0xE000 and (p := _plain(c)) is not None}
 _ODD = re.compile("[" + "".join(map(re.escape, _PLAIN)) + "]")
 
-#: Spelled digits and the words for the two signs.
-_SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_AT, _DOT = "(?:at|arroba)", "(?:dot|punkt|point|punto)"
-#: Endings that make ``name at host dot ending`` an address; elsewhere those words are ordinary text.
+#: Spelled digits in the languages of the corpus, words for repeated digits, and the words for the signs.
+_DIGITS = ("zero oh z[éÉ]ro null cero", "one un une eins ein uno una", "two deux zwei zwo dos", "three trois drei tres", "four quatre vier cuatro", "five cinq f[üÜ]nf fuenf cinco",
+           "six sechs seis", "seven sept sieben siete", "eight huit acht ocho", "nine neuf neun nueve")
+_SPELLED = {re.sub(r"\[(.).\]", r"\1", word): str(digit) for digit, words in enumerate(_DIGITS) for word in words.split()}
+_TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
+_AT, _DOT, _PLUS = "(?:at|arroba)", "(?:dot|punkt|point|punto)", "(?:plus|m[áÁ]s|mas)"
+#: Endings that make ``name at host dot ending`` an address: first those that always do, then the country codes.
+_CODES = """ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bv bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk
+dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn
+kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps
+pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sj sk sl sm sn so sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws
+ye yt za zm zw"""
 _TOP = "(?:com|org|net|edu|gov|mil|info|biz|io|de|fr|es|uk|eu|ch|nl|ca|au)"
-_NAME = "|".join(_SPELLED)
-_RUN = rf"(?<![A-Za-z])(?:plus[\x20,-]{{1,3}})?(?:{_NAME})(?:(?:[\x20,-]{{1,3}}(?:{_DOT}[\x20,-]{{1,3}})?)(?:{_NAME})){{2,}}+(?![A-Za-z])"
+_CODE = "(?:int|name|pro|app|dev|cloud|online|shop|site|tech|cat|" + "|".join(_CODES.split()) + ")"
+#: Words that are no host; with them and a code that is a word (``look at the dot in``) it is ordinary text.
+_NO_HOST = r"(?!(?:the|an?|this|that|these|those|each|every|any|some|no|one|my|your|his|her|its|our|their|which|what)\x20)"
+#: Words right before an address that say it is one.
+_CUE = r"(?:e-?mail(?:s|ed)?|mailto|mail|contact|write\x20to|correo|courriel|escr[iíÍ]b[ea]\x20a|[éÉe]crire\x20[àa]|schreib(?:en\x20sie)?\x20an)"
+_NAME = "(?:" + "|".join(sorted((w for words in _DIGITS for w in words.split()), key=lambda w: (-len(w), w))) + ")"
+_MANY, _LETTER, _GAP = "(?:" + "|".join(_TIMES) + ")", "[A-Za-z\u00c0-\u024f]", r"[\x20,-]{1,3}"
+_UNIT = rf"(?:{_MANY}{_GAP})?{_NAME}(?!{_LETTER})"
+_RUN = rf"(?<!{_LETTER})(?:{_PLUS}{_GAP})?{_UNIT}(?:{_GAP}(?:{_DOT}{_GAP})?{_UNIT}){{2,}}+"
+_DOTTED, _END = rf"\x20{{1,2}}{_DOT}\x20{{1,2}}", "(?![A-Za-z0-9-])"
+_LEFT, _SIGN, _HOST = rf"{_LOCAL}++(?:{_DOTTED}{_LOCAL}++){{0,4}}", rf"\x20{{1,2}}{_AT}\x20{{1,2}}", "[A-Za-z0-9-]++"
+_ANY = rf"{_DOTTED}[A-Za-z]{{2,24}}+{_END}"
+_BARE = (rf"(?<!{_LOCAL})(?=(?:{_CUE}[:\x20]{{1,3}})?{_LEFT}{_SIGN}|{_LEFT}{_SIGN})(?:"
+         rf"{_LEFT}{_SIGN}{_HOST}(?:{_DOTTED}{_HOST}){{0,4}}{_DOTTED}{_TOP}{_END}"
+         rf"|{_CUE}[:\x20]{{1,3}}{_LEFT}{_SIGN}{_NO_HOST}{_HOST}(?:{_DOTTED}{_HOST}){{0,4}}{_ANY}"
+         rf"|{_LEFT}{_SIGN}{_NO_HOST}{_HOST}(?:{_DOTTED}{_HOST}){{1,4}}{_ANY}"
+         rf"|(?:(?=[A-Za-z0-9_%+-]+\.[A-Za-z0-9_%+-])|(?={_LOCAL}++{_DOTTED})){_LEFT}{_SIGN}{_NO_HOST}{_HOST}{_ANY}"
+         rf"|{_LEFT}{_SIGN}{_NO_HOST}{_HOST}{_DOTTED}{_CODE}{_END})")
 _WORDS = re.compile(
     rf"(?P<spelled>{_RUN})"
     rf"|(?P<at>\x20{{0,2}}[\[({{<]\x20{{0,2}}(?:{_AT}|@)\x20{{0,2}}[\])}}>]\x20{{0,2}}|&\#64;|&\#x40;|&commat;)"
     rf"|(?P<dot>\x20{{0,2}}[\[({{<]\x20{{0,2}}(?:{_DOT}|\.)\x20{{0,2}}[\])}}>]\x20{{0,2}}|&\#46;|&\#x2e;|&period;|(?<=[0-9])\x20{{1,2}}{_DOT}\x20{{1,2}}(?=[0-9]))"
-    rf"|(?P<bare>(?<!{_LOCAL}){_LOCAL}++(?:\x20{{1,2}}{_DOT}\x20{{1,2}}{_LOCAL}++){{0,4}}\x20{{1,2}}at\x20{{1,2}}[A-Za-z0-9-]++(?:\x20{{1,2}}{_DOT}\x20{{1,2}}[A-Za-z0-9-]++){{0,4}}?\x20{{1,2}}{_DOT}\x20{{1,2}}{_TOP}(?![A-Za-z0-9-]))",
+    rf"|(?P<bare>{_BARE})",
     re.I | re.A)
-_HINT = re.compile(rf"[\[({{<]\x20{{0,2}}(?:{_AT}|{_DOT}|@|\.)\x20{{0,2}}[\])}}>]|&\#(?:64|46|x40|x2e);|&commat;|&period;|\x20{_DOT}\x20|(?:{_NAME})[\x20,-]{{1,3}}(?:{_DOT}[\x20,-]{{1,3}})?(?:{_NAME})[\x20,-]", re.I | re.A)
-_TOKEN = re.compile(rf"{_NAME}|{_DOT}|plus", re.I | re.A)
-_BARE_SIGN = re.compile(rf"\x20{{1,2}}(?:at|{_DOT})\x20{{1,2}}", re.I | re.A)
+_HINT = re.compile(rf"[\[({{<]\x20{{0,2}}(?:{_AT}|{_DOT}|@|\.)\x20{{0,2}}[\])}}>]|&\#(?:64|46|x40|x2e);|&commat;|&period;|\x20{_DOT}\x20|{_NAME}{_GAP}(?:{_DOT}{_GAP})?(?:{_MANY}{_GAP})?{_NAME}[\x20,-]", re.I | re.A)
+_TOKEN = re.compile(rf"(?:(?P<many>{_MANY}){_GAP})?(?P<name>{_NAME})|{_DOT}|(?P<plus>{_PLUS})", re.I | re.A)
+_BARE_SIGN = re.compile(rf"\x20{{1,2}}(?:{_AT}|{_DOT})\x20{{1,2}}", re.I | re.A)
 
 
 class Rewritten:
@@ -161,10 +187,10 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
             tokens = list(_TOKEN.finditer(text, *m.span()))
             for k, t in enumerate(tokens):  # a token takes the separators after it, so that the digits join
                 end = tokens[k + 1].start() if k + 1 < len(tokens) else t.end()
-                word = t[0].lower()
-                edits.append((t.start(), end, _SPELLED.get(word, "+" if word == "plus" else ".")))
+                digits = _SPELLED[t["name"].lower()] * _TIMES.get((t["many"] or "").lower(), 1) if t["name"] else "+" if t["plus"] else "."
+                edits.append((t.start(), end, digits))
         elif m.lastgroup == "bare":
-            edits += [(*b.span(), "@" if b[0].strip().lower() == "at" else ".") for b in _BARE_SIGN.finditer(text, *m.span())]
+            edits += [(*b.span(), "@" if b[0].strip().lower() in ("at", "arroba") else ".") for b in _BARE_SIGN.finditer(text, *m.span())]
         else:
             edits.append((*m.span(), "@" if m.lastgroup == "at" else "."))
     return edits

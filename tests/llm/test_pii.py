@@ -94,3 +94,27 @@ def test_edge_rows(spark):
     got = pii.find(df).collect()
     assert sorted((r["id"], len(r["pii_spans"]), r["start"]) for r in got) == [(1, 0, "a"), (1, 0, "b"), (2, 1, "c"), (2, 1, "c")]
     assert pii.find(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    *[(f"ask jane at uni dot {e} today", "email", f"jane at uni dot {e}") for e in ("it", "jp", "pl", "us", "at", "br")],
+    ("jane at uni dot co dot jp", "email", "jane at uni dot co dot jp"),
+    ("jane.roe at uni dot museum", "email", "jane.roe at uni dot museum"),
+    ("jane dot roe at uni dot museum", "email", "jane dot roe at uni dot museum"),
+    ("ask jane at mail dot uni dot museum", "email", "jane at mail dot uni dot museum"),
+    ("write to jane at uni dot museum", "email", "jane at uni dot museum"),
+    ("correo: juana arroba uni punto es", "email", "juana arroba uni punto es"),
+    ("tel más cero seis uno dos tres cuatro cinco siete ocho nueve", "phone", "más cero seis uno dos tres cuatro cinco siete ocho nueve"),
+    ("plus vier neun null sechs eins fünf zwo drei sieben acht", "phone", "plus vier neun null sechs eins fünf zwo drei sieben acht"),
+    ("PLUS TROIS TROIS ZÉRO SIX UN DEUX QUATRE CINQ SEPT HUIT", "phone", "PLUS TROIS TROIS ZÉRO SIX UN DEUX QUATRE CINQ SEPT HUIT"),
+    ("plus one two oh double five triple seven one nine.", "phone", "plus one two oh double five triple seven one nine"),
+    ("double four one one one one one one one one one one one one one five", "card", None),
+])
+def test_disguises_of_every_ending_and_language(text, kind, part):
+    assert pii.worth_scanning(pa.array([text]))[0]
+    assert ((kind, part) in found(text)) if part else (found(text) == [])
+
+
+@pytest.mark.parametrize("text", ["look at the dot in the middle", "arrive at the point dot dot dot", "meet at noon", "un deux trois quatre", "he looked at each dot it drew", "call me at 10 dot 20"])
+def test_ordinary_words_stay(text):
+    assert found(text) == []
