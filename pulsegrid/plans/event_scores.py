@@ -68,7 +68,7 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
     base = events.select(F.col("user_id").alias("score_id"), day.alias("day"), int_div(F.pmod(sec, F.lit(86400)), 60).cast("int").alias("minute"), kind.alias("kind_name"), F.ceil("value").cast("int").alias("size"))
     # All six tables are views of the chords, so the chords are written once.
     chords = freeze(base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size"))).select(
-        "*", F.concat_ws(".", "day", "minute", "kind_name").alias("chord_id"), int_div(F.col("day"), 7).cast("int").alias("page_index"), F.lit(0).alias("system_index"), (F.col("day") % 7).cast("int").alias("stack_ord"))
+        "*", F.concat_ws(".", "day", "minute", "kind_name").alias("chord_id"), week_of(F.col("day")).alias("page_index"), F.lit(0).alias("system_index"), F.pmod("day", F.lit(7)).cast("int").alias("stack_ord"))
     rest = F.col("kind_name") == "error"
     x, y = F.col("minute").cast("double"), F.length("kind_name") * 10.0
     key = ["score_id", "page_index", "system_index"]

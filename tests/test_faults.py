@@ -110,3 +110,16 @@ def test_runs_from_another_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert "SEEN 1 0 0" in out.stdout and "CHAIN True" in out.stdout, out.stdout + out.stderr[-3000:]
+
+
+def test_chords_before_the_epoch_meet_their_stacks(spark):
+    from pulsegrid.plans.event_scores import notation_graph
+    from pulsegrid.plans.events import read_events
+
+    days = [f"2023-12-{d} 10:00:00" for d in range(22, 32)] + ["2024-01-02 10:00:00"]
+    one = read_events(spark, "/root/testdata/sf0.001").limit(1)
+    events = one.withColumn("ts", F.explode(F.array(*[F.lit(d).cast("timestamp_ntz") for d in days])))
+    graph = notation_graph(events)
+    key = ["score_id", "page_index", "system_index", "stack_ord"]
+    met = graph["chords"].join(graph["stacks"].select(*key), key).select("page_index", "stack_ord").collect()
+    assert sorted((r["page_index"], r["stack_ord"]) for r in met) == [(d // 7, d % 7) for d in [*range(-10, 0), 1]]
