@@ -35,6 +35,12 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that no later step reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that the frame does not have yet, so that callers' extra columns never clash."""
     taken = {c.lower() for c in df.columns}

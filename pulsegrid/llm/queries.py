@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm import blocks, jaccard, langid, mixing, neighbours, packing, pii, quality, secrets, shards
-from pulsegrid.llm.common import count_words, shared_path, table, write_once
+from pulsegrid.llm import blocks, centroids, jaccard, langid, mixing, neighbours, packing, periods, pii, quality, secrets, shards, warc
+from pulsegrid.llm.common import WORD, count_words, shared_path, table, write_once
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,50 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(rows, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding")
 
 
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "archives")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    found = warc.read(spark, path, verify=True)
+    return found.select(warc.page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_id("refers_to").alias("refers_to"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centres = centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    digests = [(c, hashlib.sha256(",".join(str(int(x)) for x in centre).encode()).hexdigest()) for c, centre in enumerate(centres)]
+    whole = lambda: F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(38,0)"))).try_cast("long")
+    sums = found.groupBy("cluster").agg(whole().alias("cluster_inertia"))
+    per = spark.createDataFrame(digests, "cluster int, centroid_sha256 string").join(sums, "cluster").crossJoin(found.agg(whole().alias("inertia")))  # k rows
+    return found.join(F.broadcast(per), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def rewritten(text: Column, doc_id: Column) -> Column:
+    """The text with its words from a place on repeating the first ones after that place, for about one id in ten; null for the other ids and where no word is."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    made = F.transform(
+        F.array(F.struct(words.alias("w"), F.floor(h / 10).alias("g"))),
+        lambda x: F.transform(
+            F.array(F.struct((x["g"] % F.size(x["w"])).cast("int").alias("a"))),
+            lambda y: F.transform(
+                F.array(F.struct((1 + F.floor((F.size(x["w"]) - y["a"]) / (3 + x["g"] % 8))).cast("int").alias("p"))),
+                lambda z: F.array_join(F.transform(x["w"], lambda w, i: F.when(i < y["a"], w).otherwise(F.get(x["w"], y["a"] + (i - y["a"]) % z["p"]))), " "),
+            )[0],
+        )[0],
+    )[0]
+    return F.when((h % 10 == 0) & text.rlike(WORD), made)
+
+
+def period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.find(docs.withColumn("text", F.coalesce(rewritten(F.col("text"), F.col("doc_id")), "text")), "text").drop("text")
+    best = found.withColumn("best", periods.strongest(F.col("runs")))
+    exponent = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"),
+                       digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_jaccard": ngram_jaccard,
     "op2_secret_scan": secret_scan,
@@ -89,6 +134,9 @@ QUERIES: dict[str, Query] = {
     "op8_residual_packing": residual_packing,
     "op9_hash_tree_shards": hash_tree_shards,
     "op10_language_id": language_id,
+    "op11_page_archives": page_archives,
+    "op12_centroid_clusters": centroid_clusters,
+    "op13_period_runs": period_runs,
 }
 
 #: Distinct shingles, all pairs that share one, and everything reachable by links: plain relational algebra over the whole table.
@@ -109,4 +157,42 @@ edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reached AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.y FROM reached r JOIN edges e ON e.x = r.other)
 SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id"""
 
-ORACLES: dict[str, str] = {"op1_ngram_jaccard": JACCARD_SQL}
+#: Base32 of SHA-1 from its hexadecimal form, five digits (20 bits) to four letters; the least page of each payload.
+ARCHIVES_SQL = r"""
+WITH hashed AS (SELECT page_id, html, upper(sha1(coalesce(html, ''))) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+bits AS (
+  SELECT page_id, html, first, list_transform(range(8), lambda i: list_reduce(list_transform(range(1, 6), lambda j: strpos('0123456789ABCDEF', h[5 * i + j]) - 1), lambda a, b: 16 * a + b)) AS chunks
+  FROM hashed
+)
+SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((chunks[1 + i // 4] >> (15 - 5 * (i % 4))) & 31)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits"""
+
+#: Plain k-means in integers: every vector against every centroid in each of four assignments.
+CENTROIDS_SQL = r"""
+WITH kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), v) <= 16),
+""" + "".join(f"""
+a{n} AS (
+  SELECT r, vec_id, v, c, d FROM (
+    SELECT r, vec_id, kept.v, c, list_sum(list_transform(list_zip(kept.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM kept, c{n}
+  ) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1
+),
+""" + (f"""
+m{n} AS (
+  SELECT c, list(s ORDER BY i) AS v FROM (
+    SELECT c, i, CAST(sum(x) // count(*) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS s FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY c, i
+  ) GROUP BY c
+),
+c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} ON m{n}.c = c{n}.c),
+""" if n < 3 else "") for n in range(4)) + r"""
+digests AS (SELECT c, sha256(array_to_string(v, ',')) AS centroid_sha256 FROM c3)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a3 JOIN digests USING (c)"""
+
+ORACLES: dict[str, str] = {"op1_ngram_jaccard": JACCARD_SQL, "op11_page_archives": ARCHIVES_SQL, "op12_centroid_clusters": CENTROIDS_SQL}
