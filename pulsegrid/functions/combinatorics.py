@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from pulsegrid.functions import bigint
 from pulsegrid.functions.meter import is_prime
 from pulsegrid.functions.rational import int_div, rational
 
-_BIG = "decimal(38,0)"
-
 
 def _long(value: Column | int) -> Column:
     return F.lit(value).cast("bigint") if isinstance(value, int) else value.cast("bigint")
@@ -77,21 +76,24 @@ def digits(value: Column, base: Column) -> Column:
     )
 
 
-def exact_quotient(product: Column, divisor: Column) -> Column:
-    """Quotient of a decimal by an integer that divides it, without leaving decimals of scale zero."""
-    return F.round(F.try_divide(product, divisor.cast("decimal(19,0)")), 0).try_cast(_BIG)
+def prime_power_factors(n: Column, k: Column) -> Column:
+    """Prime powers whose product is C(n, k), 0 <= k <= n: p to the number of carries of k + (n - k) in base p.  None exceeds n."""
 
+    def exponent(p: Column) -> Column:
+        start = F.struct(k.alias("k"), (n - k).alias("r"), F.lit(0).alias("carry"), F.lit(1).cast("bigint").alias("q"))
+        carry = lambda s: F.when(s["k"] % p + s["r"] % p + s["carry"] >= p, 1).otherwise(0)
+        steps = F.sequence(F.lit(1), int_div(F.length(F.bin(n)), F.length(F.bin(p)) - 1).cast("int") + 1)
+        return F.aggregate(steps, start, lambda s, _: F.struct(
+            int_div(s["k"], p).alias("k"), int_div(s["r"], p).alias("r"), carry(s).alias("carry"), (s["q"] * F.when(carry(s) == 1, p).otherwise(F.lit(1))).alias("q")), lambda s: s["q"])
+
+    primes = F.filter(F.sequence(F.lit(2).cast("bigint"), F.greatest(n, F.lit(2)).cast("bigint")), is_prime)
+    return F.filter(F.transform(primes, exponent), lambda q: q > 1)
 
-def binomial(n: Column, k: Column) -> Column:
-    """C(n, k) as DECIMAL(38,0); null outside 0 <= k <= n or beyond about 31 digits (decimal division keeps no more)."""
-    m = F.least(k, n - k).cast("bigint")
-    ok = (n >= 0) & (k >= 0) & (k <= n)
-    one = F.lit(1).cast(_BIG)
-    product = F.aggregate(
-        F.sequence(F.lit(1).cast("bigint"), F.greatest(m, F.lit(1).cast("bigint"))), one,
-        lambda acc, i: exact_quotient(F.try_multiply(acc, (n - m + i).cast("decimal(19,0)")).try_cast(_BIG), i),
-    )
-    return F.when(ok & (m == 0), one).when(ok, product)
+
+def binomial_text(n: Column, k: Column) -> Column:
+    """C(n, k) in decimal digits, exact at any size; null outside 0 <= k <= n."""
+    n, k = n.cast("bigint"), k.cast("bigint")
+    return F.when((k >= 0) & (k <= n), bigint.text(bigint.product(prime_power_factors(n, k))))
 
 
 def small_binomial_mod(n: Column, k: Column, p: Column) -> Column:
@@ -131,13 +133,6 @@ def pascal_mod(n: Column, k: Column, p: Column) -> Column:
     return F.when(p < 2, F.lit(None).cast("bigint")).when(~inside, zero).when(width == 0, one % p).otherwise(F.element_at(last, -1))
 
 
-def dilation_invariant(n: Column, k: Column, p: Column, m: Column) -> Column:
-    """Whether C(p^m n, p^m k) and C(n, k) agree mod p."""
-    scale = int_power(p, m)
-    at = lambda fn: fn(scale * n, scale * k, p) == fn(n, k, p)
-    return F.when(m < 0, F.lit(None).cast("boolean")).when(is_prime(p), at(lucas_mod)).otherwise(at(pascal_mod))
-
-
 # -- scales ---------------------------------------------------------------------------------------------------------------------
 
 

@@ -54,6 +54,8 @@ QUERIES: dict[str, Query] = {
     "metric_words": H.metric_words,
     "word_classes": H.word_classes,
     "lucas_mod": H.lucas_mod,
+    "binomial_mod": H.binomial_mod,
+    "class_sizes": H.class_sizes,
     "boundary_seq": H.boundary_seq,
     "scale_vector": H.scale_vector,
     "quality_report": H.quality_report,

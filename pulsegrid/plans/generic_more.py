@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions import combinatorics as C
 from pulsegrid.functions.rational import int_div
-from pulsegrid.operators import clusters, graph, profiles, quality, reconcile, register, timeline, words
+from pulsegrid.operators import clusters, graph, profiles, quality, reconcile, register, residues, timeline, words
 from pulsegrid.operators.scan import Scan
 from pulsegrid.plans.events import TPQ, calendar_columns, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import (
@@ -176,6 +176,22 @@ def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_classes(day_words(read_events(spark, sf_dir))).select(*longs("n", "k", "words", "distinct_words", "class_size"))
 
 
+def week_words(events: DataFrame) -> DataFrame:
+    """A word per user and week, one letter per hour up to the last active one: T where an event fell, else A."""
+    sec = seconds_since_epoch()
+    week = week_of(day_of(sec))
+    hours = events.select(F.col("user_id").alias("score_id"), week.alias("week"), int_div(sec - week.cast(LONG) * 604800, 3600).cast("int").alias("hour"))
+    weeks = hours.groupBy("score_id", "week").agg(F.max("hour").alias("last"), F.collect_set("hour").alias("on"))  # at most 168 hours
+    letters = F.transform(F.sequence(F.lit(0), F.col("last")), lambda h: F.when(F.array_contains(F.col("on"), h), "T").otherwise("A"))
+    return weeks.select("score_id", "week", F.array_join(letters, "").alias("word"))
+
+
+def class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of words of up to 168 letters with their exact sizes, which have up to 50 digits."""
+    classes = words.word_classes(week_words(read_events(spark, sf_dir)))
+    return classes.select(*longs("n", "k", "words", "distinct_words"), "class_size", F.length("class_size").cast(LONG).alias("digits"))
+
+
 def _order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("o_orderkey") % 4
     p = F.when(turn == 0, 2).when(turn == 1, 3).when(turn == 2, 5).otherwise(7).cast(LONG)
@@ -184,9 +200,20 @@ def _order_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lucas_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C(order key, customer key) modulo a small prime, and its invariance when both are scaled by p^m."""
-    rows = _order_numbers(spark, sf_dir)
-    n, k, p, m = (F.col(c) for c in "nkpm")
-    return rows.select(*longs("o_orderkey", "p"), C.lucas_mod(n, k, p).alias("residue"), C.dilation_invariant(n, k, p, m).cast(LONG).alias("invariant"))
+    rows = residues.with_tables(_order_numbers(spark, sf_dir), "p")
+    n, k, p, m, parts = (F.col(c) for c in ("n", "k", "p", "m", "parts"))
+    factor = C.int_power(p, m)
+    both = rows.select("o_orderkey", "p", residues.residue(n, k, p, parts).alias("residue"), residues.residue(factor * n, factor * k, p, parts).alias("scaled"))
+    return both.select(*longs("o_orderkey", "p", "residue"), (F.col("residue") == F.col("scaled")).cast(LONG).alias("invariant"))
+
+
+def binomial_mod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binomials of reduced order and customer keys modulo any number from 2 to 36, once more with both scaled by it, and whether the two agree."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    numbers = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (key % 61).alias("n"), (customer % 61).alias("k"), (key % 35 + 2).alias("modulus"))
+    n, k, m, parts = (F.col(c) for c in ("n", "k", "modulus", "parts"))
+    both = residues.with_tables(numbers, "modulus").select("o_orderkey", "modulus", residues.residue(n, k, m, parts).alias("residue"), residues.residue(m * n, m * k, m, parts).alias("scaled_residue"))
+    return both.select(*longs("o_orderkey", "modulus", "residue", "scaled_residue"), (F.col("residue") == F.col("scaled_residue")).cast(LONG).alias("invariant"))
 
 
 def boundary_seq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -521,6 +521,32 @@ parts AS (
   SELECT o_orderkey, any_value(o_custkey) AS o_custkey, any_value(p) AS p, CAST(product(CASE WHEN b > a THEN 0 ELSE CAST(factorial(CAST(a AS INTEGER)) // (factorial(CAST(b AS INTEGER)) * factorial(CAST(a - b AS INTEGER))) AS BIGINT) % p END) AS BIGINT) AS pr FROM digits GROUP BY 1
 )
 SELECT {longs('o_orderkey', 'p', 'CASE WHEN o_custkey > o_orderkey THEN 0 ELSE pr % p END AS residue', '1 AS invariant')} FROM parts""",
+    "binomial_mod": f"""
+WITH nums AS (SELECT o_orderkey, o_orderkey % 61 AS n, o_custkey % 61 AS k, o_orderkey % 35 + 2 AS m FROM orders),
+cases AS (SELECT DISTINCT f * n AS n, f * k AS k, m FROM (SELECT n, k, m, unnest([1, m]) AS f FROM nums)),
+primes AS (SELECT p FROM range(2, 2161) t(p) WHERE NOT EXISTS (SELECT 1 FROM range(2, 47) d(d) WHERE d < p AND p % d = 0)),
+parts AS (
+  SELECT n, k, m, p, list_sum(list_transform(range(1, 12), lambda i: n // CAST(pow(p, i) AS HUGEINT) - k // CAST(pow(p, i) AS HUGEINT) - (n - k) // CAST(pow(p, i) AS HUGEINT))) AS e
+  FROM cases JOIN primes ON p <= n WHERE k <= n
+),
+known AS (
+  SELECT n, k, m, list_reduce(list(CAST(pow(p, e) AS BIGINT) % m), lambda a, b: a * b % m) AS r FROM parts WHERE e > 0 GROUP BY n, k, m
+),
+residues AS (SELECT n, k, m, CASE WHEN k > n THEN 0 ELSE coalesce(r, 1) END AS r FROM cases LEFT JOIN known USING (n, k, m))
+SELECT {longs('o_orderkey', 'm AS modulus', 'a.r AS residue', 'b.r AS scaled_residue', 'CASE WHEN a.r = b.r THEN 1 ELSE 0 END AS invariant')}
+FROM nums JOIN residues a USING (n, k, m) JOIN residues b ON b.n = nums.m * nums.n AND b.k = nums.m * nums.k AND b.m = nums.m""",
+    "class_sizes": with_(BASE, """
+week_hours AS (SELECT DISTINCT score_id, sec // 604800 AS week, sec % 604800 // 3600 AS h FROM ev),
+week_words AS (
+  SELECT w.score_id, w.week, string_agg(CASE WHEN b.h IS NOT NULL THEN 'T' ELSE 'A' END, '' ORDER BY w.h) AS word
+  FROM (SELECT score_id, week, unnest(range(0, max(h) + 1)) AS h FROM week_hours GROUP BY 1, 2) w LEFT JOIN week_hours b USING (score_id, week, h) GROUP BY 1, 2
+),
+classes AS (SELECT length(word) AS n, length(replace(word, 'A', '')) AS k, count(*) AS words, count(DISTINCT word) AS distinct_words FROM week_words GROUP BY 1, 2),
+triangle AS (
+  SELECT 0 AS n, ['1'::BIGNUM] AS line
+  UNION ALL SELECT n + 1, list_transform(range(0, n + 2), lambda i: coalesce(line[i], '0'::BIGNUM) + coalesce(line[i + 1], '0'::BIGNUM)) FROM triangle WHERE n < 168
+)""") + f"""
+SELECT {longs('n', 'k', 'words', 'distinct_words', 'length(CAST(line[k + 1] AS VARCHAR)) AS digits')}, CAST(line[k + 1] AS VARCHAR) AS class_size FROM classes JOIN triangle USING (n)""",
     "boundary_seq": "WITH RECURSIVE " + ORDER_NUMBERS + f"""
 , bases AS (SELECT DISTINCT p FROM nums), hi AS (SELECT max(o_orderkey) AS h FROM nums),
 seq AS (SELECT p, 1 AS nth, CAST(1 AS BIGINT) AS term FROM bases UNION ALL SELECT p, nth + 1, CASE WHEN nth = 1 THEN 2 ELSE p * term - (p - 1) END FROM seq, hi WHERE term <= h + 1)
