@@ -23,14 +23,14 @@ def test_tick_base_too_large(spark, tmp_path, large):
     good = score([measure("1", note(2, C4), note(2, C4), divisions=1, time=(4, 4))])
     (tmp_path / "good.xml").write_bytes(good)
     alone = J.parse_scores(*(musicxml.read_scores(spark, str(tmp_path))[t] for t in ("elements", "measures", "layout")))
-    want = [r.asDict() for r in alone.hits.drop("score_id").collect()]
+    want = [r.asDict() for r in alone.hits.drop("score_id").orderBy("onset").collect()]
     bad = score([measure("1", note(1, C4), divisions=3, time=(4, 4)), measure("2", note(1, C4), divisions=5), measure("3", note(1, C4), time=(4, 1))])
     (tmp_path / "bad.xml").write_bytes(bad)
     tables = musicxml.read_scores(spark, str(tmp_path))
     raw = tables["measures"].withColumn("divisions", F.col("divisions").cast("long")).withColumn(
         "divisions", F.when(F.col("divisions") == 3, large[0]).when(F.col("divisions") == 5, large[1]).otherwise(F.col("divisions")))
     parsed = J.parse_scores(tables["elements"], raw, tables["layout"])
-    hits = parsed.hits.collect()
+    hits = parsed.hits.orderBy("score_id", "onset").collect()
     assert [{k: v for k, v in r.asDict().items() if k != "score_id"} for r in hits] == want and all(r.score_id.endswith("good.xml") for r in hits)
     report = [(r.score_id.rsplit("/", 1)[1], r.code) for r in parsed.quality.collect()]
     assert ("bad.xml", "tick-base-too-large") in report and ("good.xml", "tick-base-too-large") not in report
