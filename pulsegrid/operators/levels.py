@@ -7,8 +7,8 @@ side of what lies to its left (``rel`` in (0, W]).  With f parts, ``rel`` become
 * Beats whose arities are the defaults (no tuplet marks, no recovered off-dyadic hits) need no rounds: a hit strictly inside a span
   always splits it, and a span that starts or ends at a hit is split exactly when the neighbour hit is nearer than its width.  That is
   one sort per beat for the neighbours and integer arithmetic per row.
-* Other beats let the hits of a span vote on its arity.  Their rows carry the span as (s, q), the q-th of s equal parts, and every
-  round is a window under the partitioning (score, segment, beat).
+* Other beats let the hits of a span vote on its arity.  Their rows carry the span as (s, q), the q-th of s equal parts; a round opens one row per vote,
+  counts votes by (span, arity), and closes them again, all under the partitioning (score, segment, beat).
 
 Either way everything happens under one shuffle by beat; a beat holds at most 2*W rows because hits are unique per tick.
 """
@@ -27,8 +27,6 @@ from pulsegrid.session import freeze
 # Fixed value: refinement rounds allowed beyond the number a beat's smallest gap asks for.
 DEPTH_SLACK = 6
 
-ROUNDS_PER_BLOCK = 4
-
 _BEAT = ("score_id", "segment_index", "_beat")
 
 
@@ -188,8 +186,8 @@ def by_default_arities(rows: DataFrame) -> DataFrame:
 def by_votes(rows: DataFrame) -> DataFrame:
     """Arities voted by the hits of each span: explicit tuplets, recovered ternary positions, else the default.
 
-    Rounds run in blocks; after a block the frontier is written, rows that left it are set aside and the rest goes on.  The depth
-    allowance ends every row, so the loop stops by itself.
+    After a round the frontier is written, rows that left it are set aside and the rest goes on, so every round is a small plan over the spans that still split.
+    The depth allowance ends every row, so the loop stops by itself.
     """
     with_tuplets, ternary_possible = "tuplets" in rows.columns, "canonical_recovered" in rows.columns
     frontier = rows.withColumns({
@@ -200,10 +198,8 @@ def by_votes(rows: DataFrame) -> DataFrame:
     settled: list[DataFrame] = []
     depth = 0
     while True:
-        for _ in range(ROUNDS_PER_BLOCK):
-            frontier = _round(frontier, depth, with_tuplets, ternary_possible)
-            depth += 1
-        written = freeze(frontier)
+        written = freeze(_round(frontier, depth, with_tuplets, ternary_possible))
+        depth += 1
         settled.append(written.filter("NOT _active"))
         frontier = written.filter("_active")
         if frontier.isEmpty():
@@ -219,6 +215,22 @@ def with_profile(events: DataFrame) -> DataFrame:
     })
 
 
+def _with_votes(rows: DataFrame, start_side: Column) -> DataFrame:
+    """One row per hit and arity it votes for in its span (``_vote``, ``_ballot`` numbers them; hits without a vote keep one row), with the onsets that vote alike.
+
+    A mark votes if its arity is prime and its hit lies on that arity's grid in the span; ``full`` says that some note of the hit fills one part.
+    """
+    width = F.col("beat_ticks")
+    aligned = F.filter(F.when(start_side, F.col("tuplets")), lambda t: (t["actual"] != t["normal"]) & is_prime(t["actual"]) & ((F.col("_rel") * t["actual"]) % width == 0))
+    fills = lambda t: (t["duration"] > 0) & (t["duration"] * t["actual"] * F.col("_s") == width)
+    arities = F.array_distinct(F.transform("_aligned", lambda t: t["actual"]))
+    votes = F.transform(arities, lambda p: F.struct(p.alias("p"), F.exists("_aligned", lambda t: (t["actual"] == p) & fills(t)).alias("full")))
+    rows = rows.withColumn("_aligned", aligned)
+    rows = rows.select(*[c for c in rows.columns if c != "_aligned"], F.posexplode_outer(votes).alias("_ballot", "_vote"))
+    # Hits are unique per tick, so rows of one arity in a span are its onsets.
+    return rows.withColumn("_onsets", F.count("_vote.p").over(Window.partitionBy(*_BEAT, "_s", "_q", "_vote.p")))
+
+
 def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bool) -> DataFrame:
     span = Window.partitionBy(*_BEAT, "_s", "_q")
     width, is_end = F.col("beat_ticks"), F.col("_side") == "E"
@@ -226,18 +238,21 @@ def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bo
     inner = start_side & (F.col("_rel") > 0)
     none = F.array().cast("array<string>")
 
-    votes: dict[str, Column] = {"_has": F.coalesce(F.max(inner).over(span), F.lit(False))}
+    if with_tuplets:
+        rows = _with_votes(rows, start_side)
+    counts: dict[str, Column] = {"_has": F.coalesce(F.max(inner).over(span), F.lit(False))}
     if ternary_possible:
         off_dyadic = inner & F.coalesce(F.col("canonical_recovered"), F.lit(False)) & (F.col("_rel") % F.col("_pow3") != 0)
-        votes["_tern"] = F.coalesce(F.max(off_dyadic).over(span), F.lit(False))
+        counts["_tern"] = F.coalesce(F.max(off_dyadic).over(span), F.lit(False))
+    if with_tuplets:
+        p = F.col("_vote.p")
+        chosen = {"full": F.when(F.col("_vote.full"), p), "twice": F.when(F.col("_onsets") > 1, p)}
+        counts |= {f"_{name}_{end}": fn(arity).over(span) for name, arity in chosen.items() for end, fn in (("low", F.min), ("high", F.max))}
+    rows = rows.select("*", *[c.alias(name) for name, c in counts.items()])
+    gone = set(counts)
     if with_tuplets:
-        usable = F.when(start_side, F.filter("tuplets", lambda t: t["actual"] != t["normal"]))
-        aligned = F.filter(usable, lambda t: is_prime(t["actual"]) & ((F.col("_rel") * t["actual"]) % width == 0))
-        strong = F.filter(aligned, lambda t: (t["duration"] > 0) & (t["duration"] * t["actual"] * F.col("_s") == width))
-        arities = lambda marks: F.array_distinct(F.transform(marks, lambda t: t["actual"]))
-        votes["_alv"] = F.flatten(F.collect_list(arities(aligned)).over(span))
-        votes["_stv"] = F.array_distinct(F.flatten(F.collect_list(arities(strong)).over(span)))
-    rows = rows.select("*", *[vote.alias(name) for name, vote in votes.items()])
+        rows = rows.filter(F.coalesce("_ballot", F.lit(0)) == 0)
+        gone |= {"_ballot", "_vote", "_onsets"}
 
     visited = F.col("_active") & F.col("_has")
     split = visited & (F.lit(depth) < F.col("_cap"))
@@ -245,10 +260,10 @@ def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bo
     explicit: Column = F.lit(None).cast("int")
     notes = [F.when(visited & ~split, F.concat_ws(":", F.lit("depth"), *[F.col(c).cast("string") for c in ("_beat", "_q", "_s")]))]
     if with_tuplets:
-        twice = F.filter(F.array_distinct("_alv"), lambda v: F.size(F.filter("_alv", lambda u: u == v)) >= 2)
-        pool = F.when(F.size("_stv") > 0, F.col("_stv")).otherwise(twice)
-        explicit = F.when(F.size(pool) == 1, F.get(pool, F.lit(0)))
-        notes.append(F.when(split & (F.size(pool) > 1), F.lit("conflict")))
+        # An arity that a full part vouches for; without any, one with two onsets.  Two candidates are a conflict.
+        low, high = (F.when(F.col("_full_low").isNotNull(), F.col(f"_full_{end}")).otherwise(F.col(f"_twice_{end}")) for end in ("low", "high"))
+        explicit = F.when(low == high, low)
+        notes.append(F.when(split & (low < high), F.lit("conflict")))
     ternary: Column = F.lit(None).cast("int")
     if ternary_possible:
         ternary = F.when((default == 2) & F.col("_tern"), F.lit(3))
@@ -260,7 +275,7 @@ def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bo
             lambda t: F.concat_ws(":", F.lit("composite"), t["actual"].cast("string"), t["normal"].cast("string")))
         found = F.concat(found, F.coalesce(F.when(split & ~is_end, composite), none))
     rows = rows.select(
-        *[c for c in rows.columns if c not in (*votes, "_note")], split.alias("_split"),
+        *[c for c in rows.columns if c not in (*gone, "_note")], split.alias("_split"),
         F.coalesce(explicit, ternary, default).cast("int").alias("_f"), F.concat(F.col("_note"), found).alias("_note"))
 
     x, split = F.col("_rel") * F.col("_f"), F.col("_split")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsegrid.plans import event_scores as S
 from pulsegrid.plans import generic as G
 from pulsegrid.plans import generic_more as H
-from pulsegrid.plans.oracles import ORACLES
+from pulsegrid.plans import tuplets as T
+from pulsegrid.plans.oracles import GRID, ORACLES, longs, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +65,8 @@ QUERIES: dict[str, Query] = {
     "canonical_columns": S.canonical_columns,
     "physical_groups": S.physical_groups,
     "system_bounds": S.system_bounds,
+    **T.QUERIES,
 }
+ORACLES = {**ORACLES, **T.oracles(with_, longs, GRID)}
 
 __all__ = ["ORACLES", "QUERIES", "Query"]
