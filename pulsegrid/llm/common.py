@@ -15,7 +15,16 @@ from pulsegrid.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch on its way to a Python worker (a longer row is a batch of its own); Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,6 +44,41 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator, deleted together once its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(shared_path(self.spark, name))
+        df.write.parquet(self.paths[-1])
+        return self.spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def clear(self) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        self.paths = []
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """Left join of ``facts`` (one row per key, with the number of ``rows`` that bear it in ``count``) that no hot key can stall.
+
+    Keys of at least one row in ``share`` are at most ``share`` many and are broadcast; their rows get a key of their own in the shuffle for all others.
+    ``facts`` should be a written table; ``count`` is not handed on.
+    """
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    values = [c for c in facts.columns if c not in (key, count)]
+    flag, at, own = (fresh(rows, stem) for stem in ("_hot", "_at", "_own"))
+    is_hot = F.col(count) * share >= total
+    hot = F.broadcast(facts.filter(is_hot).select(key, F.struct(*values).alias(flag)))
+    cold = facts.filter(~is_hot).select(F.struct(F.col(key).cast("string").alias("k"), F.lit(0).alias("spread")).alias(at), F.struct(*values).alias(own))
+    spread = F.when(F.col(flag).isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    met = rows.join(hot, key, "left").withColumn(at, F.struct(F.col(key).cast("string").alias("k"), spread.alias("spread"))).join(cold, at, "left")
+    found = F.coalesce(flag, own)
+    return met.select(*rows.columns, *[found[c].alias(c) for c in values])
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that no later step reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

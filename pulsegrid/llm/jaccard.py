@@ -14,7 +14,8 @@ Every pass is a scan of the documents or a join of small rows; the sets of class
 minimum-label and pointer-jumping joins, each round written to the shared folder.
 
 Null texts and texts without words have no shingles: they link with nothing. Shorter texts have their whole word sequence as one shingle.  Repeated rows share a class.
-A null id never names a component while another member has an id.
+A null id never names a component while another member has an id.  An empty table gives an empty result; a very long text is one slice of a task and costs about forty
+times its bytes there.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.llm.common import slices, write_once
+from pulsegrid.llm.common import Scratch, bound_batches, discard, fresh, shared_path, slices, with_facts, write_once
 from pulsegrid.llm.words import SLICE, Texts, mix, shingle_sets
 
 ORDERS = 3
@@ -35,7 +36,7 @@ ORDERS = 3
 SKETCH_SLOTS = 1 << 20
 MAP_BITS = 1 << 24
 #: Shingles that a task counts together before it reports those seen at least twice.
-COUNTED_TOGETHER = 4_000_000
+COUNTED_TOGETHER = 1_000_000
 
 _SEEDS = np.random.RandomState(77).randint(1, 2**62, 16).astype(np.uint64)
 
@@ -230,16 +231,21 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; every round is written, and ends when it changes nothing.
     """
+    spark = edges.sparkSession
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    before = None
+    before = held = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = write_once(small.select("e.a", "e.b").filter("a <> b").distinct(), "components")
-        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        path, made = shared_path(spark, "components"), small.select("e.a", "e.b").filter("a <> b").distinct()
+        made.write.parquet(path)
+        edges = spark.read.schema(made.schema).parquet(path)
+        if held is not None:
+            discard(spark, held)
+        state, held = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()), path
         if state == before:
             break
         before = state
@@ -256,7 +262,9 @@ class Joined:
 
 def join(df: DataFrame, id_column: str, text_column: str, rule: Rule, every_link: bool = True) -> Joined:
     """Links between classes. With ``every_link`` all of them; without, enough of them to connect what belongs together."""
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    bound_batches(spark)
+    context, scratch = spark.sparkContext, Scratch(spark)
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     level = write_once(_classes(rows, rule), "jaccard-classes")
     docs = level.filter("slots IS NULL").select("id", "class", "n")
@@ -268,19 +276,28 @@ def join(df: DataFrame, id_column: str, text_column: str, rule: Rule, every_link
     member = F.struct("class", "n", "at")
     met = tokens.groupBy("token").agg(F.min(member).alias("x"), F.max(member).alias("y"), F.count(F.lit(1)).alias("rows"))
     met = met.filter((F.col("x.class") < F.col("y.class")) & ((F.col("rows") > 2) | _may_reach(rule, "x", "y"))).select("token")
-    shared = write_once(tokens.join(met, "token").dropDuplicates(["token", "class"]), "jaccard-shared")
+    shared = scratch.write(tokens.join(met, "token").dropDuplicates(["token", "class"]), "jaccard-shared")
 
     def of_classes(pairs: DataFrame, whole: bool) -> DataFrame:
         """Prefixes or whole sets of the classes in these pairs, by one more scan of the documents that stand for them."""
         mates = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
         marked = context.broadcast(_marked(docs.groupBy("class").agg(F.min("id").alias("id")).join(mates, "class", "left_semi")))
-        return write_once(_of_marked(rows, rule, sketch, marked, whole).join(mates, "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets")
+        return scratch.write(_of_marked(rows, rule, sketch, marked, whole).join(mates, "class", "left_semi").dropDuplicates(["class"]), "jaccard-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Links among candidate pairs: intersect the orders' filters on short prefixes first, fetch and compare whole sets for what is left."""
-        pairs = write_once(pairs.distinct(), "jaccard-pairs")
-        left = write_once(_intersected(pairs, of_classes(pairs, whole=False)), "jaccard-pairs")
-        return write_once(_verified(left, of_classes(left, whole=True), rule), "jaccard-links")
+    def filtered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Candidate pairs that all orders let through, judged on short prefixes, and the whole sets of what is left."""
+        pairs = scratch.write(pairs.distinct(), "jaccard-pairs")
+        left = scratch.write(_intersected(pairs, of_classes(pairs, whole=False)), "jaccard-pairs")
+        return left, of_classes(left, whole=True)
+
+    def linked(links: DataFrame) -> DataFrame:
+        return scratch.write(connected(links).withColumnRenamed("node", "class"), "jaccard-labels")
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components."""
+        of = lambda c: labels.select(F.col("class").alias(c), F.col("label").alias(f"{c}_label"))
+        both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return both.filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
     def meeting(frame: DataFrame, key: str) -> DataFrame:
         """Pairs of classes that share a bucket, differ in ``key`` and pass the position filter."""
@@ -289,20 +306,62 @@ def join(df: DataFrame, id_column: str, text_column: str, rule: Rule, every_link
         return pairs.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"))
 
     if every_link:
-        return Joined(docs, verified(meeting(shared.withColumn("label", F.col("class")), "class")))
+        left, sets = filtered(meeting(shared.withColumn("label", F.col("class")), "class"))
+        links = write_once(_verified(left, sets, rule), "jaccard-links")
+        scratch.clear()
+        return Joined(docs, links)
     centres = shared.groupBy("token").agg(F.min(F.struct("at", "n", "class")).alias("y"))
     star = shared.select("token", F.struct("class", "n", "at").alias("x")).join(centres, "token").filter((F.col("x.class") != F.col("y.class")) & _may_reach(rule, "x", "y"))
-    links = verified(star.select(F.col("y.class").alias("a"), F.col("x.class").alias("b")))
-    labels = connected(links).withColumnRenamed("node", "class")
-    labelled = shared.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    return Joined(docs, links.unionByName(verified(meeting(labelled, "label"))))
+    left, sets = filtered(star.select(F.col("y.class").alias("a"), F.col("x.class").alias("b")))
+    # A member of a large group meets many centres of the same group: one of them is verified first, the rest only where it did not connect them.
+    first = left.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = write_once(_verified(first, sets, rule), "jaccard-links")
+    second = write_once(_verified(apart(left, linked(links)), sets, rule), "jaccard-links")
+    links = links.unionByName(second)
+    labelled = shared.join(linked(links), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    left, sets = filtered(meeting(labelled, "label"))
+    links = links.unionByName(write_once(_verified(left, sets, rule), "jaccard-links"))
+    scratch.clear()
+    return Joined(docs, links)
 
 
 def components(df: DataFrame, id_column: str, text_column: str, rule: Rule) -> DataFrame:
-    """One row per document: id, n (set size), component_id (least id of all documents that links connect it with; its own without any)."""
+    """One row per document: id, n (set size), component_id (least id of all documents that links connect it with; its own without any).
+
+    Classes are named by their least id before they are connected, so a component's label is its answer and nothing is gathered or joined by component.
+    """
     joined = join(df, id_column, text_column, rule, every_link=False)
-    labels = connected(joined.links).withColumnRenamed("node", "class")
-    full = joined.docs.filter("n > 0").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    names = full.groupBy("label").agg(F.min("id").alias("component_id"))
-    linked = full.join(names, "label").select("id", F.col("n").cast("long").alias("n"), "component_id")
-    return linked.unionByName(joined.docs.filter("n = 0").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id")))
+    whole = joined.docs.filter("n > 0")
+    # Classes without any id come last and are told apart by their name.
+    node = F.struct(F.col("id").isNull().alias("last"), F.coalesce("id", "class").alias("id"))
+    classes = write_once(whole.groupBy("class").agg(F.min(node).alias("node"), F.count(F.lit(1)).alias("docs")), "jaccard-nodes")
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = joined.links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    least = lambda c: F.when(~F.col(f"{c}.last"), F.col(f"{c}.id"))
+    named = classes.join(connected(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    facts = write_once(named.select("class", "docs", least("label").alias("component_id")), "jaccard-components")
+    found = with_facts(whole, facts, "class", "docs").select("id", F.col("n").cast("long").alias("n"), "component_id")
+    return found.unionByName(joined.docs.filter("n = 0").select("id", F.lit(0).cast("long").alias("n"), F.col("id").alias("component_id")))
+
+
+def keep_one(df: DataFrame, id_column: str, text_column: str, rule: Rule) -> DataFrame:
+    """One row of each component: the one of least id (null last), then of least hash of id and text; of rows equal in both, the least in all columns.
+
+    Rows are told apart by a 64-bit hash of id and text, so different texts under one id are judged one by one.  Rows without words all stay.  Columns must be orderable.
+    """
+    columns, key = df.columns, fresh(df, "_key")
+    keyed = df.withColumn(key, F.xxhash64(id_column, text_column))
+    joined = join(keyed, key, text_column, rule, every_link=False)
+    counted = joined.docs.filter("n > 0").groupBy(F.col("id").alias("key"), "class").agg(F.count(F.lit(1)).alias("rows"))
+    ids = keyed.groupBy(F.col(key).alias("key")).agg(F.min(F.col(id_column).cast("long")).alias("doc"))
+    keys = write_once(counted.join(ids, "key"), "jaccard-keys")
+    node = F.struct(F.col("doc").isNull().alias("last"), F.coalesce("doc", F.lit(0)).alias("doc"), "key")
+    classes = write_once(keys.groupBy("class").agg(F.min(node).alias("node"), F.count(F.lit(1)).alias("docs")), "jaccard-nodes")
+    of = lambda c: classes.select(F.col("class").alias(c), F.col("node").alias(f"{c}_node"))
+    edges = joined.links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    kept = classes.join(connected(edges), "node", "left").select("class", "docs", F.coalesce("label", "node")["key"].alias("kept"))
+    judged = with_facts(keys.select("key", "rows", "class"), write_once(kept, "jaccard-kept"), "class", "docs")
+    verdict = write_once(judged.filter("key <> kept OR rows > 1").select(F.col("key").alias(key), "rows", (F.col("key") != F.col("kept")).alias("_gone")), "jaccard-verdicts")
+    marked = with_facts(keyed, verdict, key, "rows")
+    once = marked.filter("NOT _gone").groupBy(key).agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return marked.filter("_gone IS NULL").select(*columns).unionByName(once)

@@ -2,8 +2,9 @@
 
 A text longer than the capacity is cut into full pieces, of which the first takes the rest; a full piece is a sequence of its own.  Each task packs its
 other pieces best-fit decreasing and emits the bins that are nearly full.  The bins that are not become items of the next round: they are dealt to fewer tasks,
-``FAN_IN`` to one, packed best-fit again, and so on up the tree.  A task of any round holds at most about ``TASK_ITEMS`` items; if that many bins stay
-underfull because nothing fits together (all longer than half a sequence), the tree stops where a round no longer helps, instead of gathering them.
+``FAN_IN`` to one, packed best-fit again, and so on up the tree.  A task of any round holds at most about ``TASK_ITEMS`` items; if more than that stay underfull, rounds
+of other groupings go on until no two open bins fit together, which the counts of bins by fill (at most ``capacity`` of them) tell.  Where many bins fit none of
+their own task, those with room for the smallest bins are dealt with those, so that a round always joins some.
 
 Each round is written to the shared folder before the next reads it.  A sequence holds at most ``capacity`` pieces, so its member list is bounded.
 Null and empty texts are one piece of the end id. Repeated rows and null ids are separate documents; an empty table gives no pieces.
@@ -26,6 +27,7 @@ CAPACITY = 1024
 NEARLY_FULL = 0.99
 FAN_IN = 8
 TASK_ITEMS = 100_000
+#: A round that joins fewer bins than this share is followed by one that brings emptiest and fullest together.
 LEAST_GAIN = 0.01
 
 MEMBER = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -128,16 +130,33 @@ def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACI
     while n_open:
         tasks = max(1, -(-tasks // FAN_IN), -(-n_open // task_items))
         level = write_once(_merge(open_bins, tasks, round_no, capacity, least), "packing")
-        left = level.filter("NOT closed").count()
-        if tasks == 1 or left > (1.0 - LEAST_GAIN) * n_open:
+        left, room = _room(level, capacity)
+        if tasks == 1 or room is None:
             done = done.unionByName(level)
             break
-        done, open_bins, n_open, round_no = done.unionByName(level.filter("closed")), level.filter("NOT closed"), left, round_no + 1
+        done, open_bins = done.unionByName(level.filter(f"closed OR fill > {room}")), level.filter(f"NOT closed AND fill <= {room}")
+        if left > (1.0 - LEAST_GAIN) * n_open:
+            # What fits together rarely meets by chance: the emptiest bins and the fullest that still have room for one of them go to one task.
+            half = max(1, task_items // 2)
+            chosen = open_bins.orderBy("fill").limit(half).unionByName(open_bins.orderBy(F.desc("fill")).limit(half)).dropDuplicates(["sequence_id"])
+            chosen = write_once(chosen, "packing")
+            joined = write_once(_merge(chosen, 1, round_no + 1, capacity, least), "packing")
+            others = open_bins.join(chosen.select("sequence_id"), "sequence_id", "left_anti").select(*open_bins.columns)
+            done, open_bins, round_no = done.unionByName(joined.filter("closed")), others.unionByName(joined.filter("NOT closed")), round_no + 1
+        n_open, round_no = open_bins.count(), round_no + 1
     ends = F.aggregate(F.slice("members", F.lit(1), F.col("pos")), F.lit(0).cast("long"), lambda acc, m: acc + m["length"])
     return done.select("sequence_id", "members", F.posexplode("members").alias("pos", "m")).select(
         "m.doc_id", "m.piece", "m.start", "m.length", "m.ids_crc32", "sequence_id", ends.alias("offset"))
 
 
+def _room(level: DataFrame, capacity: int) -> tuple[int, int | None]:
+    """Number of open bins, and the most that a bin may hold to take the emptiest one in; None if no two of them fit together."""
+    fills = sorted(level.filter("NOT closed").groupBy("fill").count().collect())  # at most ``capacity`` rows
+    emptiest = [f for f, n in fills for _ in range(min(n, 2))][:2]
+    fits = len(emptiest) == 2 and sum(emptiest) <= capacity
+    return sum(n for _, n in fills), capacity - emptiest[0] if fits else None
+
+
 def _merge(open_bins: DataFrame, tasks: int, round_no: int, capacity: int, least: int) -> DataFrame:
     def again(batches) -> Iterator[pa.RecordBatch]:
         number, items = _numbers(round_no), []

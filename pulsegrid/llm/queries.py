@@ -88,10 +88,12 @@ def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centres = centroids.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    digests = [(c, hashlib.sha256(",".join(str(int(x)) for x in centre).encode()).hexdigest()) for c, centre in enumerate(centres)]
-    whole = lambda: F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(38,0)"))).try_cast("long")
-    sums = found.groupBy("cluster").agg(whole().alias("cluster_inertia"))
-    per = spark.createDataFrame(digests, "cluster int, centroid_sha256 string").join(sums, "cluster").crossJoin(found.agg(whole().alias("inertia")))  # k rows
+    total = F.when(F.count("distance") == F.count("*"), F.sum(F.col("distance").cast("decimal(38,0)")))
+    sums = {r["cluster"]: r["total"] for r in found.groupBy("cluster").agg(total.alias("total")).collect()}  # k rows
+    whole = None if None in sums.values() else sum(sums.values())
+    long = lambda x: None if x is None or x >= 2**63 else int(x)
+    facts = [(c, long(x), long(whole), hashlib.sha256(",".join(str(int(y)) for y in centres[c]).encode()).hexdigest()) for c, x in sums.items()]
+    per = spark.createDataFrame(facts, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
     return found.join(F.broadcast(per), "cluster").select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 

@@ -2,7 +2,8 @@
 
 That vocabulary's pre-tokenizer never joins what stands on both sides of a single blank or line feed, except that a blank belongs to the word after
 it.  So a text can be cut there, each distinct piece encoded once per task, and the ids put together again by numpy.  Texts with three white-space
-characters in a row, or two at the end, are the exception and are encoded whole; the ids are the same as the library's either way.
+characters in a row, or two at the end, and texts that hold the string of a special token (which the library turns into that token's id) are the exception
+and are encoded whole; the ids are the library's either way.  A very long text is cut like any other; one that must be encoded whole is held whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
@@ -98,6 +99,8 @@ class Encoder:
         """Ids of all texts one after another, and each text's count. Null is an empty text, without ids."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
         uncut = pc.match_substring_regex(texts, UNCUT).to_numpy(zero_copy_only=False)
+        for token in self.special:
+            uncut = uncut | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         lines = pc.split_pattern(pc.if_else(pa.array(uncut), "", texts) if uncut.any() else texts, "\n")
         words = pc.split_pattern(lines.flatten(), " ")
         in_text, in_line = (pc.list_value_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (lines, words))

@@ -7,6 +7,8 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from tokenizers import Tokenizer
+
 from pulsegrid.llm import blocks, packing, tokens
 from pulsegrid.llm.common import shared_path
 
@@ -18,13 +20,26 @@ def encoder():
     return tokens.Encoder(tokens.default_path())
 
 
+special = st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", " ", "\n", "a", "b."]), max_size=6).map("".join)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="ab .,\n\t'’é日1　\xa0\x1c\x85", max_size=12)), max_size=8))
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="ab .,\n\t'’é日1　\xa0\x1c\x85", max_size=12), special), max_size=8))
 def test_pieces_give_the_ids_of_whole_texts(texts):
-    e = tokens.encoder(tokens.default_path())
-    ids, counts = e.encode(pa.array(texts, pa.string()))
-    assert counts.tolist() == [len(w) for w in e._whole([t or "" for t in texts])]
-    assert ids.tolist() == [x for one in e._whole([t or "" for t in texts]) for x in one]
+    """Against the library itself, with nothing set but what the contract names."""
+    plain = Tokenizer.from_file(tokens.default_path())
+    want = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, counts = tokens.encoder(tokens.default_path()).encode(pa.array(texts, pa.string()))
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for one in want for x in one]
+
+
+def test_special_tokens_and_long_texts():
+    plain = Tokenizer.from_file(tokens.default_path())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|>\ny", "plain words", "lorem ipsum. " * 100_000, "z" * 20_000 + " <|endoftext|>"]
+    ids, counts = tokens.encoder(tokens.default_path()).encode(pa.array(texts))
+    for text, own in zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in ids.tolist()
 
 
 def test_documents_end_with_the_end_id(encoder):
@@ -117,6 +132,20 @@ def test_packing_edge_rows_and_rounds(spark, encoder):
     assert packing.pack(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_packing_ends_only_when_no_two_bins_fit(spark, encoder):
+    """Tiny tasks, so that partners meet by chance only seldom: many bins over half full, a few small ones that fit some of them."""
+    sizes = [40] * 150 + [45] * 60 + [23] * 4 + [18] * 3
+    rows = [(i, " ".join(["ab"] * n)) for i, n in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = packing.pack(df, "doc_id", "text", 64, task_items=12).collect()
+    check_packing(encoder, rows, got, 64)
+    fill = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    least = sorted(fill.values())[:2]
+    assert sum(least) > 64 and len(fill) <= 213
+
+
 def test_best_fit_prefers_the_fullest_bin():
     place = packing.best_fit(np.array([60, 50, 40, 10, 4]), 64)
     assert place.tolist() in ([0, 1, 2, 1, 0], [0, 1, 2, 1, 1]) and len(packing.best_fit(np.array([], np.int64), 64)) == 0
