@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import jaccard, mixing, packing, quality, secrets
-from pulsegrid.llm.common import WORD, table, write_once
+from pulsegrid.llm.common import table, write_once
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_DUPLICATE = jaccard.Rule(size=5, per_cent=80)
@@ -25,23 +25,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; documents without words stay.
+    """Of each group of near copies one row stays, that of the least id (rows without an id last), repeated rows included; rows without words stay.
 
-    Five-word shingles at similarity 0.8.  A document is a pair of id and text, named by a 64-bit hash: different texts under one id are judged one by one, and no
-    text goes for another's sake.  Texts without an id stand behind all with an id and differ by their hash.  Rows that are repeated whole under an id stay or go
-    together; of equal texts without an id one row stays.
+    Five-word shingles at similarity 0.8; different texts under one id are judged one by one.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    groups = jaccard.components(keyed, "_key", "text", NEAR_DUPLICATE).filter("component_id <> id")
-    others = write_once(groups.select("id", "component_id").distinct(), "near-duplicates")
-    members = others.unionByName(others.select(F.col("component_id").alias("id"), "component_id").distinct())
-    ids = keyed.groupBy(F.col("_key").alias("id")).agg(F.min("doc_id").alias("doc_id"))
-    least = members.join(ids, "id").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "id")).alias("least"))
-    gone = write_once(members.join(least.select("least.id"), "id", "left_anti").select(F.col("id").alias("_key")), "near-duplicates-gone")
-
-    nameless = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    once = keyed.filter(nameless).groupBy("_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*", "_key")
-    return keyed.filter(~nameless).select(*COLUMNS, "_key").unionByName(once).join(gone, "_key", "left_anti").select(*COLUMNS)
+    return jaccard.keep_one(docs, "doc_id", "text", NEAR_DUPLICATE).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
