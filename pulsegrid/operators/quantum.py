@@ -7,10 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsegrid.functions.rational import ceil_log2_ratio, gcd_of, power_of_two
 
 
+#: Values that one fold takes at most.
+FOLDED = 1024
+
+
 def gcd_by(values: DataFrame, keys: list[str], value: str, name: str = "gcd") -> DataFrame:
-    """gcd of the positive values of each key. Distinct values first: what is folded is bounded by the value range, not the rows."""
-    distinct = values.filter(F.col(value) > 0).select(*keys, F.col(value).cast("bigint").alias(value)).distinct()
-    return distinct.groupBy(*keys).agg(gcd_of(F.collect_list(value)).alias(name))
+    """gcd of the positive values of each key, in folds of bounded size.
+
+    Values are cut into blocks by range, whose sets combine on the map side and hold at most ``FOLDED`` values; each block gives one partial gcd.  That is either the
+    block's only value or divides a difference below ``FOLDED``; so a second cut, by ``FOLDED`` blocks each, folds at most twice as many, and the last fold sees
+    one value per ``FOLDED`` squared of the value range.
+    """
+    level = values.filter(F.col(value) > 0).select(*keys, F.col(value).cast("bigint").alias("_v"))
+    for width in (FOLDED, FOLDED * FOLDED):
+        block = F.call_function("div", F.col("_v"), F.lit(width))
+        level = level.groupBy(*keys, block.alias("_block")).agg(gcd_of(F.collect_set("_v")).alias("_v"))
+    return level.groupBy(*keys).agg(gcd_of(F.collect_set("_v")).alias(name))
 
 
 def halvings(whole: Column, ticks: Column, columns: Column) -> Column:

@@ -22,6 +22,8 @@ QUERIES: dict[str, Query] = {
     "event_levels": G.level_rows,
     "level_positions": G.level_positions,
     "level1_labels": G.level1_labels,
+    "level_index": G.level_index_rows,
+    "level_marks": G.level_marks,
     "wave_profile": G.wave_profile,
     "pivots": G.pivot_rows,
     "pivot_stats": G.pivot_stats,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions.grid import grid_position, grid_top
 from pulsegrid.functions.rational import int_div, rational_text
-from pulsegrid.operators import clusters, profiles, timeline
+from pulsegrid.operators import clusters, level_index, profiles, timeline
 from pulsegrid.operators.anchors import anchor_chain, monotone_fill
 from pulsegrid.operators.hits import attack_key
 from pulsegrid.operators.labels import level1_labels as label_level1
@@ -16,6 +16,7 @@ from pulsegrid.operators.segments import segment_hits
 from pulsegrid.plans.events import (
     TPQ, day_of, event_hits, event_levels, event_measures, event_segments, read_events, seconds_since_epoch,
 )
+from pulsegrid.session import write_table
 
 LONG = "bigint"
 
@@ -87,6 +88,21 @@ def level_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select(*longs("score_id", "segment_index", "level", "positions", "first_onset", "last_onset", "onset_sum"))
 
 
+def level_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists Level -> onsets, delta-coded in blocks of ticks."""
+    index = level_index.build(event_levels(read_events(spark, sf_dir)))
+    return index.select(*longs("score_id", "segment_index", "level", "block", "positions"), as_text("deltas").alias("deltas"))
+
+
+def level_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Levels of a segment as the result reports them: positions restored from the lists, and the label of its first Level-1 position."""
+    events = read_events(spark, sf_dir)
+    levels = write_table(event_levels(events), "levels")
+    measures = event_measures(events).withColumn("measure_number", (F.col("measure_index") + 1).cast("string"))
+    found = level_index.marks(levels, write_table(level_index.build(levels), "level-index"), label_level1(levels, measures, F.lit(TPQ)))
+    return found.select(*longs("score_id", "segment_index", "level", "positions", "blocks", "first_onset", "last_onset", "events"), F.coalesce("first_label", F.lit("none")).alias("first_label"))
+
+
 def level1_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_events(spark, sf_dir)
     measures = event_measures(events).withColumn("measure_number", (F.col("measure_index") + 1).cast("string"))

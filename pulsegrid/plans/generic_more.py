@@ -176,19 +176,19 @@ def word_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.word_classes(day_words(read_events(spark, sf_dir))).select(*longs("n", "k", "words", "distinct_words", "class_size"))
 
 
-def week_words(events: DataFrame) -> DataFrame:
-    """A word per user and week, one letter per hour up to the last active one: T where an event fell, else A."""
+def month_words(events: DataFrame) -> DataFrame:
+    """A word per user and four weeks, one letter per hour up to the last active one: T where an event fell, else A."""
     sec = seconds_since_epoch()
-    week = week_of(day_of(sec))
-    hours = events.select(F.col("user_id").alias("score_id"), week.alias("week"), int_div(sec - week.cast(LONG) * 604800, 3600).cast("int").alias("hour"))
-    weeks = hours.groupBy("score_id", "week").agg(F.max("hour").alias("last"), F.collect_set("hour").alias("on"))  # at most 168 hours
+    month = int_div(week_of(day_of(sec)) - F.pmod(week_of(day_of(sec)), F.lit(4)), 4)
+    hours = events.select(F.col("user_id").alias("score_id"), month.alias("month"), int_div(sec - month.cast(LONG) * 2419200, 3600).cast("int").alias("hour"))
+    months = hours.groupBy("score_id", "month").agg(F.max("hour").alias("last"), F.collect_set("hour").alias("on"))  # at most 672 hours
     letters = F.transform(F.sequence(F.lit(0), F.col("last")), lambda h: F.when(F.array_contains(F.col("on"), h), "T").otherwise("A"))
-    return weeks.select("score_id", "week", F.array_join(letters, "").alias("word"))
+    return months.select("score_id", "month", F.array_join(letters, "").alias("word"))
 
 
 def class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of words of up to 168 letters with their exact sizes, which have up to 50 digits."""
-    classes = words.word_classes(week_words(read_events(spark, sf_dir)))
+    """Classes of words of up to 672 letters with their exact sizes, which have up to 200 digits."""
+    classes = words.word_classes(month_words(read_events(spark, sf_dir)))
     return classes.select(*longs("n", "k", "words", "distinct_words"), "class_size", F.length("class_size").cast(LONG).alias("digits"))
 
 

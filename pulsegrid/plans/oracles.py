@@ -232,6 +232,23 @@ SELECT {longs('score_id', 'segment_index', 'onset', 'height', 'density', 'lowest
     "level_positions": with_(BASE, GRID, LEVELS) + f"""
 SELECT {longs('score_id', 'segment_index', 'lv AS level', 'count(*) AS positions', 'min(onset) AS first_onset', 'max(onset) AS last_onset', 'sum(onset) AS onset_sum')}
 FROM stack GROUP BY score_id, segment_index, lv""",
+    "level_index": with_(BASE, GRID, LEVELS) + f"""
+SELECT {longs('score_id', 'segment_index', 'lv AS level', 'onset // 1024 AS block', 'count(*) AS positions')}, string_agg(d, ',' ORDER BY onset) AS deltas FROM (
+  SELECT *, onset - coalesce(lag(onset) OVER (PARTITION BY score_id, segment_index, lv, onset // 1024 ORDER BY onset), onset // 1024 * 1024) AS d FROM stack
+) GROUP BY score_id, segment_index, lv, onset // 1024""",
+    "level_marks": with_(BASE, GRID, LEVELS) + f"""
+, named AS (
+  SELECT p.score_id, p.segment_index, arg_min(CASE WHEN (p.onset - s.start_tick) % p.width = 0 THEN 'm.' || (s.m + 1) || ' b' || ((p.onset - s.start_tick) // p.width + 1)
+         ELSE 'm.' || (s.m + 1) || ' +' || {frac('(p.onset - s.start_tick)', '64')} END, p.onset) AS label
+  FROM placed p JOIN stack t ON t.score_id = p.score_id AND t.segment_index = p.segment_index AND t.onset = p.onset AND t.lv = 1 JOIN meas s ON s.score_id = p.score_id AND s.m = p.m
+  GROUP BY p.score_id, p.segment_index
+),
+sizes AS (SELECT score_id, segment_index, count(*) AS events FROM placed GROUP BY score_id, segment_index),
+spans_ AS (
+  SELECT score_id, segment_index, lv, count(*) AS positions, count(DISTINCT onset // 1024) AS blocks, min(onset) AS first_onset, max(onset) AS last_onset FROM stack GROUP BY score_id, segment_index, lv
+)
+SELECT {longs('score_id', 'segment_index', 'lv AS level', 'positions', 'blocks', 'first_onset', 'last_onset', 'events')}, CASE WHEN lv = 1 THEN coalesce(label, 'none') ELSE 'none' END AS first_label
+FROM spans_ JOIN sizes USING (score_id, segment_index) LEFT JOIN named USING (score_id, segment_index)""",
     "level1_labels": with_(BASE, GRID, LEVELS) + f"""
 SELECT {longs('p.score_id AS score_id', 'p.segment_index AS segment_index', 'p.onset AS onset')},
        CASE WHEN (p.onset - s.start_tick) % p.width = 0 THEN 'm.' || (s.m + 1) || ' b' || ((p.onset - s.start_tick) // p.width + 1)
@@ -536,15 +553,15 @@ residues AS (SELECT n, k, m, CASE WHEN k > n THEN 0 ELSE coalesce(r, 1) END AS r
 SELECT {longs('o_orderkey', 'm AS modulus', 'a.r AS residue', 'b.r AS scaled_residue', 'CASE WHEN a.r = b.r THEN 1 ELSE 0 END AS invariant')}
 FROM nums JOIN residues a USING (n, k, m) JOIN residues b ON b.n = nums.m * nums.n AND b.k = nums.m * nums.k AND b.m = nums.m""",
     "class_sizes": with_(BASE, """
-week_hours AS (SELECT DISTINCT score_id, sec // 604800 AS week, sec % 604800 // 3600 AS h FROM ev),
-week_words AS (
-  SELECT w.score_id, w.week, string_agg(CASE WHEN b.h IS NOT NULL THEN 'T' ELSE 'A' END, '' ORDER BY w.h) AS word
-  FROM (SELECT score_id, week, unnest(range(0, max(h) + 1)) AS h FROM week_hours GROUP BY 1, 2) w LEFT JOIN week_hours b USING (score_id, week, h) GROUP BY 1, 2
+month_hours AS (SELECT DISTINCT score_id, sec // 2419200 AS month, sec % 2419200 // 3600 AS h FROM ev),
+month_words AS (
+  SELECT w.score_id, w.month, string_agg(CASE WHEN b.h IS NOT NULL THEN 'T' ELSE 'A' END, '' ORDER BY w.h) AS word
+  FROM (SELECT score_id, month, unnest(range(0, max(h) + 1)) AS h FROM month_hours GROUP BY 1, 2) w LEFT JOIN month_hours b USING (score_id, month, h) GROUP BY 1, 2
 ),
-classes AS (SELECT length(word) AS n, length(replace(word, 'A', '')) AS k, count(*) AS words, count(DISTINCT word) AS distinct_words FROM week_words GROUP BY 1, 2),
+classes AS (SELECT length(word) AS n, length(replace(word, 'A', '')) AS k, count(*) AS words, count(DISTINCT word) AS distinct_words FROM month_words GROUP BY 1, 2),
 triangle AS (
   SELECT 0 AS n, ['1'::BIGNUM] AS line
-  UNION ALL SELECT n + 1, list_transform(range(0, n + 2), lambda i: coalesce(line[i], '0'::BIGNUM) + coalesce(line[i + 1], '0'::BIGNUM)) FROM triangle WHERE n < 168
+  UNION ALL SELECT n + 1, list_transform(range(0, n + 2), lambda i: coalesce(line[i], '0'::BIGNUM) + coalesce(line[i + 1], '0'::BIGNUM)) FROM triangle WHERE n < 672
 )""") + f"""
 SELECT {longs('n', 'k', 'words', 'distinct_words', 'length(CAST(line[k + 1] AS VARCHAR)) AS digits')}, CAST(line[k + 1] AS VARCHAR) AS class_size FROM classes JOIN triangle USING (n)""",
     "boundary_seq": "WITH RECURSIVE " + ORDER_NUMBERS + f"""

@@ -204,3 +204,36 @@ def newest_exports(spark: SparkSession, path: str, endings: tuple[str, ...] = ("
     ranked = files.withColumns({"folder": folder, "_rank": rank}).filter("_rank > 0")
     best = F.min_by(F.struct("path", "modificationTime", "length"), F.struct("_rank", (-F.unix_micros("modificationTime")).alias("age"), "path"))
     return ranked.groupBy("folder").agg(best.alias("_b")).select("folder", "_b.*")
+
+
+#: File names of each kind of result, best first.
+RESULT_KINDS = {
+    "export": (r"\.mxl$", r"\.musicxml$", r"\.xml$"),
+    "project": (r"\.omr$",),
+    "annotations": (r"annotations[^/]*\.zip$",),
+}
+
+
+def run_results(spark: SparkSession, path: str, marker: str = r"\.log$") -> DataFrame:
+    """The file of each kind that a run left: best name pattern first, then the newest, then the least path.
+
+    A run is a folder that holds a file matching ``marker``; whatever lies below belongs to its nearest run, files under no run to the folder ``path`` itself.  Runs
+    are found by joining the prefixes of every file's folder with the run folders, so a tree of any shape is one pass over its listing; only metadata is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "length")
+    files = files.withColumn("_folder", F.regexp_replace("path", "/[^/]*$", ""))
+    runs = files.filter(F.col("path").rlike(f"(?i){marker}")).select(F.col("_folder").alias("_prefix")).distinct()
+    kind, rank = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for name, patterns in RESULT_KINDS.items():
+        for i, pattern in enumerate(patterns):
+            fits = F.col("path").rlike(f"(?i){pattern}")
+            kind, rank = F.when(fits, name).otherwise(kind), F.when(fits, i).otherwise(rank)
+    results = files.select("path", "modificationTime", "length", "_folder", kind.alias("kind"), rank.alias("_rank")).filter("kind IS NOT NULL")
+    parts = F.split("_folder", "/")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("prefix")))
+    opened = results.select("*", F.explode(prefixes).alias("_p")).select("*", F.col("_p.prefix").alias("_prefix"))
+    met = opened.join(runs.withColumn("_run", F.col("_prefix")), "_prefix", "left")
+    nearest = F.max(F.when(F.col("_run").isNotNull(), F.struct("_p.depth", "_run")))["_run"]
+    placed = met.groupBy("path").agg(nearest.alias("run"), *[F.first(c).alias(c) for c in ("kind", "_rank", "modificationTime", "length")])
+    best = F.min_by(F.struct("path", "modificationTime", "length"), F.struct("_rank", (-F.unix_micros("modificationTime")).alias("age"), "path"))
+    return placed.withColumn("run", F.coalesce("run", F.lit(path.rstrip("/")))).groupBy("run", "kind").agg(best.alias("_b")).select("run", "kind", "_b.*")

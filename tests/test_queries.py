@@ -36,6 +36,18 @@ def test_query_with_hot_keys(spark, con, name):
         spark.conf.unset(HOT_ROWS_CONF)
 
 
+def test_tuplet_queries_reach_every_case(con):
+    """The SQL side alone: conflicts, composite marks and recovered thirds all occur in the given tables."""
+    kinds = {note for _, _, note in con.sql(ORACLES["tuplet_notes"]).fetchall()}
+    assert {"conflict", "composite:6:4", "ternary"} <= kinds
+    assert {levels.count(",") for *_, levels in con.sql(ORACLES["tuplet_levels"]).fetchall()} >= {0, 1, 2}
+
+
+def test_class_sizes_reach_forty_digits(con):
+    sizes = dict(con.sql(f"SELECT class_size, digits FROM ({ORACLES['class_sizes']})").fetchall())
+    assert max(sizes.values()) > 40 and all(len(text) == digits for text, digits in sizes.items())
+
+
 def test_entry(spark):
     import __spark_entry__ as E
 
