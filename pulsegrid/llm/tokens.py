@@ -44,10 +44,13 @@ class Encoder:
         self.known: dict[str, int] = {}
         self.pool, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
+    def _whole(self, texts: list[str], special: bool = False) -> list[list[int]]:
+        """Ids of texts as the library gives them; without ``special`` (texts that hold no special token) it need not look for those."""
+        self.tokenizer.encode_special_tokens = not special
         out = []
         for at in range(0, len(texts), 256):
             out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:at + 256], add_special_tokens=False)]
+        self.tokenizer.encode_special_tokens = False
         return out
 
     def _learn(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -123,7 +126,7 @@ class Encoder:
         counts = np.diff(upto, prepend=0)
         if not uncut.any():
             return ids, counts
-        own = self._whole(texts.filter(pa.array(uncut)).to_pylist())
+        own = self._whole(texts.filter(pa.array(uncut)).to_pylist(), special=True)
         counts[uncut] = [len(x) for x in own]
         out = np.empty(int(counts.sum()), np.uint32)
         mine = np.repeat(uncut, counts)
