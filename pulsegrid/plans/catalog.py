@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pulsegrid.plans import event_scores as S
 from pulsegrid.plans import generic as G
 from pulsegrid.plans import generic_more as H
+from pulsegrid.plans import graph_oracles
 from pulsegrid.plans import tuplets as T
 from pulsegrid.plans.oracles import GRID, ORACLES, longs, with_
 
@@ -65,10 +66,12 @@ QUERIES: dict[str, Query] = {
     "score_hits": S.score_hits,
     "score_measures": S.score_measures,
     "canonical_columns": S.canonical_columns,
+    "canonical_hits": S.canonical_hits,
+    "canonical_stats": S.canonical_stats,
     "physical_groups": S.physical_groups,
     "system_bounds": S.system_bounds,
     **T.QUERIES,
 }
-ORACLES = {**ORACLES, **T.oracles(with_, longs, GRID)}
+ORACLES = {**ORACLES, **T.oracles(with_, longs, GRID), **graph_oracles.oracles(with_, longs)}
 
 __all__ = ["ORACLES", "QUERIES", "Query"]

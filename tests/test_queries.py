@@ -43,6 +43,17 @@ def test_tuplet_queries_reach_every_case(con):
     assert {levels.count(",") for *_, levels in con.sql(ORACLES["tuplet_levels"]).fetchall()} >= {0, 1, 2}
 
 
+def test_graph_queries_reach_every_case(con):
+    """The SQL side alone: all timing sources, stems both ways, dots, ties, several chords in a column and hits with and without details occur in the given tables."""
+    rows = con.sql(f"SELECT timing_source, confidence_milli, tie_continuation_only, chords FROM ({ORACLES['canonical_columns']})").fetchall()
+    assert {(source, sure) for source, sure, *_ in rows} >= {("semantic-begin-anchor", 920), ("semantic-begin-anchor", 940), ("semantic-monotonic-anchor", 900), ("canonical-grid-interpolation", 720)}
+    chords = [c.split(":") for *_, text in rows for c in text.split(",")]
+    assert {c[2] for c in chords} == {"0", "1", "2"} and {c[3] for c in chords} == {"up", "down", "none"} and {c[5] for c in chords} == {"0", "1"}
+    assert any(tied for *_, tied, _ in rows) and any("," in text for *_, text in rows)
+    details = {bool(n) for (n,) in con.sql(f"SELECT source_count FROM ({ORACLES['canonical_hits']})").fetchall()}
+    assert details == {True, False}
+
+
 def test_class_sizes_reach_forty_digits(con):
     sizes = dict(con.sql(f"SELECT class_size, digits FROM ({ORACLES['class_sizes']})").fetchall())
     assert max(sizes.values()) > 40 and all(len(text) == digits for text, digits in sizes.items())
