@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulsegrid.functions.notation import is_notehead
 from pulsegrid.operators.clusters import centroid_columns, gap_clusters, guard_bounds, largest_gap_systems
 from pulsegrid.operators.scan import Scan
+from pulsegrid.session import write_table
 
 PAGE = ["score_id", "page_index"]
 SYSTEM = [*PAGE, "system_index"]
@@ -42,7 +43,7 @@ def staff_clusters(heads: DataFrame) -> DataFrame:
 
 def system_clusters(heads: DataFrame, expected: DataFrame) -> DataFrame:
     """System of every notehead: the expected number of systems cut at the largest gaps between bands, else wide vertical gaps."""
-    banded = staff_clusters(heads)
+    banded = write_table(staff_clusters(heads), "banded")
     bands = banded.groupBy(*PAGE, "staff_cluster").agg(F.max(F.col("y") + F.col("h")).alias("_bottom"), F.min("y").alias("_top"))
     wanted = bands.join(expected.filter("expected_systems > 0"), PAGE)
     counted = wanted.withColumn("_want", F.least("expected_systems", F.count(F.lit(1)).over(Window.partitionBy(*PAGE))))
@@ -61,21 +62,35 @@ def attack_columns(heads: DataFrame) -> DataFrame:
     return centroid_columns(values, Scan(tuple(SYSTEM), ("cx",)), "cx", "_n", F.col("_near"))
 
 
+def column_members(heads: DataFrame, columns: DataFrame) -> DataFrame:
+    """Column of every head: the last one that starts at or before its centre, found in one ordered pass over heads and column starts.
+
+    Columns of a system do not overlap and every centre lies in one, so the start decides alone and no head meets a column it is not in.
+    """
+    starts = columns.select(*SYSTEM, F.col("first_value").alias("cx"), F.col("column_index").alias("_start"))
+    order = Window.partitionBy(*SYSTEM).orderBy("cx", F.col("_start").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = heads.withColumn("_head", F.lit(True)).unionByName(starts, allowMissingColumns=True)
+    return passed.withColumn("column_index", F.last("_start", ignorenulls=True).over(order)).filter("_head").drop("_head", "_start")
+
+
 def physical_groups(symbols: DataFrame, pages: DataFrame, expected: DataFrame, bands: DataFrame | None = None) -> DataFrame:
-    """Attack columns with their system's bounds in image pixels; five-line bands widen the bounds where their number agrees."""
-    heads = system_clusters(noteheads(symbols), expected).join(page_scale(pages), PAGE)
-    boxes = heads.groupBy(*SYSTEM).agg(
-        (F.min("y") * F.first("scale_y")).alias("system_top"), (F.max(F.col("y") + F.col("h")) * F.first("scale_y")).alias("system_bottom"),
-        (F.min("x") * F.first("scale_x")).alias("system_left"), (F.max(F.col("x") + F.col("w")) * F.first("scale_x")).alias("system_right"))
-    if bands is not None:
-        agreeing = boxes.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")).join(bands.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), [*PAGE, "n"]).select(*PAGE)
-        boxes = boxes.join(bands.join(agreeing, PAGE), SYSTEM, "left").withColumns({
-            "system_top": F.least("system_top", "top"), "system_bottom": F.greatest("system_bottom", "bottom")}).drop("top", "bottom")
-    columns = attack_columns(heads)
-    edges = columns.select(*SYSTEM, "column_index", F.col("first_value").alias("_a"), F.col("last_value").alias("_b"))
-    members = heads.join(edges, SYSTEM).filter("cx >= _a AND cx <= _b").groupBy(*SYSTEM, "column_index").agg(
-        (F.avg("cx") * F.first("scale_x")).alias("cx"), (F.avg("cy") * F.first("scale_y")).alias("cy"), F.count(F.lit(1)).alias("heads"))
-    return members.join(boxes, SYSTEM).withColumnRenamed("column_index", "group_index")
+    """Attack columns with their system's bounds in image pixels; five-line bands widen the bounds where their number agrees.
+
+    Heads with their system are written once; columns, membership and bounds all read that copy, and everything behind the column starts shares one exchange by system.
+    """
+    heads = write_table(system_clusters(noteheads(symbols), expected).join(page_scale(pages), PAGE).select(
+        *SYSTEM, "symbol_id", "x", "y", "w", "h", "interline", "cx", "cy", "scale_x", "scale_y"), "heads")
+    system = Window.partitionBy(*SYSTEM)
+    extent = {"system_top": F.min("y").over(system) * F.col("scale_y"), "system_bottom": F.max(F.col("y") + F.col("h")).over(system) * F.col("scale_y"),
+              "system_left": F.min("x").over(system) * F.col("scale_x"), "system_right": F.max(F.col("x") + F.col("w")).over(system) * F.col("scale_x")}
+    groups = column_members(heads, attack_columns(heads)).withColumns(extent).groupBy(*SYSTEM, F.col("column_index").alias("group_index")).agg(
+        (F.avg("cx") * F.first("scale_x")).alias("cx"), (F.avg("cy") * F.first("scale_y")).alias("cy"), F.count(F.lit(1)).alias("heads"), *[F.first(c).alias(c) for c in extent])
+    if bands is None:
+        return groups
+    found = groups.groupBy(*PAGE).agg(F.count_distinct("system_index").alias("n"))
+    agreeing = found.join(bands.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n")), [*PAGE, "n"]).select(*PAGE)
+    return groups.join(bands.join(agreeing, PAGE), SYSTEM, "left").withColumns({
+        "system_top": F.least("system_top", "top"), "system_bottom": F.greatest("system_bottom", "bottom")}).drop("top", "bottom")
 
 
 def system_bounds(groups: DataFrame, pages: DataFrame) -> DataFrame:

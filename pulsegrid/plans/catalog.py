@@ -10,8 +10,9 @@ from pulsegrid.plans import event_scores as S
 from pulsegrid.plans import generic as G
 from pulsegrid.plans import generic_more as H
 from pulsegrid.plans import graph_oracles
+from pulsegrid.plans import overlays as O
 from pulsegrid.plans import tuplets as T
-from pulsegrid.plans.oracles import GRID, ORACLES, longs, with_
+from pulsegrid.plans.oracles import ANCHORS, BANDED, BASE, GRID, ORACLES, PAGES, TREE, longs, pivot_sql, with_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -71,7 +72,9 @@ QUERIES: dict[str, Query] = {
     "physical_groups": S.physical_groups,
     "system_bounds": S.system_bounds,
     **T.QUERIES,
+    **O.QUERIES,
 }
-ORACLES = {**ORACLES, **T.oracles(with_, longs, GRID), **graph_oracles.oracles(with_, longs)}
+ORACLES = {**ORACLES, **T.oracles(with_, longs, GRID), **graph_oracles.oracles(with_, longs),
+           **O.oracles(with_, longs, BASE, BANDED, ANCHORS, TREE, pivot_sql("banded"), PAGES)}
 
 __all__ = ["ORACLES", "QUERIES", "Query"]

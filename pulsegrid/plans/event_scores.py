@@ -12,7 +12,7 @@ from pulsegrid.operators import layout
 from pulsegrid.plans import scores
 from pulsegrid.plans.events import calendar, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import LONG, as_text, longs
-from pulsegrid.session import freeze
+from pulsegrid.session import freeze, write_table
 
 PARTS = 2
 UNIT = 24
@@ -211,9 +211,9 @@ def page_symbols(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kind, sec = F.col("event_type"), seconds_since_epoch()
     day = day_of(sec)
     page = int_div(day, 7).cast("int")
-    boxes = events.select(F.col("user_id").alias("score_id"), page.alias("page_index"), F.concat(F.lit("notehead_"), kind).alias("shape"), (int_div(F.pmod(sec, F.lit(86400)), 60) * 2).cast("double").alias("x"),
+    boxes = write_table(events.select(F.col("user_id").alias("score_id"), page.alias("page_index"), F.concat(F.lit("notehead_"), kind).alias("shape"), (int_div(F.pmod(sec, F.lit(86400)), 60) * 2).cast("double").alias("x"),
                           ((day % 7) * 300 + F.length(kind) * 12).cast("double").alias("y")).distinct().withColumns({
-        "w": F.lit(12.0), "h": F.lit(10.0), "interline": F.lit(10.0), "symbol_id": F.concat_ws(".", "x", "y")})
+        "w": F.lit(12.0), "h": F.lit(10.0), "interline": F.lit(10.0), "symbol_id": F.concat_ws(".", "x", "y")}), "boxes")
     pages = boxes.select("score_id", "page_index").distinct().withColumns({"width": F.lit(2880.0), "height": F.lit(2200.0), "annotation_width": F.lit(2880.0), "annotation_height": F.lit(2200.0)})
     expected = events.select(F.col("user_id").alias("score_id"), page.alias("page_index"), day.alias("d")).distinct().groupBy("score_id", "page_index").agg(F.count(F.lit(1)).cast("int").alias("expected_systems"))
     return boxes, pages, expected

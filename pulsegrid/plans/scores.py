@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.operators import columns as C
-from pulsegrid.operators import layout, profiles, quality, reconcile, register, timeline
+from pulsegrid.operators import layout, pages, profiles, quality, reconcile, register, timeline
 from pulsegrid.operators.hits import merge_hits
 from pulsegrid.operators.levels import refine
 from pulsegrid.operators.scan import CHUNK, Scan, chunked, hot_row_limit, largest_key
@@ -148,7 +148,7 @@ def overlay(events: DataFrame, derived: Profiles, canonical: CanonicalScores, an
 
     ``sizes`` gives score_id, page_index, width, height of the page images; ``projection`` the optional row darkness per page.
     """
-    pages = annotations["pages"].join(sizes, ["score_id", "page_index"])
+    sheets = annotations["pages"].join(sizes, ["score_id", "page_index"])
     shift = canonical.measures.select("score_id", "measure_index", "pickup_shift")
     keyed = canonical.columns.join(shift, ["score_id", "measure_index"]).withColumn("offset", F.col("pickup_shift") + F.col("onset")).drop("onset", "pickup_shift")
     anchors = register.register_anchors(events, keyed, sizes)
@@ -156,10 +156,16 @@ def overlay(events: DataFrame, derived: Profiles, canonical: CanonicalScores, an
     found = register.register_pivots(derived.pivots, wave)
     nodes = register.register_nodes(profiles.tree_nodes(derived.nodes).drop("parent"), wave)
     branches = register.register_branches(derived.branches, nodes)
-    bands = layout.frame_bands(layout.staff_frames(projection), pages, expected) if projection is not None else None
-    groups = layout.physical_groups(annotations["symbols"], pages, expected, bands)
+    bands = layout.frame_bands(layout.staff_frames(projection), sheets, expected) if projection is not None else None
+    groups = layout.physical_groups(annotations["symbols"], sheets, expected, bands)
     stats = register.register_stats(anchors)
-    return Overlay(anchors, wave, found, nodes, branches, layout.system_bounds(groups, pages), stats)
+    return Overlay(anchors, wave, found, nodes, branches, layout.system_bounds(groups, sheets), stats)
+
+
+def page_documents(placed: Overlay, size: int = pages.DOCUMENT_PIECES) -> DataFrame:
+    """Every page's pieces in order (bounds, attacks, wave, pivots, nodes, branches), as documents of at most ``size`` pieces."""
+    return pages.page_documents(pages.page_pieces({
+        "bounds": placed.bounds, "layer": placed.anchors, "wave": placed.wave, "pivot": placed.pivots, "node": placed.nodes, "branch": placed.branches}), size)
 
 
 def page_assembly(placed: Overlay) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import columns as C
 from pulsegrid.operators import layout, reconcile, register
+from pulsegrid.operators import pages as P
 from pulsegrid.plans import scores as J
 from pulsegrid.sources import recognition, sinks
 from tests.scores import zipped_names
@@ -171,6 +172,12 @@ def test_layout_and_overlay(spark, project, columns, tmp_path):
     assert stats[0].expected == sum(r.density for r in anchors) == stats[0].mapped and stats[0].missing == 0
     assembled = J.page_assembly(placed).collect()[0]
     assert (assembled.layer_anchors, assembled.wave_anchors, assembled.tree_nodes, assembled.system_bounds) == (7, 7, 7, 2)
+    documents = sorted(J.page_documents(placed, 5).collect(), key=lambda r: r.document)
+    pieces = [p for r in documents for p in r.pieces]
+    assert [len(r.pieces) for r in documents[:-1]] == [5] * (len(documents) - 1) and [p.place for p in pieces] == list(range(len(pieces)))
+    kinds = [p.kind for p in pieces]
+    assert kinds == sorted(kinds, key=list(P.ORDERS).index) and [kinds.count(k) for k in ("bounds", "layer", "wave", "node")] == [2, 7, 7, 7]
+    assert [(p.system_index, p.first, p.second) for p in pieces if p.kind == "layer"] == [(r.system_index, r.measure_index, r.offset) for r in anchors]
     assert register.unregistered_stats(events).filter("level = 0").collect()[0].missing == stats[0].expected
     assert sinks.column_audit(columns).count() == 8
     outcome = register.reason_stats(placed.anchors).collect()
@@ -202,3 +209,17 @@ def test_newest_exports(spark, tmp_path):
         path.write_bytes(b"x")
         os.utime(path, (1_700_000_000 - age, 1_700_000_000 - age))
     assert sorted(r.path.rsplit("/", 1)[1] for r in recognition.newest_exports(spark, str(tmp_path)).collect()) == ["c.mxl", "d.xml"]
+
+
+def test_heads_find_their_column_in_one_pass(spark):
+    """Against every (head, column) pair; equal centres, single heads and several systems; the plan holds no join."""
+    at = [(s, float(x)) for s, xs in ((0, [5, 6, 6, 7.5, 20, 21, 40]), (1, [3]), (2, [1, 2, 3, 4, 5, 6, 7, 8, 9, 10])) for x in xs]
+    rows = [("a", 0, s, f"n{k}", x - 2, 0.0, 4.0, 8.0, 10.0, x, 4.0) for k, (s, x) in enumerate(at)]
+    heads = spark.createDataFrame(rows, "score_id string, page_index int, system_index int, symbol_id string, x double, y double, w double, h double, interline double, cx double, cy double")
+    columns = layout.attack_columns(heads)
+    edges = [(r.system_index, r.first_value, r.last_value, r.column_index) for r in columns.collect()]
+    found = layout.column_members(heads, columns)
+    got = sorted((r.system_index, r.symbol_id, r.column_index) for r in found.collect())
+    assert got == sorted((s, r[3], c) for r in rows for s, a, b, c in edges if s == r[2] and a <= r[9] <= b) and len(got) == len(at)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
