@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.notation import chord_quarters, flag_count, head_kind, rest_quarters
-from pulsegrid.functions.rational import int_div, lcm_of, parse_rational
+from pulsegrid.functions.rational import int_div, lcm_of, parse_rational, rational_text
 from pulsegrid.operators.anchors import anchor_chain, monotone_fill
 from pulsegrid.operators.clusters import gap_clusters, medoids
 from pulsegrid.operators.graph import typed_edges
@@ -212,15 +212,36 @@ def recover_columns(
         F.col("anchor_j").isNotNull(), F.lit(CHAIN_CONFIDENCE)).otherwise(F.lit(INTERPOLATED_CONFIDENCE))
     bases = columns.select("score_id", F.col("quantum_base").alias("v")).distinct().groupBy("score_id").agg(lcm_of(F.collect_list("v")).alias("tpq")).filter(F.col("tpq") < MAX_TPQ)
     based = out.withColumns({"timing_source": source, "confidence": sure}).join(bases, "score_id").withColumns({
+        "quantum": F.col("quantum") * int_div(F.col("tpq"), F.col("quantum_base")), "semantic_anchor": F.col("anchor_j").isNotNull(), "full": int_div(F.col("full") * F.col("tpq"), F.col("base")),
         "onset": F.col("_onset") * int_div(F.col("tpq"), F.col("quantum_base")), "duration": F.col("duration") * int_div(F.col("tpq"), F.col("base"))})
     return based.select(
         "score_id", "measure_index", "page_index", "system_index", "stack_ord", F.col("i").alias("column_index"), "x_abs", "y_abs", "tpq",
         "onset", "duration", "attack", "rest", "tie_continuation_only", "timing_source", "confidence", "exact_support", "px_per_unit",
-        "units", F.col("j").alias("grid_index"), "notation_events",
+        "units", F.col("j").alias("grid_index"), "full", "quantum", "semantic_anchor", F.col("is_tail_anchor").alias("tail_anchor"), "notation_events",
         F.transform(F.filter("notation_events", lambda e: e["kind"] == "head"), lambda e: e["chord_id"]).alias("chord_ids"),
     )
 
 
+def measure_audit(columns: DataFrame, stacks: DataFrame) -> DataFrame:
+    """How every measure's times came about: lattice step and size, semantic and all anchors (column to grid index), columns by source.
+
+    The columns carry their provenance, so nothing is recovered twice; a measure holds at most one column per ``COLUMN_TOLERANCE`` pixels, which bounds the lists.
+    """
+    at = F.struct(F.col("column_index").cast("int").alias("column"), F.col("grid_index").cast("bigint").alias("grid_index"))
+    listed = lambda which: F.array_sort(F.collect_list(F.when(which, at)))
+    by_source = lambda name: F.count_if(F.col("timing_source") == name)
+    semantic = F.col("semantic_anchor")
+    place = ["page_index", "system_index", "stack_ord"]
+    audit = columns.groupBy(*MEASURE, *place).agg(
+        F.first("tpq").alias("tpq"), F.first("full").alias("full"), F.first("quantum").alias("quantum"), F.first("units").alias("units"), F.first("px_per_unit").alias("px_per_unit"),
+        F.count(F.lit(1)).alias("physical_column_count"), F.count_if("attack").alias("attack_column_count"), F.count_if(semantic).alias("semantic_anchor_count"),
+        listed(semantic).alias("semantic_anchors"), listed(semantic | F.col("tail_anchor")).alias("timing_anchors"),
+        by_source(BEGIN_ANCHOR).alias("begin_columns"), by_source(CHAIN_ANCHOR).alias("chain_columns"), by_source(INTERPOLATED).alias("interpolated_columns"))
+    edges = stacks.select(*STACK, F.col("left").alias("stack_left"), F.col("right").alias("stack_right"))
+    quarter = lambda c: rational_text(F.col(c), F.col("tpq"))
+    return audit.join(edges, STACK, "left").withColumns({"full_duration_quarter": quarter("full"), "quantum_quarter": quarter("quantum")}).drop("tpq", "full", "quantum")
+
+
 def column_stats(columns: DataFrame) -> DataFrame:
     """Counts of columns by flag, as the recovery report gives them."""
     exact = F.exists("notation_events", lambda e: (e["kind"] == "head") & e["attack"] & e["head_geometry_exact"])

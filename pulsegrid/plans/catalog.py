@@ -68,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "score_measures": S.score_measures,
     "canonical_columns": S.canonical_columns,
     "canonical_hits": S.canonical_hits,
+    "recovery_audit": S.recovery_audit,
     "canonical_stats": S.canonical_stats,
     "physical_groups": S.physical_groups,
     "system_bounds": S.system_bounds,

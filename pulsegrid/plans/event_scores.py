@@ -174,11 +174,14 @@ def graph_symbolic(events: DataFrame, measures: DataFrame) -> DataFrame:
     return merged.withColumn("onset", F.col("_start") + F.col("offset")).drop("_start")
 
 
+def _columns(events: DataFrame, graph: dict[str, DataFrame]) -> DataFrame:
+    return C.recover_columns(graph["objects"], graph["relations"], graph["stacks"], graph["slots"], graph["chords"], graph["entries"], graph_measures(events).drop("day"))
+
+
 def canonical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Column recovery of every user's notation graph: lattice, anchors, filled onsets, timing sources, and the chords of each column with length, dots, stem and ties."""
     events = read_events(spark, sf_dir)
-    graph = notation_graph(events)
-    out = C.recover_columns(graph["objects"], graph["relations"], graph["stacks"], graph["slots"], graph["chords"], graph["entries"], graph_measures(events).drop("day"))
+    out = _columns(events, notation_graph(events))
     flag = lambda c: c.cast("int").cast("string")
     chord = lambda e: F.concat_ws(":", e["chord_id"], e["duration_ticks"].cast("string"), e["dot_count"].cast("string"), e["direction"], flag(e["attack"]), flag(e["tie_continuation"]))
     shown = out.withColumn("confidence_milli", F.rint(F.col("confidence") * 1000))
@@ -187,6 +190,18 @@ def canonical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.col(c).cast("int").cast(LONG).alias(c) for c in ("attack", "rest", "tie_continuation_only")], as_text(F.transform("notation_events", chord)).alias("chords"))
 
 
+def recovery_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per measure with columns: lattice, anchors and columns by timing source."""
+    events = read_events(spark, sf_dir)
+    graph = notation_graph(events)
+    audit = C.measure_audit(_columns(events, graph), graph["stacks"])
+    pairs = lambda c: as_text(F.transform(c, lambda a: F.concat_ws(":", a["column"].cast("string"), a["grid_index"].cast("string"))))
+    return audit.select(
+        *longs("score_id", "measure_index", "page_index", "stack_ord", "stack_left", "stack_right", "units", "physical_column_count", "attack_column_count", "semantic_anchor_count", "begin_columns",
+               "chain_columns", "interpolated_columns"), "full_duration_quarter", "quantum_quarter", pairs("semantic_anchors").alias("semantic_anchors"), pairs("timing_anchors").alias("timing_anchors"),
+        F.rint(F.col("px_per_unit") * 1000).cast(LONG).alias("px_per_unit_milli"))
+
+
 def _canonical(spark: SparkSession, sf_dir: str) -> scores.CanonicalScores:
     events = read_events(spark, sf_dir)
     measures = freeze(graph_measures(events))

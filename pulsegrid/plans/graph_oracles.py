@@ -146,8 +146,28 @@ recovered AS (
 )"""
 
 
+def _quarter(num: str, den: str) -> str:
+    whole = f"CAST({num} // gcd({num}, {den}) AS VARCHAR)"
+    return f"CASE WHEN {num} % {den} = 0 THEN {whole} ELSE {whole} || '/' || CAST({den} // gcd({num}, {den}) AS VARCHAR) END"
+
+
 def oracles(with_, longs) -> dict[str, str]:
     return {
+        "recovery_audit": with_(CHORDS, """
+traced AS (
+  SELECT t.*, f.j0, CASE WHEN t.exact_support > 0 THEN 'b' WHEN t.anchor IS NOT NULL THEN 'c' ELSE 'x' END AS source FROM timed t JOIN fixed f USING (score_id, m, i)
+),
+audited AS (
+  SELECT score_id, m, any_value(week) AS week, any_value(full_t) AS full_t, any_value(base) AS base, any_value(step) AS step, any_value(qbase) AS qbase, any_value(units) AS units, count(*) AS n_columns,
+    count(*) FILTER (attack) AS attacks, count(anchor) AS anchors, count(*) FILTER (source = 'b') AS b, count(*) FILTER (source = 'c') AS c, count(*) FILTER (source = 'x') AS x,
+    string_agg(i || ':' || anchor, ',' ORDER BY i) FILTER (anchor IS NOT NULL) AS semantic, string_agg(i || ':' || j0, ',' ORDER BY i) FILTER (j0 IS NOT NULL) AS timing
+  FROM traced GROUP BY 1, 2
+)""") + f"""
+SELECT {longs('a.score_id AS score_id', 'a.m AS measure_index', 'a.week AS page_index', 'g.day - g.week * 7 AS stack_ord', '0 AS stack_left', '360 AS stack_right', 'a.units AS units', 'a.n_columns AS physical_column_count',
+              'a.attacks AS attack_column_count', 'a.anchors AS semantic_anchor_count', 'a.b AS begin_columns', 'a.c AS chain_columns', 'a.x AS interpolated_columns')},
+  {_quarter('a.full_t', 'a.base')} AS full_duration_quarter, {_quarter('a.step', 'a.qbase')} AS quantum_quarter, a.semantic AS semantic_anchors, a.timing AS timing_anchors,
+  CAST(round_even(e.px * 1000, 0) AS BIGINT) AS px_per_unit_milli
+FROM audited a JOIN gmeas g USING (score_id, m) JOIN ends e USING (score_id, m)""",
         "canonical_columns": with_(CHORDS) + f"""
 SELECT {longs('score_id', 'm AS measure_index', 'week AS page_index', 'i AS column_index', 'tpq', 'onset', 'duration', 'j AS grid_index', 'units', 'exact_support')},
   round_even(CASE WHEN exact_support > 0 THEN least(1.0, 0.9 + 0.02 * exact_support) WHEN anchor IS NOT NULL THEN 0.9 ELSE 0.72 END * 1000, 0)::BIGINT AS confidence_milli,

@@ -128,6 +128,11 @@ def placement_documents(**placed: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (rows(kind, df) for kind, df in placed.items()))
 
 
+def audit_documents(audit: DataFrame) -> DataFrame:
+    """Measure audits as JSON rows under (score, measure)."""
+    return audit.select("score_id", "measure_index", F.to_json(F.struct(*[c for c in audit.columns if c not in ("score_id", "measure_index")])).alias("document"))
+
+
 def column_audit(columns: DataFrame) -> DataFrame:
     """Recovered columns as JSON rows for review."""
     quarter = lambda c: rational_text(F.col(c), F.col("tpq"))

@@ -180,6 +180,12 @@ def test_layout_and_overlay(spark, project, columns, tmp_path):
     assert [(p.system_index, p.first, p.second) for p in pieces if p.kind == "layer"] == [(r.system_index, r.measure_index, r.offset) for r in anchors]
     assert register.unregistered_stats(events).filter("level = 0").collect()[0].missing == stats[0].expected
     assert sinks.column_audit(columns).count() == 8
+    audit = {r.measure_index: r for r in C.measure_audit(columns, project["stacks"]).collect()}
+    assert sum(r.physical_column_count for r in audit.values()) == 8 and all(r.full_duration_quarter == "4" for r in audit.values())
+    for r in audit.values():
+        assert r.begin_columns + r.chain_columns + r.interpolated_columns == r.physical_column_count and r.semantic_anchors[0].asDict() == {"column": 0, "grid_index": 0}
+        assert len(r.semantic_anchors) == r.semantic_anchor_count and set(r.semantic_anchors) <= set(r.timing_anchors) and r.stack_left is not None
+    assert sinks.audit_documents(C.measure_audit(columns, project["stacks"])).count() == len(audit)
     outcome = register.reason_stats(placed.anchors).collect()
     assert [(r.outcome, r.events, r.labels) for r in outcome] == [("mapped", 7, stats[0].expected)]
     documents = sinks.placement_documents(layer=placed.anchors, wave=placed.wave, branch=placed.branches)
