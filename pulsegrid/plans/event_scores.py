@@ -75,7 +75,7 @@ def _chords(events: DataFrame) -> DataFrame:
     base = events.select(F.col("user_id").alias("score_id"), day_of(sec).alias("day"), int_div(F.pmod(sec, F.lit(86400)), 60).cast("int").alias("minute"),
                          F.col("event_type").alias("kind_name"), F.ceil("value").cast("int").alias("size"))
     # Every table of the graph is a view of the chords, so the chords are written once.
-    return freeze(base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size"))).select(
+    return write_table(base.groupBy("score_id", "day", "minute", "kind_name").agg(F.max("size").alias("size")), "chords").select(
         "*", F.concat_ws(".", "day", "minute", "kind_name").alias("chord_id"), week_of(F.col("day")).alias("page_index"), F.lit(0).alias("system_index"),
         F.pmod("day", F.lit(7)).cast("int").alias("stack_ord"))
 
@@ -116,7 +116,8 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
     slurred = headed.filter((size % 6).isin(2, 3, 4))
     dotted, twice = headed.filter(size % 7 == 0), headed.filter(size % 14 == 0)
     side = F.when(size % 5 == 0, "LEFT").otherwise("right")
-    objects = every([
+    # Recovery reads objects and relations many times by tag and type, so both are written as tables.
+    objects = write_table(every([
         obj(chords, F.col("chord_id"), F.when(rest, "rest-chord").otherwise("head-chord"), None, box),
         obj(chords.filter(rest), part("m"), "rest", rest_shape, box),
         obj(headed, part("m"), "head", shape, (x, y, F.lit(4.0), F.lit(8.0))),
@@ -124,15 +125,15 @@ def notation_graph(events: DataFrame) -> dict[str, DataFrame]:
         obj(stemmed.filter(size % 13 != 0), part("s"), "stem", None, ends=(y - 21 + (size % 5) * 10, y + 14)),
         obj(flagged, part("f"), "flag", flag),
         obj(slurred, part("t"), "slur", None, tie=size % 6 != 4),
-        obj(dotted, part("d"), "augmentation-dot", "DOT"), obj(twice, part("e"), "augmentation-dot", "DOT")])
-    relations = every([
+        obj(dotted, part("d"), "augmentation-dot", "DOT"), obj(twice, part("e"), "augmentation-dot", "DOT")]), "objects")
+    relations = write_table(every([
         rel(headed, F.col("chord_id"), part("m"), "containment"), rel(headed.filter(two), F.col("chord_id"), part("n"), "containment", 1),
         rel(chords.filter(rest), F.col("chord_id"), part("m"), "containment"),
         rel(stemmed, F.col("chord_id"), part("s"), "chord-stem"), rel(stemmed.filter(size % 17 == 0), F.col("chord_id"), part("u"), "chord-stem", 1),
         rel(beamed, part("b"), part("s"), "beam-stem"), rel(beamed.filter(size % 3 == 2), part("c"), part("s"), "beam-stem"), rel(beamed.filter(size % 19 == 0), part("b"), part("s"), "beam-stem", 1),
         rel(flagged, part("f"), part("s"), "flag-stem"),
         rel(slurred, part("t"), part("m"), "slur-head", side=side), rel(slurred.filter(two & (size % 6 == 3)), part("t"), part("n"), "slur-head", 1, side),
-        rel(dotted, part("d"), part("m"), "augmentation"), rel(twice, part("m"), part("e"), "augmentation")])
+        rel(dotted, part("d"), part("m"), "augmentation"), rel(twice, part("m"), part("e"), "augmentation")]), "relations")
     # A stack for every day up to the user's last one, so that stacks and measures agree.
     days = calendar(events).select("score_id", week_of(F.col("measure_index")).alias("page_index"), F.lit(0).alias("system_index"), F.pmod("measure_index", F.lit(7)).cast("int").alias("stack_ord"))
     stacks = days.withColumns({"stack_id": F.col("stack_ord").cast("string"), "left": F.lit(0), "right": F.lit(1440 // PIXEL_MINUTES)})
