@@ -171,9 +171,13 @@ def boundary_sequence_by_recurrence(p: Column, count: Column) -> Column:
 
 
 def boundaries_up_to(p: Column, limit: Column) -> Column:
-    """Boundary sequence up to the first term at or beyond ``limit`` (1 and 2 first)."""
-    count = F.length(F.bin(F.greatest(limit, F.lit(2)).cast("bigint"))) + 2
-    terms = boundary_sequence_by_recurrence(p, count)
+    """Boundary sequence up to the first term at or beyond ``limit`` (1 and 2 first); that term is null where it leaves BIGINT."""
+    b, last = p.cast("bigint"), lambda acc: F.element_at(acc, -1)
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.greatest(limit, F.lit(2)).cast("bigint"))))
+    # Terms at least double less one, so these steps suffice; none is computed beyond the limit, where large bases overflow.
+    seed = F.array(F.lit(1), F.lit(2)).cast("array<bigint>")  # the cast admits nulls
+    grown = F.aggregate(steps, seed, lambda acc, _: F.when(last(acc) < limit, F.array_append(acc, F.try_multiply(b, last(acc)) - (b - 1))).otherwise(acc))
+    terms = F.when(p < 2, F.lit(None).cast("array<bigint>")).otherwise(grown)
     below = F.size(F.filter(terms, lambda t: t < limit))
     return F.when(limit < 1, F.array().cast("array<bigint>")).otherwise(F.slice(terms, F.lit(1), below + 1))
 

@@ -142,3 +142,16 @@ def test_boundaries_and_meter_words(spark):
         assert r.upto[-1] >= r.id and (len(r.upto) == 1 or r.upto[-2] < r.id)
         assert r.w == "TAA" * (r.id % 4)
         assert Fraction(r.t.num, r.t.den) == Fraction(1, 3) + Fraction(2 ** (r.id % 5), 2)
+
+
+def test_boundaries_of_large_limits(spark):
+    """Terms stop at the limit: with base 7 those beyond it left BIGINT."""
+    limits = [1, 2, 3, 9_000_001, 2**40, 2**55 + 1]
+    df = spark.createDataFrame([(b, n) for b in (2, 3, 5, 7) for n in limits], "b long, n long").select("b", "n", C.boundaries_up_to(F.col("b"), F.col("n")).alias("t"))
+    for r in df.collect():
+        want = [1] if r.n == 1 else [1, 2]
+        while want[-1] < r.n:
+            want.append(r.b * want[-1] - (r.b - 1))
+        assert r.t == want
+    beyond = spark.range(1).select(C.boundaries_up_to(F.lit(7), F.lit(2**63 - 1)).alias("t")).first().t
+    assert beyond[-1] is None and beyond[-2] == 1 + 7**22
