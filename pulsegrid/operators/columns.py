@@ -9,6 +9,7 @@ from pulsegrid.functions.rational import int_div, lcm_of, parse_rational, ration
 from pulsegrid.operators.anchors import anchor_chain, monotone_fill
 from pulsegrid.operators.clusters import gap_clusters, medoids
 from pulsegrid.operators.graph import typed_edges
+from pulsegrid.operators.joins import sorted_join
 from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan, sized_scan
 from pulsegrid.operators.timeline import MAX_TPQ
@@ -45,7 +46,7 @@ def begin_times(slots: DataFrame, entries: DataFrame) -> DataFrame:
     Only the slots that entries name are parsed.
     """
     begins = entries.filter("upper(status) = 'BEGIN' AND chord_id IS NOT NULL").select(*STACK, "slot_id", "chord_id", "part_ord", "entry_ord")
-    named = begins.join(slots.select(*STACK, "slot_id", "slot_ord", "time_offset"), [*STACK, "slot_id"])
+    named = sorted_join(begins, slots.select(*STACK, "slot_id", "slot_ord", "time_offset"), [*STACK, "slot_id"])
     # Malformed times drop out after the aggregate: a filter on the parsed time would be pushed to all slots and parse them twice.
     timed = named.withColumn("_t", parse_rational(F.col("time_offset")))
     last = F.max_by("_t", F.when(F.col("_t").isNotNull(), F.col("slot_ord"))).alias("_t")
@@ -73,16 +74,14 @@ def head_facts(objects: DataFrame, relations: DataFrame) -> DataFrame:
     dots = augmentation.select(*SYSTEM, dotted.alias("target")).filter("target IS NOT NULL").groupBy(*SYSTEM, "target").agg(F.count(F.lit(1)).alias("dots"))
     ties = objects.filter("tag = 'slur' AND tie").select(*SYSTEM, F.col("obj_id").alias("source"))
     known = objects.select(*SYSTEM, F.col("obj_id").alias("target"))
-    tied = (
-        relations.filter("type = 'slur-head' AND upper(side) = 'RIGHT'").join(ties, [*SYSTEM, "source"]).join(known, [*SYSTEM, "target"])
-        .select(*SYSTEM, "target").distinct().withColumn("tied", F.lit(True))
-    )
-    return (
-        members.join(boxes, [*SYSTEM, "target"], "left").join(dots, [*SYSTEM, "target"], "left").join(tied, [*SYSTEM, "target"], "left")
-        .select(*SYSTEM, F.col("source").alias("chord_id"), "rel_ord", F.col("target_shape").alias("shape"),
-                (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"),
-                F.coalesce("dots", F.lit(0)).alias("dots"), F.coalesce("tied", F.lit(False)).alias("tied"))
-    )
+    slurs = sorted_join(relations.filter("type = 'slur-head' AND upper(side) = 'RIGHT'"), ties, [*SYSTEM, "source"])
+    tied = sorted_join(slurs, known, [*SYSTEM, "target"]).select(*SYSTEM, "target").distinct().withColumn("tied", F.lit(True))
+    for side in (boxes, dots, tied):
+        members = sorted_join(members, side, [*SYSTEM, "target"], "left")
+    return members.select(
+        *SYSTEM, F.col("source").alias("chord_id"), "rel_ord", F.col("target_shape").alias("shape"),
+        (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"),
+        F.coalesce("dots", F.lit(0)).alias("dots"), F.coalesce("tied", F.lit(False)).alias("tied"))
 
 
 def stem_facts(objects: DataFrame, relations: DataFrame) -> DataFrame:
@@ -91,13 +90,13 @@ def stem_facts(objects: DataFrame, relations: DataFrame) -> DataFrame:
     beams = relations.filter("type = 'beam-stem'").groupBy(*SYSTEM, F.col("target").alias("stem_id")).agg(F.count_distinct("source").alias("beams"))
     shapes = objects.select(*SYSTEM, F.col("obj_id").alias("source"), "shape")
     flags = (
-        relations.filter("type = 'flag-stem'").join(shapes, [*SYSTEM, "source"], "left")
+        sorted_join(relations.filter("type = 'flag-stem'"), shapes, [*SYSTEM, "source"], "left")
         .groupBy(*SYSTEM, F.col("target").alias("stem_id")).agg(F.max(flag_count(F.col("shape"))).alias("flags"))
     )
     ends = objects.filter("tag = 'stem'").select(*SYSTEM, F.col("obj_id").alias("stem_id"), "p1x", "p1y", "p2x", "p2y")
     joined = stems
     for side in (beams, flags, ends):
-        joined = joined.join(side, [*SYSTEM, "stem_id"], "left")
+        joined = sorted_join(joined, side, [*SYSTEM, "stem_id"], "left")
     return joined
 
 
@@ -109,17 +108,17 @@ def stem_direction(centre_y: Column) -> Column:
 
 def notation_events(objects: DataFrame, relations: DataFrame, chords: DataFrame, stacks: DataFrame, measures: DataFrame) -> DataFrame:
     """Head and rest chords of every measure with geometry, exact length and attack flags."""
-    placed = measure_chords(chords).join(stack_measures(stacks).select(*STACK, "measure_index"), STACK).join(
-        measures.select("score_id", "measure_index", "full", F.col("tpq").alias("_mtpq")), MEASURE)
+    numbered = sorted_join(measure_chords(chords), stack_measures(stacks).select(*STACK, "measure_index"), STACK)
+    placed = sorted_join(numbered, measures.select("score_id", "measure_index", "full", F.col("tpq").alias("_mtpq")), MEASURE)
     boxes = objects.filter("x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL").select(
         *SYSTEM, F.col("obj_id").alias("chord_id"), F.coalesce("staff", F.lit(0)).alias("staff"), "x", "y", "w", "h")
-    boxed = placed.join(boxes, [*SYSTEM, "chord_id"])
+    boxed = sorted_join(placed, boxes, [*SYSTEM, "chord_id"])
 
     heads = head_facts(objects, relations).groupBy(*SYSTEM, "chord_id").agg(
         F.avg("cx").alias("hx"), F.avg("cy").alias("hy"), F.max("dots").alias("dots"), F.bool_and("tied").alias("all_tied"),
         head_kind(F.array_sort(F.collect_set(F.coalesce("shape", F.lit(""))))).alias("head_kind"))
     head_rows = (
-        boxed.filter("kind = 'head'").join(heads, [*SYSTEM, "chord_id"], "left").join(stem_facts(objects, relations), [*SYSTEM, "chord_id"], "left")
+        sorted_join(sorted_join(boxed.filter("kind = 'head'"), heads, [*SYSTEM, "chord_id"], "left"), stem_facts(objects, relations), [*SYSTEM, "chord_id"], "left")
         .withColumns({"cy": F.coalesce("hy", F.col("y") + F.col("h") / 2), "dots": F.coalesce("dots", F.lit(0)), "tied": F.coalesce("all_tied", F.lit(False))})
     )
     length = chord_quarters(F.coalesce("head_kind", F.lit("black")), F.coalesce("beams", F.lit(0)), F.coalesce("flags", F.lit(0)), F.col("dots"))
@@ -133,7 +132,7 @@ def notation_events(objects: DataFrame, relations: DataFrame, chords: DataFrame,
     rest_shape = typed_edges(objects, relations, SYSTEM, "containment", ["rest-chord"], ["rest"]).groupBy(*SYSTEM, F.col("source").alias("chord_id")).agg(
         F.min_by("target_shape", "rel_ord").alias("shape"))
     one = F.struct(F.lit(1).cast("bigint").alias("num"), F.lit(1).cast("bigint").alias("den"))
-    rests = boxed.filter("kind = 'rest'").join(rest_shape, [*SYSTEM, "chord_id"], "left").withColumn("length", F.coalesce(rest_quarters(F.col("shape")), one).cast(_RATIO))
+    rests = sorted_join(boxed.filter("kind = 'rest'"), rest_shape, [*SYSTEM, "chord_id"], "left").withColumn("length", F.coalesce(rest_quarters(F.col("shape")), one).cast(_RATIO))
     whole_measure = F.upper(F.coalesce("shape", F.lit(""))).contains("WHOLE_REST") & (F.col("length.num") * F.col("_mtpq") >= F.col("full") * F.col("length.den"))
     rest_events = rests.filter(~whole_measure).select(
         *common, (F.col("y") + F.col("h") / 2).alias("y_abs"), F.lit(None).cast("double").alias("visual_x_abs"), F.lit(None).cast("double").alias("visual_y_abs"),
@@ -177,12 +176,12 @@ def recover_columns(
         F.coalesce(F.max(F.when(F.col("duration") > 0, F.col("duration"))), F.first("base")).alias("duration"),
         F.array_sort(F.collect_list(event)).alias("notation_events"), F.count_if(heads).alias("head_chords"),
     )
-    x_of = clustered.select(*column, "chord_id", "x_abs", "y_abs").join(representative, [*column, "chord_id"]).groupBy(*column).agg(
+    x_of = sorted_join(clustered.select(*column, "chord_id", "x_abs", "y_abs"), representative, [*column, "chord_id"]).groupBy(*column).agg(
         F.first("x_abs").alias("x_abs"), F.first("y_abs").alias("y_abs"))
-    columns = columns.join(x_of, column).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*MEASURE)))
+    columns = sorted_join(columns, x_of, column).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*MEASURE)))
 
     # Begin times by column, in event order then reading order.
-    begun = clustered.select(*STACK, *[c for c in column if c not in STACK], "chord_id", "x_abs", "staff", "full").join(begins, [*STACK, "chord_id"])
+    begun = sorted_join(clustered.select(*STACK, *[c for c in column if c not in STACK], "chord_id", "x_abs", "staff", "full"), begins, [*STACK, "chord_id"])
     seen = F.struct("x_abs", "staff", "chord_id", F.col("seen").alias("entry"))
     support = freeze(begun.groupBy(*column, "t").agg(F.count(F.lit(1)).alias("support"), F.min(seen).alias("seen"), F.first("full").alias("full")))
 
@@ -190,23 +189,23 @@ def recover_columns(
     before = F.lag("t").over(Window.partitionBy(*MEASURE).orderBy("t"))
     lengths = gaps.withColumn("v", F.col("t") - before).filter("v IS NOT NULL").select(*MEASURE, "v").unionByName(
         clustered.select(*MEASURE, F.col("duration").alias("v")))
-    lattice = clustered.groupBy(*MEASURE).agg(F.first("full").alias("_full"), F.first("base").alias("_base"), (F.max("i") + 1).alias("_n")).join(
-        gcd_by(lengths, MEASURE, "v", "_gcd"), MEASURE, "left").withColumn("_q", quantum_columns(F.col("_gcd"), F.col("_full"), F.col("_base"), F.col("_n")))
+    sized = clustered.groupBy(*MEASURE).agg(F.first("full").alias("_full"), F.first("base").alias("_base"), (F.max("i") + 1).alias("_n"))
+    lattice = sorted_join(sized, gcd_by(lengths, MEASURE, "v", "_gcd"), MEASURE, "left").withColumn("_q", quantum_columns(F.col("_gcd"), F.col("_full"), F.col("_base"), F.col("_n")))
     lattice = lattice.select(*MEASURE, F.col("_q.quantum").alias("quantum"), F.col("_q.base").alias("quantum_base"), int_div(F.col("_q.base"), F.col("_base")).alias("_scale"))
-    columns = freeze(columns.join(lattice, MEASURE).withColumn("units", int_div(F.col("full") * F.col("_scale"), F.col("quantum"))))
+    columns = freeze(sorted_join(columns, lattice, MEASURE).withColumn("units", int_div(F.col("full") * F.col("_scale"), F.col("quantum"))))
 
     facts = columns.select(*column, "n", "units", "quantum", "_scale", F.col("full").alias("_full"))
-    proposed = support.join(facts, column).withColumn("_ticks", F.col("t") * F.col("_scale"))
+    proposed = sorted_join(support, facts, column).withColumn("_ticks", F.col("t") * F.col("_scale"))
     usable = proposed.filter("t >= 0 AND t < _full AND _ticks % quantum = 0").withColumn("j", int_div(F.col("_ticks"), F.col("quantum")))
     ranked = usable.withColumn("_rank", F.row_number().over(Window.partitionBy(*column).orderBy("seen")))
     chosen = anchor_chain(ranked.select(*column, "j", "support", F.col("_rank").alias("seen"), "n", "units"), MEASURE)
     chosen = chosen.unionByName(columns.select(*MEASURE).distinct().select(*MEASURE, F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("j"))).distinct()
 
-    anchored = columns.join(chosen.select(*column, F.col("j").alias("anchor_j")), column, "left")
+    anchored = sorted_join(columns, chosen.select(*column, F.col("j").alias("anchor_j")), column, "left")
     filled = monotone_fill(anchored, MEASURE, x="x_abs")
     timed = filled.withColumn("_onset", F.col("j") * F.col("quantum"))
     exact = proposed.select(*column, F.col("_ticks").alias("_onset"), F.col("support").alias("exact_support"))
-    out = timed.join(exact, [*column, "_onset"], "left").withColumn("exact_support", F.coalesce("exact_support", F.lit(0)))
+    out = sorted_join(timed, exact, [*column, "_onset"], "left").withColumn("exact_support", F.coalesce("exact_support", F.lit(0)))
     source = F.when(F.col("exact_support") > 0, BEGIN_ANCHOR).when(F.col("anchor_j").isNotNull(), CHAIN_ANCHOR).otherwise(INTERPOLATED)
     sure = F.when(F.col("exact_support") > 0, F.least(F.lit(1.0), F.lit(BEGIN_CONFIDENCE) + F.lit(SUPPORT_BONUS) * F.col("exact_support"))).when(
         F.col("anchor_j").isNotNull(), F.lit(CHAIN_CONFIDENCE)).otherwise(F.lit(INTERPOLATED_CONFIDENCE))
@@ -239,7 +238,7 @@ def measure_audit(columns: DataFrame, stacks: DataFrame) -> DataFrame:
         by_source(BEGIN_ANCHOR).alias("begin_columns"), by_source(CHAIN_ANCHOR).alias("chain_columns"), by_source(INTERPOLATED).alias("interpolated_columns"))
     edges = stacks.select(*STACK, F.col("left").alias("stack_left"), F.col("right").alias("stack_right"))
     quarter = lambda c: rational_text(F.col(c), F.col("tpq"))
-    return audit.join(edges, STACK, "left").withColumns({"full_duration_quarter": quarter("full"), "quantum_quarter": quarter("quantum")}).drop("tpq", "full", "quantum")
+    return sorted_join(audit, edges, STACK, "left").withColumns({"full_duration_quarter": quarter("full"), "quantum_quarter": quarter("quantum")}).drop("tpq", "full", "quantum")
 
 
 def column_stats(columns: DataFrame) -> DataFrame:
@@ -262,7 +261,7 @@ def canonical_hits(columns: DataFrame, measures: DataFrame, symbolic: DataFrame
     frame = measures.select("score_id", "measure_index", "measure_number", "start", "full", "pickup_shift", F.col("tpq").alias("_mtpq")).join(bases, "score_id")
     up = int_div(F.col("_ctpq"), F.col("_mtpq"))
     scaled = frame.select("score_id", "measure_index", "measure_number", *[(F.col(c) * up).alias(c) for c in ("start", "full", "pickup_shift")], F.col("_ctpq").alias("tpq"))
-    attacks = columns.filter("attack").select("score_id", "measure_index", "onset", "duration").join(scaled, MEASURE)
+    attacks = sorted_join(columns.filter("attack").select("score_id", "measure_index", "onset", "duration"), scaled, MEASURE)
     attacks = attacks.withColumn("offset", F.col("pickup_shift") + F.col("onset")).filter("offset >= 0 AND offset < full")
     grouped = attacks.groupBy("score_id", "measure_index", "offset").agg(
         F.coalesce(F.max(F.when(F.col("duration") > 0, F.col("duration"))), F.lit(0)).alias("duration"),
@@ -277,7 +276,7 @@ def canonical_hits(columns: DataFrame, measures: DataFrame, symbolic: DataFrame
         known = known.withColumn("tuplets", F.transform("tuplets", lambda t: F.struct(t["actual"].alias("actual"), t["normal"].alias("normal"), (t["duration"] * int_div(F.col("_ctpq"), F.col("_mtpq"))).alias("duration"))))
     known = known.select("score_id", "measure_index", (F.col("offset") * factor).alias("offset"), "onset", *detail)
     last = known.groupBy("score_id", "measure_index", "offset").agg(F.max_by(F.struct(*detail), "onset").alias("_s"))
-    joined = hits.join(last, ["score_id", "measure_index", "offset"], "left")
+    joined = sorted_join(hits, last, ["score_id", "measure_index", "offset"], "left")
     empty = {"source_count": F.lit(0).cast("bigint"), "pitches": F.array().cast("array<string>"),
              "tuplets": F.array().cast("array<struct<actual:int,normal:int,duration:bigint>>")}
     return joined.withColumns({c: F.coalesce(F.col(f"_s.{c}"), empty[c]) for c in detail}).drop("_s")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pulsegrid.functions.rational import int_div
 from pulsegrid.operators import columns as C
 from pulsegrid.operators import layout
+from pulsegrid.operators.joins import sorted_join
 from pulsegrid.plans import scores
 from pulsegrid.plans.events import calendar, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import LONG, as_text, longs
@@ -167,8 +168,8 @@ def graph_measures(events: DataFrame) -> DataFrame:
 def graph_symbolic(events: DataFrame, measures: DataFrame) -> DataFrame:
     """Hits read from the events themselves, on the measures' ticks."""
     sec = seconds_since_epoch()
-    placed = events.select(F.col("user_id").alias("score_id"), day_of(sec).alias("day"), F.pmod(sec, F.lit(86400)).alias("_sec"), "event_type").join(
-        measures.select("score_id", "day", "measure_index", "start", "full"), ["score_id", "day"])
+    timed = events.select(F.col("user_id").alias("score_id"), day_of(sec).alias("day"), F.pmod(sec, F.lit(86400)).alias("_sec"), "event_type")
+    placed = sorted_join(timed, measures.select("score_id", "day", "measure_index", "start", "full"), ["score_id", "day"])
     at = int_div(F.col("_sec") * F.col("full"), 86400).cast(LONG)
     merged = placed.withColumn("offset", at).groupBy("score_id", "measure_index", "offset").agg(
         F.first("start").alias("_start"), F.count(F.lit(1)).alias("source_count"), F.array_sort(F.collect_set("event_type")).alias("pitches"))
