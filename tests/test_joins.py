@@ -30,3 +30,8 @@ def test_begin_times_and_events_of_columns(spark, tmp_path):
     assert BROADCAST not in plan(C.begin_times(g["slots"], g["entries"]))
     measures = S.graph_measures(events).drop("day")
     assert BROADCAST not in plan(C.notation_events(g["objects"], g["relations"], g["chords"], g["stacks"], measures))
+
+
+def test_dots_of_stats(spark, tmp_path):
+    _, g = graph(spark, tmp_path)
+    assert BROADCAST not in plan(C.augmentation_dots(g["objects"], g["relations"]))
