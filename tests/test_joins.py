@@ -35,3 +35,10 @@ def test_begin_times_and_events_of_columns(spark, tmp_path):
 def test_dots_of_stats(spark, tmp_path):
     _, g = graph(spark, tmp_path)
     assert BROADCAST not in plan(C.augmentation_dots(g["objects"], g["relations"]))
+
+
+def test_audit(spark, tmp_path):
+    events, g = graph(spark, tmp_path)
+    columns = S._columns(events, g)
+    audit = C.measure_audit(columns, g["stacks"])
+    assert BROADCAST not in plan(audit) and audit.count() == columns.select("score_id", "measure_index").distinct().count()
