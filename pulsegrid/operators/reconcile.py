@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.notation import measure_number
 from pulsegrid.functions.rational import int_div
+from pulsegrid.operators.joins import sorted_join
 from pulsegrid.operators.segments import measure_scan
 
 NOT_NUMERIC = "numbering-not-numeric"
@@ -74,10 +75,10 @@ def framework_gaps(measures: DataFrame, stack_counts: DataFrame) -> tuple[DataFr
 def remap_hits(hits: DataFrame, framework: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Move hits to their measure's new index and recompute onsets; hits of unknown measures are returned separately."""
     place = framework.filter("old_index IS NOT NULL").select("score_id", F.col("old_index").alias("measure_index"), F.col("measure_index").alias("_new"), F.col("start").alias("_start"))
-    kept = hits.join(place, ["score_id", "measure_index"])
+    kept = sorted_join(hits, place, ["score_id", "measure_index"])
     rest = [c for c in hits.columns if c not in ("measure_index", "onset")]
     moved = kept.select(*rest, F.col("_new").alias("measure_index"), (F.col("_start") + F.col("offset")).alias("onset"))
-    return moved, hits.join(place, ["score_id", "measure_index"], "left_anti")
+    return moved, sorted_join(hits, place, ["score_id", "measure_index"], "left_anti")
 
 
 def framework_warnings(verdicts: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import columns as C
+from pulsegrid.operators import reconcile
 from pulsegrid.plans import event_scores as S
 from pulsegrid.plans.events import read_events
 
@@ -42,3 +43,12 @@ def test_audit(spark, tmp_path):
     columns = S._columns(events, g)
     audit = C.measure_audit(columns, g["stacks"])
     assert BROADCAST not in plan(audit) and audit.count() == columns.select("score_id", "measure_index").distinct().count()
+
+
+def test_hits(spark, tmp_path):
+    events, g = graph(spark, tmp_path)
+    measures = S.graph_measures(events)
+    symbolic = S.graph_symbolic(events, measures)
+    assert BROADCAST not in plan(symbolic)
+    framework = measures.select("score_id", F.col("measure_index").alias("old_index"), "measure_index", "start")
+    assert not any(BROADCAST in plan(df) for df in reconcile.remap_hits(symbolic, framework))
