@@ -143,6 +143,10 @@ def guard_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.guard_bounds(boxes, ["page"], "system").select(*longs("page", "system", "top", "bottom"), "left", "right", F.col("guard_bottom").cast("double").alias("guard_bottom"))
 
 
+#: Edges that a task of ``graph_members`` counts on average.
+EDGES_OF_A_TASK = 500_000
+
+
 def graph_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders and parts as objects, order lines as relations typed by return flag: members and distinct members per order and type."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("o"), "o_orderkey").alias("obj_id"), F.lit("order").alias("tag"), F.col("o_orderstatus").alias("shape"))
@@ -150,7 +154,9 @@ def graph_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), F.col("l_returnflag").alias("type"))
     edges = graph.typed_edges(orders.unionByName(parts), lines, [], None, ["order"], ["part"])
-    return edges.groupBy("source", "type").agg(F.count("target").alias("members"), F.count_distinct("target").alias("distinct_members"),
+    # Nearly every edge is a group of its own until its order's edges are together, so they are dealt out by order first, a bounded number to a task.
+    dealt = edges.select("source", "type", "target", "target_shape").repartition(lines.count() // EDGES_OF_A_TASK + 1, "source")
+    return dealt.groupBy("source", "type").agg(F.count("target").alias("members"), F.count_distinct("target").alias("distinct_members"),
                                                F.count_if(F.col("target_shape") == "SMALL").alias("small_members")).select("source", "type", *longs("members", "distinct_members", "small_members"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import columns as C
 from pulsegrid.operators import reconcile
 from pulsegrid.plans import event_scores as S
+from pulsegrid.plans import generic_more as H
 from pulsegrid.plans.events import read_events
 
 BROADCAST = "BroadcastHashJoin"
@@ -52,3 +53,13 @@ def test_hits(spark, tmp_path):
     assert BROADCAST not in plan(symbolic)
     framework = measures.select("score_id", F.col("measure_index").alias("old_index"), "measure_index", "start")
     assert not any(BROADCAST in plan(df) for df in reconcile.remap_hits(symbolic, framework))
+
+
+def test_members_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The tasks grow in number with the lines, not in size."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(H, "EDGES_OF_A_TASK", 500, raising=False)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    found = H.graph_members(spark, sf)
+    assert BROADCAST not in plan(found) and f"{lines // 500 + 1}), REPARTITION_BY_NUM" in plan(found)
+    assert found.agg(F.sum("members")).first()[0] == lines
