@@ -99,3 +99,14 @@ def test_query(spark):
         rows = duckdb.sql(f"select doc_id, text from '/root/testdata/{sf}/documents.parquet'").fetchall()
         got = sorted(map(tuple, QUERIES["op1_ngram_jaccard"](spark, f"/root/testdata/{sf}").collect()))
         assert got == sorted(brute(rows, 3, 90)[2]) == sorted(connect(f"/root/testdata/{sf}").sql(ORACLES["op1_ngram_jaccard"]).fetchall())
+
+
+def test_rows_without_a_verdict_are_not_shuffled(spark):
+    """Of keep_one's rows only those that may be copies meet the verdicts; the texts of all others stay in the task that read them."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(40)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts + texts[:5] + [None, "", " "])] + [(7, texts[7])], "doc_id long, text string")
+    kept = jaccard.keep_one(rows, "doc_id", "text", jaccard.Rule(3, 90))
+    assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id < 45) == sorted(enumerate(texts[:40]))
+    assert kept.count() == 43
+    plain = kept._jdf.queryExecution().sparkPlan().children().head().toString()
+    assert "Join" not in plain and "Scan" in plain
