@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import string
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 UNCUT = f"{SPACE}{SPACE}{SPACE}|{SPACE}{SPACE}\\z"
 PREFIXES = ("", "\n", " ")
 
-#: Pieces that a task remembers (the memory is dropped and started anew beyond them) and the longest piece worth it.
-MEMORY = 1_200_000
+#: Pieces that a worker remembers (the memory is dropped and started anew beyond them; about 200 bytes each) and the longest piece worth it.
+MEMORY = 400_000
 LONGEST = 64
+#: New words that the library encodes together, as one text; more gain nothing.
+TOGETHER = 512
 
 
 def default_path() -> str:
@@ -38,6 +41,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # Bytes that each id stands for: a byte-level vocabulary writes one character per byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
         self._forget()
 
     def _forget(self) -> None:
@@ -53,6 +60,36 @@ class Encoder:
         self.tokenizer.encode_special_tokens = False
         return out
 
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and each piece's count.
+
+        Words behind a blank are encoded many at once, as one text: there is a cut before every blank, and the bytes of the ids tell where a word ends.
+        Other pieces, and words for which the bytes do not tell, are encoded one by one.
+        """
+        words = pa.array(pieces, pa.string())
+        bare = pc.and_(pc.match_substring_regex(words, r"\A [^ ]"), pc.invert(pc.match_substring_regex(pc.utf8_slice_codeunits(words, 1), SPACE)))
+        alone = ~bare.to_numpy(zero_copy_only=False)
+        together = np.flatnonzero(~alone)
+        lengths = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        groups = [together[at:at + TOGETHER] for at in range(0, len(together), TOGETHER)]
+        sizes, found = np.zeros(len(pieces), np.int64), []
+        texts = ["".join(pieces[i] for i in group.tolist()) for group in groups]
+        for group, ids in zip(groups, self._whole(texts), strict=True):
+            ids = np.array(ids, np.uint32)
+            upto, ends = np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[group])
+            last = np.searchsorted(upto, ends)
+            if len(upto) and upto[-1] == ends[-1] and (upto[last] == ends).all():
+                sizes[group] = np.diff(last, prepend=-1)
+                found.append(ids)
+            else:
+                alone[group] = True
+        own = self._whole(list(compress(pieces, alone.tolist())))
+        sizes[alone] = list(map(len, own))
+        out, mine = np.empty(int(sizes.sum()), np.uint32), np.repeat(alone, sizes)
+        out[~mine] = np.concatenate([np.empty(0, np.uint32), *found])
+        out[mine] = _flat(own)
+        return out, sizes
+
     def _learn(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         first = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
@@ -72,29 +109,30 @@ class Encoder:
         if len(self.known) > MEMORY:
             self._forget()
         known = self.known
-        joined, plain = [], {}
-        for piece in pieces:
-            if piece not in known:
-                stem = piece.rstrip(string.punctuation)
-                if stem and len(stem) < len(piece) and stem[-1].isalpha():
-                    tail = piece[len(stem):]
-                    joined.append((piece, stem, tail))
-                    if stem not in known:
-                        plain[stem] = None
-                    if tail not in known:
-                        plain[tail] = None
-                else:
-                    plain[piece] = None
+        places = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        missing = np.flatnonzero(places < 0)
+        if not len(missing):
+            return places
+        new, joined, parts, plain = [pieces[i] for i in missing.tolist()], [], [], {}
+        for piece in new:
+            stem = piece.rstrip(string.punctuation)
+            if stem and len(stem) < len(piece) and stem[-1].isalpha():
+                tail = piece[len(stem):]
+                joined.append(piece)
+                parts += stem, tail
+                if stem not in known:
+                    plain[stem] = None
+                if tail not in known:
+                    plain[tail] = None
+            else:
+                plain[piece] = None
         if plain:
-            ids = self._whole(list(plain))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._learn(list(plain), np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum())), sizes)
+            self._learn(list(plain), *self._pieces(list(plain)))
         if joined:
-            parts = np.fromiter((known[p] for _, *both in joined for p in both), np.int64, 2 * len(joined))
-            ids, sizes = self._gather(parts)
-            self._learn([p for p, *_ in joined], ids, sizes.reshape(-1, 2).sum(axis=1))
-        places = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        for piece in [p for p in (*plain, *(j[0] for j in joined)) if len(p) > LONGEST]:
+            ids, sizes = self._gather(np.fromiter(map(known.__getitem__, parts), np.int64, len(parts)))
+            self._learn(joined, ids, sizes.reshape(-1, 2).sum(axis=1))
+        places[missing] = np.fromiter(map(known.__getitem__, new), np.int64, len(new))
+        for piece in [p for p in chain(plain, joined) if len(p) > LONGEST]:
             del known[piece]
         return places
 
@@ -117,7 +155,7 @@ class Encoder:
         seen = np.zeros(3 * len(coded.dictionary), bool)
         seen[key] = True
         used = np.flatnonzero(seen)
-        words_used = coded.dictionary.take(pa.array(used // 3)).to_pylist()
+        words_used = coded.dictionary.take(pa.array(used // 3)).to_numpy(zero_copy_only=False).tolist()
         place = np.zeros(len(seen), np.int64)
         place[used] = self._places([PREFIXES[k] + s for k, s in zip((used % 3).tolist(), words_used, strict=True)])
         at = place[key]
@@ -131,7 +169,7 @@ class Encoder:
         out = np.empty(int(counts.sum()), np.uint32)
         mine = np.repeat(uncut, counts)
         out[~mine] = ids
-        out[mine] = np.fromiter((x for one in own for x in one), np.uint32, int(mine.sum()))
+        out[mine] = _flat(own)
         return out, counts
 
     def documents(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +186,10 @@ class Encoder:
         return out, total
 
 
+def _flat(ids: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -149,3 +149,25 @@ def test_packing_ends_only_when_no_two_bins_fit(spark, encoder):
 def test_best_fit_prefers_the_fullest_bin():
     place = packing.best_fit(np.array([60, 50, 40, 10, 4]), 64)
     assert place.tolist() in ([0, 1, 2, 1, 0], [0, 1, 2, 1, 1]) and len(packing.best_fit(np.array([], np.int64), 64)) == 0
+
+
+def test_new_words_are_encoded_together(monkeypatch):
+    """A call of the library per word held its ids as lists and took most of the time; words that may not stand beside others still go alone."""
+    plain, own = Tokenizer.from_file(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    sent = []
+    whole = own._whole
+    monkeypatch.setattr(own, "_whole", lambda texts, special=False: sent.extend(texts) or whole(texts, special))
+    words = [f"w{i}x{i * 7919}" for i in range(2000)]
+    texts = [" ".join(words), "a  b\tc \t d", " ".join(f"\u00e9{i}\xa0" for i in range(50)), "x " + "y" * 100 + " 日本 \n z", " ".join(words[::-1])]
+    ids, counts = own.encode(pa.array(texts))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    assert len(sent) < 200
+
+
+def test_unknown_bytes_of_ids_change_no_id():
+    """Where the bytes of the ids do not tell words apart, each word is encoded alone."""
+    own, other = tokens.Encoder(tokens.default_path()), tokens.Encoder(tokens.default_path())
+    other.bytes_of = np.ones_like(other.bytes_of)
+    text = pa.array([" ".join(f"word{i} {i}" for i in range(3000))])
+    assert np.array_equal(own.encode(text)[0], other.encode(text)[0])
