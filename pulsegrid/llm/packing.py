@@ -57,23 +57,29 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return place
 
 
-def _bins(items: list[tuple[int, list]], capacity: int, least: int, number) -> Iterator[pa.RecordBatch]:
-    """Pack items (size, members) and emit bins; those filled to ``least`` are closed."""
-    place = best_fit(np.fromiter((s for s, _ in items), np.int64, len(items)), capacity)
+def _bins(fill: np.ndarray, sizes: np.ndarray, members: pa.Array, capacity: int, least: int, number) -> Iterator[pa.RecordBatch]:
+    """Pack items, whose members (``sizes`` of them each) stand one after another, and emit bins; those filled to ``least`` are closed."""
+    place = best_fit(fill, capacity)
     order = np.argsort(place, kind="stable")
-    cuts = np.flatnonzero(np.diff(place[order])) + 1
-    rows = []
-    for group in np.split(order, cuts):
-        members = [m for i in group.tolist() for m in items[i][1]]
-        rows.append((sum(items[i][0] for i in group.tolist()), members))
-    for at in range(0, len(rows), 4096):
-        yield _batch(rows[at:at + 4096], least, number)
+    own = sizes[order]
+    ends = np.cumsum(own)
+    moved = members.take(pa.array(np.repeat((np.cumsum(sizes) - sizes)[order] - (ends - own), own) + np.arange(len(members))))
+    firsts = np.flatnonzero(np.diff(place[order], prepend=-1))
+    yield from _batches(np.add.reduceat(fill[order], firsts), np.add.reduceat(own, firsts), moved, least, number)
 
 
-def _batch(rows: list[tuple[int, list]], least: int, number) -> pa.RecordBatch:
-    fill = [f for f, _ in rows]
-    return pa.record_batch([pa.array([f >= least for f in fill]), pa.array([number() for _ in fill], pa.int64()), pa.array(fill, pa.int32()),
-                            pa.array([m for _, m in rows], pa.list_(MEMBER))], names=["closed", "sequence_id", "fill", "members"])
+def _batches(fill: np.ndarray, sizes: np.ndarray, members: pa.Array, least: int, number) -> Iterator[pa.RecordBatch]:
+    """Bins as rows, a few at once."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    for at in range(0, len(fill), 4096):
+        some, cuts = fill[at:at + 4096], ends[at:at + 4097]
+        lists = pa.ListArray.from_arrays(pa.array(cuts - cuts[0], pa.int32()), members.slice(cuts[0], cuts[-1] - cuts[0]), type=pa.list_(MEMBER))
+        yield pa.record_batch([pa.array(some >= least), pa.array([number() for _ in some], pa.int64()), pa.array(some, pa.int32()), lists],
+                              names=["closed", "sequence_id", "fill", "members"])
+
+
+def _lengths(members: pa.StructArray) -> np.ndarray:
+    return members.field("length").to_numpy().astype(np.int64)
 
 
 def _numbers(round_no: int):
@@ -89,15 +95,23 @@ def _numbers(round_no: int):
 
 
 def pieces(doc_id, ids: np.ndarray, capacity: int) -> list[dict]:
-    """Members of one document: full pieces behind a first one that takes the rest."""
-    rest = len(ids) % capacity
-    starts = [*([0] if rest else []), *range(rest, len(ids), capacity)]
+    """Members of one document."""
+    return members_of(pa.array([doc_id], pa.int64()), ids, np.array([len(ids)]), capacity).to_pylist()
+
+
+def members_of(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity: int) -> pa.StructArray:
+    """Members of documents whose ids stand one after another, in their order: full pieces behind a first one that takes the rest."""
+    rest = counts % capacity
+    n = counts // capacity + (rest > 0)
+    doc = np.repeat(np.arange(len(counts)), n)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    short = np.where(rest > 0, capacity - rest, 0)[doc]
+    start = np.maximum(piece * capacity - short, 0)
+    length = (piece + 1) * capacity - short - start
+    at = (np.cumsum(counts) - counts)[doc] + start
     data = memoryview(ids.astype("<u4").tobytes())
-    out = []
-    for nth, start in enumerate(starts):
-        stop = rest if rest and nth == 0 else start + capacity
-        out.append({"doc_id": doc_id, "piece": nth, "start": start, "length": stop - start, "ids_crc32": zlib.crc32(data[4 * start:4 * stop])})
-    return out
+    crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+    return pa.StructArray.from_arrays([doc_ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], fields=list(MEMBER))
 
 
 def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACITY, end: int | None = 2, tokenizer: str | None = None,
@@ -109,19 +123,24 @@ def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACI
     def first(batches) -> Iterator[pa.RecordBatch]:
         number, held = _numbers(0), []
         encoder = tokens.encoder(tokenizer)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            members = pa.concat_arrays(held)
+            held.clear()
+            length = _lengths(members)
+            yield from _bins(length, np.ones_like(length), members, capacity, least, number)
+
         for batch in slices(batches, "text", 2 << 20):
-            ids, counts = encoder.documents(batch.column("text"), end)
-            full = []
-            for doc, own in zip(batch.column("id").to_pylist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                for piece in pieces(doc, own, capacity):
-                    (full if piece["length"] == capacity else held).append((piece["length"], [piece]))
-            if full:
-                yield _batch(full, least, number)
-            if len(held) >= task_items:
-                yield from _bins(held, capacity, least, number)
-                held = []
+            found = members_of(batch.column("id"), *encoder.documents(batch.column("text"), end), capacity)
+            is_full = _lengths(found) == capacity
+            full, others = found.filter(pa.array(is_full)), found.filter(pa.array(~is_full))
+            yield from _batches(_lengths(full), np.ones(len(full), np.int64), full, least, number)
+            if len(others):
+                held.append(others)
+            if sum(map(len, held)) >= task_items:
+                yield from flush()
         if held:
-            yield from _bins(held, capacity, least, number)
+            yield from flush()
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     level = write_once(rows.mapInArrow(first, BINS), "packing")
@@ -159,10 +178,13 @@ def _room(level: DataFrame, capacity: int) -> tuple[int, int | None]:
 
 def _merge(open_bins: DataFrame, tasks: int, round_no: int, capacity: int, least: int) -> DataFrame:
     def again(batches) -> Iterator[pa.RecordBatch]:
-        number, items = _numbers(round_no), []
+        number, fill, sizes, members = _numbers(round_no), [], [], []
         for batch in batches:
-            items += zip(batch.column("fill").to_pylist(), batch.column("members").to_pylist(), strict=True)
-        if items:
-            yield from _bins(items, capacity, least, number)
+            lists = batch.column("members")
+            fill.append(batch.column("fill").to_numpy().astype(np.int64))
+            sizes.append(lists.value_lengths().to_numpy().astype(np.int64))
+            members.append(pa.StructArray.from_arrays(lists.flatten().flatten(), fields=list(MEMBER)))
+        if sum(map(len, fill)):
+            yield from _bins(np.concatenate(fill), np.concatenate(sizes), pa.concat_arrays(members), capacity, least, number)
 
     return open_bins.repartition(tasks, F.xxhash64("sequence_id", F.lit(round_no))).select("fill", "members").mapInArrow(again, BINS)

@@ -171,3 +171,30 @@ def test_unknown_bytes_of_ids_change_no_id():
     other.bytes_of = np.ones_like(other.bytes_of)
     text = pa.array([" ".join(f"word{i} {i}" for i in range(3000))])
     assert np.array_equal(own.encode(text)[0], other.encode(text)[0])
+
+
+def test_pieces_are_columns():
+    """Pieces of a batch come as Arrow columns (a dictionary of Python objects for each took an executor's memory), equal to those cut one document at a time."""
+    counts = [1, 64, 65, 128, 200, 63]
+    ids = np.arange(sum(counts), dtype=np.uint32)
+    got = packing.members_of(pa.array([5, None, 5, 6, 7, 8], pa.int64()), ids, np.array(counts), 64).to_pylist()
+    want, at = [], 0
+    for doc, n in zip([5, None, 5, 6, 7, 8], counts, strict=True):
+        own, at, start = ids[at:at + n], at + n, 0
+        for nth, size in enumerate(([n % 64] if n % 64 else []) + [64] * (n // 64)):
+            crc = zlib.crc32(np.ascontiguousarray(own[start:start + size]).astype("<u4").tobytes())
+            want.append({"doc_id": doc, "piece": nth, "start": start, "length": size, "ids_crc32": crc})
+            start += size
+    assert got == want
+
+
+def test_bins_keep_every_member():
+    r = np.random.default_rng(1)
+    sizes, fill = r.integers(1, 5, 9000), r.integers(1, 60, 9000)
+    members = packing.members_of(pa.array(np.arange(int(sizes.sum()))), np.arange(int(sizes.sum()), dtype=np.uint32), np.ones(int(sizes.sum()), np.int64), 64)
+    out = [b for batch in packing._bins(fill, sizes, members, 64, 60, iter(range(10**6)).__next__) for b in batch.to_pylist()]
+    item = np.repeat(np.arange(9000), sizes)
+    for b in out:
+        own = list(dict.fromkeys(item[m["doc_id"]] for m in b["members"]))
+        assert b["fill"] == fill[own].sum() <= 64 and len(b["members"]) == sizes[own].sum() and b["closed"] == (b["fill"] >= 60)
+    assert sorted(m["doc_id"] for b in out for m in b["members"]) == list(range(int(sizes.sum())))
