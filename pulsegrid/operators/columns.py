@@ -13,7 +13,7 @@ from pulsegrid.operators.joins import sorted_join
 from pulsegrid.operators.quantum import gcd_by, quantum_columns
 from pulsegrid.operators.scan import Scan, sized_scan
 from pulsegrid.operators.timeline import MAX_TPQ
-from pulsegrid.session import freeze
+from pulsegrid.session import freeze, write_table
 
 SYSTEM = ["score_id", "page_index", "system_index"]
 STACK = [*SYSTEM, "stack_ord"]
@@ -65,39 +65,53 @@ def measure_chords(chords: DataFrame) -> DataFrame:
     return chords.groupBy(*STACK, "kind", "chord_id").agg(F.min(F.struct("part_ord", "chord_ord")).alias("place"))
 
 
-def head_facts(objects: DataFrame, relations: DataFrame) -> DataFrame:
-    """Per head of a chord: centre, shape, dots, whether a tie ends on it."""
-    members = typed_edges(objects, relations, SYSTEM, "containment", ["head-chord"], ["head"])
-    boxes = objects.filter("tag = 'head'").select(*SYSTEM, F.col("obj_id").alias("target"), "x", "y", "w", "h")
-    augmentation = typed_edges(objects, relations, SYSTEM, "augmentation")
+# What recovery takes from the relations of a graph.
+_RELATIONS = ("containment", "augmentation", "slur-head", "chord-stem", "beam-stem", "flag-stem")
+
+
+def related(objects: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations that recovery reads, each with the facts of both ends; an end that names no object is not ``known``."""
+    facts = {"source": ("tag", "shape", "tie"), "target": ("tag", "shape", "x", "y", "w", "h", "p1y", "p2y")}
+    out = relations.filter(F.col("type").isin(*_RELATIONS)).select(*SYSTEM, "type", "side", "rel_ord", "source", "target")
+    for end, names in facts.items():
+        known = objects.select(*SYSTEM, F.col("obj_id").alias(end), F.lit(True).alias(f"{end}_known"), *[F.col(c).alias(f"{end}_{c}") for c in names])
+        out = sorted_join(out, known, [*SYSTEM, end], "left")
+    return out
+
+
+def _joins(kind: str, source: str | None = None, target: str | None = None) -> Column:
+    """Relation of a type whose ends are objects with the given tags."""
+    found = F.col("type") == kind
+    for end, tag in (("source", source), ("target", target)):
+        found = found & ((F.col(f"{end}_tag") == tag) if tag else F.col(f"{end}_known"))
+    return F.coalesce(found, F.lit(False))
+
+
+def head_facts(edges: DataFrame) -> DataFrame:
+    """Per head of a chord: centre, shape, dots, whether a tie ends on it. One window over the relations that touch a head."""
     dotted = F.when(F.col("source_tag") == "head", F.col("source")).when(F.col("target_tag") == "head", F.col("target"))
-    dots = augmentation.select(*SYSTEM, dotted.alias("target")).filter("target IS NOT NULL").groupBy(*SYSTEM, "target").agg(F.count(F.lit(1)).alias("dots"))
-    ties = objects.filter("tag = 'slur' AND tie").select(*SYSTEM, F.col("obj_id").alias("source"))
-    known = objects.select(*SYSTEM, F.col("obj_id").alias("target"))
-    slurs = sorted_join(relations.filter("type = 'slur-head' AND upper(side) = 'RIGHT'"), ties, [*SYSTEM, "source"])
-    tied = sorted_join(slurs, known, [*SYSTEM, "target"]).select(*SYSTEM, "target").distinct().withColumn("tied", F.lit(True))
-    for side in (boxes, dots, tied):
-        members = sorted_join(members, side, [*SYSTEM, "target"], "left")
-    return members.select(
-        *SYSTEM, F.col("source").alias("chord_id"), "rel_ord", F.col("target_shape").alias("shape"),
-        (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"),
-        F.coalesce("dots", F.lit(0)).alias("dots"), F.coalesce("tied", F.lit(False)).alias("tied"))
-
-
-def stem_facts(objects: DataFrame, relations: DataFrame) -> DataFrame:
-    """Per chord: its stem (the last one stated), beams and flags on that stem, stem ends."""
-    stems = relations.filter("type = 'chord-stem'").groupBy(*SYSTEM, F.col("source").alias("chord_id")).agg(F.max_by("target", "rel_ord").alias("stem_id"))
-    beams = relations.filter("type = 'beam-stem'").groupBy(*SYSTEM, F.col("target").alias("stem_id")).agg(F.count_distinct("source").alias("beams"))
-    shapes = objects.select(*SYSTEM, F.col("obj_id").alias("source"), "shape")
-    flags = (
-        sorted_join(relations.filter("type = 'flag-stem'"), shapes, [*SYSTEM, "source"], "left")
-        .groupBy(*SYSTEM, F.col("target").alias("stem_id")).agg(F.max(flag_count(F.col("shape"))).alias("flags"))
-    )
-    ends = objects.filter("tag = 'stem'").select(*SYSTEM, F.col("obj_id").alias("stem_id"), "p1x", "p1y", "p2x", "p2y")
-    joined = stems
-    for side in (beams, flags, ends):
-        joined = sorted_join(joined, side, [*SYSTEM, "stem_id"], "left")
-    return joined
+    tie = _joins("slur-head", "slur") & F.coalesce((F.upper("side") == "RIGHT") & F.col("source_tie"), F.lit(False))
+    role = F.when(_joins("containment", "head-chord", "head"), "member").when(_joins("augmentation"), "dot").when(tie, "tie")
+    touching = edges.withColumns({"_role": role, "_head": F.when(role == "dot", dotted).otherwise(F.col("target"))}).filter("_role IS NOT NULL AND _head IS NOT NULL")
+    head = Window.partitionBy(*SYSTEM, "_head")
+    counted = touching.withColumns({"dots": F.count_if(F.col("_role") == "dot").over(head), "tied": F.bool_or(F.col("_role") == "tie").over(head)})
+    return counted.filter("_role = 'member'").select(
+        *SYSTEM, F.col("source").alias("chord_id"), F.col("target_shape").alias("shape"), (F.col("target_x") + F.col("target_w") / 2).alias("cx"),
+        (F.col("target_y") + F.col("target_h") / 2).alias("cy"), "dots", "tied")
+
+
+def chord_facts(edges: DataFrame) -> DataFrame:
+    """Per chord: the ends of its stem (the last one stated), beams and flags on that stem; for a rest chord its first rest shape."""
+    kind = F.col("type")
+    is_stem = F.coalesce(F.col("target_tag") == "stem", F.lit(False))
+    stem = F.struct(F.col("target").alias("stem_id"), F.when(is_stem, F.col("target_p1y")).alias("p1y"), F.when(is_stem, F.col("target_p2y")).alias("p2y"))
+    rest = _joins("containment", "rest-chord", "rest")
+    stated = edges.filter((kind == "chord-stem") | rest).groupBy(*SYSTEM, F.col("source").alias("chord_id")).agg(
+        F.max_by(stem, F.when(kind == "chord-stem", F.struct("rel_ord", is_stem.alias("stem")))).alias("_stem"),
+        F.min_by("target_shape", F.when(rest, F.col("rel_ord"))).alias("rest_shape")).select(*SYSTEM, "chord_id", "rest_shape", "_stem.*")
+    borne = edges.filter(kind.isin("beam-stem", "flag-stem")).groupBy(*SYSTEM, F.col("target").alias("stem_id")).agg(
+        F.count_distinct(F.when(kind == "beam-stem", F.col("source"))).alias("beams"), F.max(F.when(kind == "flag-stem", flag_count(F.col("source_shape")))).alias("flags"))
+    return sorted_join(stated, borne, [*SYSTEM, "stem_id"], "left").drop("stem_id")
 
 
 def stem_direction(centre_y: Column) -> Column:
@@ -114,32 +128,25 @@ def notation_events(objects: DataFrame, relations: DataFrame, chords: DataFrame,
         *SYSTEM, F.col("obj_id").alias("chord_id"), F.coalesce("staff", F.lit(0)).alias("staff"), "x", "y", "w", "h")
     boxed = sorted_join(placed, boxes, [*SYSTEM, "chord_id"])
 
-    heads = head_facts(objects, relations).groupBy(*SYSTEM, "chord_id").agg(
+    # Heads, stems and rests all come from the relations with their ends, which are therefore written once.
+    edges = write_table(related(objects, relations), "edges")
+    heads = head_facts(edges).groupBy(*SYSTEM, "chord_id").agg(
         F.avg("cx").alias("hx"), F.avg("cy").alias("hy"), F.max("dots").alias("dots"), F.bool_and("tied").alias("all_tied"),
         head_kind(F.array_sort(F.collect_set(F.coalesce("shape", F.lit(""))))).alias("head_kind"))
-    head_rows = (
-        sorted_join(sorted_join(boxed.filter("kind = 'head'"), heads, [*SYSTEM, "chord_id"], "left"), stem_facts(objects, relations), [*SYSTEM, "chord_id"], "left")
-        .withColumns({"cy": F.coalesce("hy", F.col("y") + F.col("h") / 2), "dots": F.coalesce("dots", F.lit(0)), "tied": F.coalesce("all_tied", F.lit(False))})
-    )
-    length = chord_quarters(F.coalesce("head_kind", F.lit("black")), F.coalesce("beams", F.lit(0)), F.coalesce("flags", F.lit(0)), F.col("dots"))
-    common = [*STACK, "measure_index", "full", "_mtpq", "chord_id", "kind", "staff", (F.col("x") + F.col("w") / 2).alias("x_abs")]
-    head_events = head_rows.select(
-        *common, F.col("cy").alias("y_abs"), F.col("hx").alias("visual_x_abs"), F.col("hy").alias("visual_y_abs"),
-        (F.col("hx").isNotNull() & F.col("hy").isNotNull()).alias("head_geometry_exact"), length.cast(_RATIO).alias("length"),
-        F.col("dots").cast("int").alias("dot_count"), stem_direction(F.col("cy")).alias("direction"),
-        (~F.col("tied")).alias("attack"), F.col("tied").alias("tie_continuation"), F.lit(False).alias("rest"),
-    )
-    rest_shape = typed_edges(objects, relations, SYSTEM, "containment", ["rest-chord"], ["rest"]).groupBy(*SYSTEM, F.col("source").alias("chord_id")).agg(
-        F.min_by("target_shape", "rel_ord").alias("shape"))
+    is_head = F.col("kind") == "head"
+    rows = sorted_join(sorted_join(boxed.filter("kind IN ('head', 'rest')"), heads, [*SYSTEM, "chord_id"], "left"), chord_facts(edges), [*SYSTEM, "chord_id"], "left")
+    middle = F.col("y") + F.col("h") / 2
     one = F.struct(F.lit(1).cast("bigint").alias("num"), F.lit(1).cast("bigint").alias("den"))
-    rests = sorted_join(boxed.filter("kind = 'rest'"), rest_shape, [*SYSTEM, "chord_id"], "left").withColumn("length", F.coalesce(rest_quarters(F.col("shape")), one).cast(_RATIO))
-    whole_measure = F.upper(F.coalesce("shape", F.lit(""))).contains("WHOLE_REST") & (F.col("length.num") * F.col("_mtpq") >= F.col("full") * F.col("length.den"))
-    rest_events = rests.filter(~whole_measure).select(
-        *common, (F.col("y") + F.col("h") / 2).alias("y_abs"), F.lit(None).cast("double").alias("visual_x_abs"), F.lit(None).cast("double").alias("visual_y_abs"),
-        F.lit(False).alias("head_geometry_exact"), "length", F.lit(0).alias("dot_count"), F.lit("none").alias("direction"),
-        F.lit(False).alias("attack"), F.lit(False).alias("tie_continuation"), F.lit(True).alias("rest"),
-    )
-    return head_events.unionByName(rest_events)
+    sounding = chord_quarters(F.coalesce("head_kind", F.lit("black")), F.coalesce("beams", F.lit(0)), F.coalesce("flags", F.lit(0)), F.coalesce("dots", F.lit(0)))
+    silent = F.coalesce(rest_quarters(F.col("rest_shape")), one)
+    rows = rows.withColumns({"cy": F.when(is_head, F.coalesce("hy", middle)).otherwise(middle), "tied": is_head & F.coalesce("all_tied", F.lit(False)),
+                             "length": F.when(is_head, sounding.cast(_RATIO)).otherwise(silent.cast(_RATIO))})
+    whole_measure = ~is_head & F.upper(F.coalesce("rest_shape", F.lit(""))).contains("WHOLE_REST") & (F.col("length.num") * F.col("_mtpq") >= F.col("full") * F.col("length.den"))
+    return rows.filter(~whole_measure).select(
+        *STACK, "measure_index", "full", "_mtpq", "chord_id", "kind", "staff", (F.col("x") + F.col("w") / 2).alias("x_abs"), F.col("cy").alias("y_abs"),
+        F.when(is_head, F.col("hx")).alias("visual_x_abs"), F.when(is_head, F.col("hy")).alias("visual_y_abs"), (is_head & F.col("hx").isNotNull() & F.col("hy").isNotNull()).alias("head_geometry_exact"),
+        "length", F.when(is_head, F.coalesce("dots", F.lit(0))).otherwise(F.lit(0)).cast("int").alias("dot_count"), F.when(is_head, stem_direction(F.col("cy"))).otherwise(F.lit("none")).alias("direction"),
+        (is_head & ~F.col("tied")).alias("attack"), F.col("tied").alias("tie_continuation"), (~is_head).alias("rest"))
 
 
 def recover_columns(
