@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from bisect import bisect_right
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.functions import pandas_udf
 
 _CHAIN = "array<struct<i:int,j:bigint>>"
 
@@ -49,8 +48,18 @@ def _heaviest(candidates: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _chains(candidates: pd.Series) -> pd.Series:
-    return candidates.map(lambda rows: [{"i": i, "j": j} for i, j in _heaviest([(r["i"], r["j"], r["w"]) for r in rows])])
+def _chains(candidates: pa.Array) -> pa.Array:
+    """The chain of every list of candidates; columns in and out, so that a worker needs no pandas."""
+    rows = candidates.flatten()
+    i, j, w = (rows.field(c).to_pylist() for c in ("i", "j", "w"))
+    ends, chained, start = [0], [], 0
+    for size in candidates.value_lengths().to_pylist():
+        stop = start + (size or 0)
+        chained += _heaviest(list(zip(i[start:stop], j[start:stop], w[start:stop])))
+        ends.append(len(chained))
+        start = stop
+    members = pa.StructArray.from_arrays([pa.array([a for a, _ in chained], pa.int32()), pa.array([b for _, b in chained], pa.int64())], names=["i", "j"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), members)
 
 
 def anchor_chain(candidates: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,7 +72,7 @@ def anchor_chain(candidates: DataFrame, keys: list[str]) -> DataFrame:
     usable = candidates.filter((i > 0) & (j > 0) & (j >= i) & (F.col("units") - 1 - j >= F.col("n") - 1 - i))
     packed = F.struct(i.cast("int").alias("i"), F.col("seen").cast("bigint").alias("seen"), j.cast("bigint").alias("j"), F.col("support").cast("bigint").alias("w"))
     grouped = usable.groupBy(*keys).agg(F.array_sort(F.collect_list(packed)).alias("_c"))
-    chained = grouped.select(*keys, F.explode(pandas_udf(_chains, _CHAIN)("_c")).alias("_a")).select(*keys, "_a.i", "_a.j")
+    chained = grouped.select(*keys, F.explode(F.arrow_udf(_chains, _CHAIN)("_c")).alias("_a")).select(*keys, "_a.i", "_a.j")
     origin = candidates.select(*keys).distinct().select(*keys, F.lit(0).alias("i"), F.lit(0).cast("bigint").alias("j"))
     return origin.unionByName(chained)
 
