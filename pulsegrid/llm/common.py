@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -104,6 +106,14 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Hand what a Python worker has freed back to the system: a worker outlives its task, and its idle memory counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, column: str, limit: int = 8 << 20):
     """Cut Arrow batches into slices whose ``column`` holds about ``limit`` bytes at most; a longer value stands alone."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm import tokens
-from pulsegrid.llm.common import slices, write_once
+from pulsegrid.llm.common import give_back, slices, write_once
 
 CAPACITY = 1024
 NEARLY_FULL = 0.99
@@ -141,6 +141,7 @@ def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACI
                 yield from flush()
         if held:
             yield from flush()
+        give_back()
 
     rows = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     level = write_once(rows.mapInArrow(first, BINS), "packing")

@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.llm.common import fresh, slices, unit
-from pulsegrid.llm.words import SLICE, Texts
+from pulsegrid.llm.words import Texts
 
+#: Bytes of text measured at once: about fifty times as much is held meanwhile.
+SLICE = 512 << 10
 #: Rows of the labelled sample (its expected size; documented bound of what the driver gets).
 FIT_ROWS = 20_000
 TREES, DEPTH, RATE, SHRINK, BIN_COUNT, LEAST_HESSIAN = 60, 4, 0.2, 1.0, 32, 2.0

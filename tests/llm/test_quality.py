@@ -7,6 +7,7 @@ import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
 from pulsegrid.llm import quality, words
+from pulsegrid.llm.common import slices
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -89,3 +90,12 @@ def test_edge_rows(spark):
     assert quality.keep(docs.limit(0), none).count() == 0
     labels = spark.createDataFrame([(1, 0), (1, 0), (3, 1)], "doc_id long, quality int")
     assert {r["doc_id"] for r in quality.keep(docs, labels).collect()} <= {3}
+
+
+def test_texts_are_measured_in_small_slices():
+    """Pipeline: what a worker holds while it measures stays small, and the figures do not depend on the slices."""
+    texts = pa.array([f"line {i} of words\n" * (i % 7) + "a b c d e f g h " * (i % 5) for i in range(60)] + [None, ""])
+    parts = [quality.statistics(b.column("t")) for b in slices([pa.record_batch([texts], names=["t"])], "t", 300)]
+    whole = quality.statistics(texts)
+    assert len(parts) > 3 and all((np.concatenate([p[k] for p in parts]) == whole[k]).all() for k in (0, 1))
+    assert quality.SLICE <= 512 << 10
