@@ -10,8 +10,9 @@ from pulsegrid.operators import clusters, graph, profiles, quality, reconcile, r
 from pulsegrid.operators.scan import Scan
 from pulsegrid.plans.events import TPQ, calendar_columns, day_of, read_events, seconds_since_epoch, week_meter, week_of
 from pulsegrid.plans.generic import (
-    LONG, as_text, banded_events, banded_tree, banded_wave, longs, ordered_events,
+    LONG, as_text, banded_events, banded_wave, longs, ordered_events,
 )
+from pulsegrid.session import write_table
 
 
 # -- reconciliation -------------------------------------------------------------------------------------------------------------
@@ -85,30 +86,37 @@ def missing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return register.missing_targets(_anchors(spark, sf_dir)).select(*longs("score_id", "level", "measure_index", "offset"), "reason")
 
 
-def _wave_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _wave(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Scan]:
+    """The wave, which the points and their anchors both read, written once."""
+    wave, scan = banded_wave(spark, sf_dir)
+    return write_table(wave, "wave"), scan
+
+
+def _wave_anchors(wave: DataFrame) -> DataFrame:
     """Wave points at the position of their time of day; every eleventh offset has none."""
-    wave = profiles.wave_profile(banded_events(read_events(spark, sf_dir)))
     return wave.filter("offset % 11 <> 0").select(
         "score_id", "measure_index", "offset", "onset", week_of(F.col("measure_index")).alias("page_index"), F.pmod("measure_index", F.lit(7)).cast("int").alias("system_index"),
         (F.col("offset") / 256.0).alias("cx_norm"), F.lit(0.5).alias("cy_norm"), F.col("offset").cast("double").alias("recovered_x_abs"), F.lit("wave").alias("registration_source"))
 
 
 def branch_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, scan = banded_tree(spark, sf_dir)
-    placed = register.register_nodes(nodes.drop("parent"), _wave_anchors(spark, sf_dir))
+    wave, scan = _wave(spark, sf_dir)
+    # Branches and nodes read the tree, and both ends of a branch read the nodes.
+    nodes = write_table(profiles.tree(wave, scan), "tree")
+    placed = write_table(register.register_nodes(nodes.drop("parent"), _wave_anchors(wave)), "nodes")
     pieces = register.register_branches(profiles.branches(nodes, scan), placed)
     return pieces.select(*longs("score_id", "branch_index", "page_index", "system_index", "endpoint_level", "source_x_abs", "target_x_abs"), "span_role")
 
 
 def pivot_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wave, scan = banded_wave(spark, sf_dir)
-    placed = register.register_pivots(profiles.pivots(wave, scan), _wave_anchors(spark, sf_dir))
+    wave, scan = _wave(spark, sf_dir)
+    placed = register.register_pivots(profiles.pivots(wave, scan), _wave_anchors(wave))
     return placed.select(*longs("score_id", "pivot_index", "page_index", "system_index", "recovered_x_abs"), F.coalesce("reason", F.lit("mapped")).alias("reason"))
 
 
 def wave_anchor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wave = profiles.wave_profile(banded_events(read_events(spark, sf_dir)))
-    return register.point_stats(register.register_wave(wave, _wave_anchors(spark, sf_dir)), "wave").select(
+    wave, _ = _wave(spark, sf_dir)
+    return register.point_stats(register.register_wave(wave, _wave_anchors(wave)), "wave").select(
         *longs("score_id", "wave_expected", "wave_mapped", "wave_missing", "wave_max_height"))
 
 
