@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pulsegrid.llm.common import Scratch, bound_batches, discard, fresh, shared_path, slices, with_facts, write_once
+from pulsegrid.llm.common import Scratch, bound_batches, discard, fresh, give_back, shared_path, slices, with_facts, write_once
 from pulsegrid.llm.words import SLICE, Texts, mix, shingle_sets
 
 ORDERS = 3
@@ -70,6 +70,7 @@ def _sets(batches, rule: Rule) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.
     for batch in slices(batches, "text", SLICE):
         hashes, counts = shingle_sets(Texts(batch.column("text"), lower=True), rule.size)
         yield batch, hashes, counts, _digests(hashes, counts)
+    give_back()
 
 
 CLASSES = "id long, class long, n int, slots binary, times binary"
@@ -102,6 +103,7 @@ def _classes(rows: DataFrame, rule: Rule) -> DataFrame:
                 known.clear()
         if size:
             yield counted()
+        give_back()
 
     return rows.mapInArrow(work, CLASSES)
 

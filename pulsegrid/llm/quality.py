@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pulsegrid.llm.common import fresh, slices, unit
+from pulsegrid.llm.common import fresh, give_back, slices, unit
 from pulsegrid.llm.words import Texts
 
 #: Bytes of text measured at once: about fifty times as much is held meanwhile.
@@ -181,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     @F.arrow_udf("array<double>")
     def measured(texts: pa.Array) -> pa.Array:
         out = [statistics(b.column("t"))[1] for b in slices([pa.record_batch([texts], names=["t"])], "t", SLICE)]
+        give_back()
         return pa.array(np.concatenate(out).tolist(), pa.list_(pa.float64())) if out else pa.array([], pa.list_(pa.float64()))
 
     rows = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -208,6 +209,7 @@ def judge(df: DataFrame, forest: Forest | None, text_column: str = "text", out:
             kept = ~failed & ((score >= KEEP_FROM) if forest is not None else True)
             parts.append(pa.StructArray.from_arrays([*(pa.array(counts[:, k]) for k in range(len(COUNTS))), pa.array(failed),
                                                      pa.array(score, mask=np.isnan(score)), pa.array(kept)], names=[*COUNTS, "base_failed", "score", "kept"]))
+        give_back()
         if not parts:
             return pa.array([], pa.struct([*((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]))
         return pa.concat_arrays(parts)

@@ -2,6 +2,8 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from pulsegrid.llm import jaccard
 
@@ -110,3 +112,19 @@ def test_rows_without_a_verdict_are_not_shuffled(spark):
     assert kept.count() == 43
     plain = kept._jdf.queryExecution().sparkPlan().children().head().toString()
     assert "Join" not in plain and "Scan" in plain
+
+
+def test_sets_are_made_in_small_slices_and_memory_is_handed_back(monkeypatch):
+    """Pipeline: a worker outlives its task, so what it held at most is what counts against the executor."""
+    texts = pa.array([" ".join(f"w{(k * j) % 97}" for j in range(90)) for k in range(40)] + [None, "", "a b"])
+    batch, given = pa.record_batch([texts], names=["text"]), []
+    monkeypatch.setattr(jaccard, "give_back", lambda: given.append(1))
+    assert jaccard.SLICE <= 512 << 10
+
+    def made(limit):
+        monkeypatch.setattr(jaccard, "SLICE", limit)
+        found = [(hashes, counts, names) for _, hashes, counts, names in jaccard._sets([batch], jaccard.Rule(5, 80))]
+        return len(found), [np.concatenate(x).tolist() for x in zip(*found, strict=True)]
+
+    (whole, want), (cut, got) = made(1 << 20), made(700)
+    assert whole == 1 < cut and got == want and len(given) == 2
