@@ -34,6 +34,8 @@ HEAD = struct.Struct("<4sHIII")
 BLOCK = 256
 PERCENTILE = 90
 IMAGE_TOKENS = 1 << 20
+#: Pieces that a worker remembers: more than elsewhere, as nothing else is held here.
+MEMORY = 700_000
 
 
 def _widths(values: np.ndarray) -> np.ndarray:
@@ -125,7 +127,7 @@ def write(df: DataFrame, path: str, id_column: str, text_column: str, end: int |
 
     def images(batches) -> Iterator[pa.RecordBatch]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-        encoder = tokens.encoder(tokenizer)
+        encoder = tokens.encoder(tokenizer, MEMORY)
 
         def flush():
             nonlocal seq, held, size

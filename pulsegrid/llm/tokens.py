@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import os
 import string
-from itertools import chain, compress
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 UNCUT = f"{SPACE}{SPACE}{SPACE}|{SPACE}{SPACE}\\z"
 PREFIXES = ("", "\n", " ")
 
-#: Pieces that a worker remembers (the memory is dropped and started anew beyond them; about 200 bytes each) and the longest piece worth it.
+#: Pieces that a worker remembers (beyond them only those met again since they were learnt stay, half as many at most; about 200 bytes each) and the longest piece worth it.
 MEMORY = 400_000
 LONGEST = 64
 #: New words that the library encodes together, as one text; more gain nothing.
@@ -35,7 +35,8 @@ def default_path() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
+        self.memory = memory
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -45,11 +46,18 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = list(map(len, vocabulary))
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes, self.again = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool, self.starts, self.sizes = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        """Keep the pieces met again since the last time, as far as they fill at most half of the memory."""
+        pieces, places = list(self.known), np.fromiter(self.known.values(), np.int64, len(self.known))
+        stay = self.again[places]
+        stay &= np.cumsum(stay) <= self.memory // 2
+        kept = places[stay]
+        ids, sizes = self._gather(kept)
+        self.pool, self.sizes, self.starts, self.again = ids, sizes, np.cumsum(sizes) - sizes, np.zeros(len(kept), bool)
+        self.known = dict(zip(compress(pieces, stay.tolist()), range(len(kept)), strict=True))
 
     def _whole(self, texts: list[str], special: bool = False) -> list[list[int]]:
         """Ids of texts as the library gives them; without ``special`` (texts that hold no special token) it need not look for those."""
@@ -94,6 +102,7 @@ class Encoder:
         first = len(self.starts)
         self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(sizes) - sizes])
         self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+        self.again = np.concatenate([self.again, np.zeros(len(sizes), bool)])
         self.known.update(zip(pieces, range(first, first + len(pieces)), strict=True))
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +115,12 @@ class Encoder:
 
         Between a letter and ASCII punctuation there is always a cut, so a piece that ends in punctuation is put together from its stem and tail.
         """
-        if len(self.known) > MEMORY:
+        if len(self.known) > self.memory:
             self._forget()
         known = self.known
-        places = np.fromiter((known.get(p, -1) for p in pieces), np.int64, len(pieces))
+        places = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(places < 0)
+        self.again[places[places >= 0]] = True
         if not len(missing):
             return places
         new, joined, parts, plain = [pieces[i] for i in missing.tolist()], [], [], {}
@@ -190,11 +200,11 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(ids), np.uint32, sum(map(len, ids)))
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int = MEMORY) -> Encoder:
     """One per Python worker: loading the vocabulary takes longer than a batch."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, memory) not in _ENCODERS:
+        _ENCODERS[path, memory] = Encoder(path, memory)
+    return _ENCODERS[path, memory]

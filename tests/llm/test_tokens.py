@@ -42,6 +42,18 @@ def test_special_tokens_and_long_texts():
     assert 50256 in ids.tolist()
 
 
+def test_pieces_met_again_outlive_the_others():
+    """Beyond its memory an encoder forgets what it met once only, half of the memory at least, and gives the same ids."""
+    own, plain = tokens.Encoder(tokens.default_path(), memory=60), Tokenizer.from_file(tokens.default_path())
+    often = [f"often{k}" for k in range(20)]
+    for turn in range(12):
+        text = " ".join(["x", *often, *(f"once{turn}x{k}" for k in range(15))])
+        ids, _ = own.encode(pa.array([text]))
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert not turn or all(f" {word}" in own.known for word in often)
+        assert len(own.known) <= 60 + 36
+
+
 def test_documents_end_with_the_end_id(encoder):
     ids, counts = encoder.documents(pa.array([None, "", "a b", "x" * 5000]), 2)
     assert [own[-1] for own in np.split(ids, np.cumsum(counts)[:-1])] == [2] * 4 and counts[0] == counts[1] == 1
