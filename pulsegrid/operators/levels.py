@@ -7,22 +7,20 @@ side of what lies to its left (``rel`` in (0, W]).  With f parts, ``rel`` become
 * Beats whose arities are the defaults (no tuplet marks, no recovered off-dyadic hits) need no rounds: a hit strictly inside a span
   always splits it, and a span that starts or ends at a hit is split exactly when the neighbour hit is nearer than its width.  That is
   one sort per beat for the neighbours and integer arithmetic per row.
-* Other beats let the hits of a span vote on its arity.  Their rows carry the span as (s, q), the q-th of s equal parts; a round opens one row per vote,
-  counts votes by (span, arity), and closes them again, all under the partitioning (score, segment, beat).
+* Other beats let the hits of a span vote on its arity.  Their rows carry the span as (s, q), the q-th of s equal parts; all rounds of a beat run in one
+  task on Arrow columns, many whole beats at a time (``votes``), without the hits' payload.
 
-Either way everything happens under one shuffle by beat; a beat holds at most 2*W rows because hits are unique per tick.
+Either way a beat holds at most 2*W rows because hits are unique per tick.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulsegrid.functions.grid import child_level, grid_position, grid_top, point_levels
-from pulsegrid.functions.meter import is_prime
 from pulsegrid.functions.rational import ceil_log2_ratio, int_div, power_of_two, trailing_zeros
-from pulsegrid.session import freeze
+from pulsegrid.operators import votes
+from pulsegrid.session import write_table
 
 # Fixed value: refinement rounds allowed beyond the number a beat's smallest gap asks for.
 DEPTH_SLACK = 6
@@ -121,11 +119,13 @@ def refine(hits: DataFrame) -> DataFrame:
         settled = by_default_arities(rows).select(*kept)
     else:
         # Both branches and every voting block read these rows, so they are written once.
-        rows = freeze(rows.withColumn("_irregular", irregular))
+        rows = write_table(rows.withColumn("_irregular", irregular), "beat-rows")
         settled = by_default_arities(rows.filter("NOT _irregular")).select(*kept)
         voting = rows.filter("_irregular")
         if not voting.isEmpty():
-            settled = settled.unionByName(by_votes(voting).select(*kept))
+            # The payload does not go to the workers: its rows bear the grid Levels only, and meet the others by hit below.
+            hits_of = voting.filter("_side = 'S'").withColumn("_note", F.array().cast("array<string>")).select(*kept)
+            settled = settled.unionByName(hits_of).unionByName(by_votes(voting).withColumn("_payload", F.lit(None)).select(*kept))
 
     collected = settled.groupBy("score_id", "segment_index", "onset").agg(
         F.first("_payload", ignorenulls=True).alias("_payload"),
@@ -184,26 +184,13 @@ def by_default_arities(rows: DataFrame) -> DataFrame:
 
 
 def by_votes(rows: DataFrame) -> DataFrame:
-    """Arities voted by the hits of each span: explicit tuplets, recovered ternary positions, else the default.
-
-    After a round the frontier is written, rows that left it are set aside and the rest goes on, so every round is a small plan over the spans that still split.
-    The depth allowance ends every row, so the loop stops by itself.
-    """
-    with_tuplets, ternary_possible = "tuplets" in rows.columns, "canonical_recovered" in rows.columns
-    frontier = rows.withColumns({
-        "_s": F.lit(1).cast("bigint"), "_q": F.lit(0).cast("bigint"), "_active": F.lit(True), "_note": F.array().cast("array<string>"),
-    })
-    if ternary_possible:
-        frontier = frontier.withColumn("_pow3", power_of_three(F.col("beat_ticks")))
-    settled: list[DataFrame] = []
-    depth = 0
-    while True:
-        written = freeze(_round(frontier, depth, with_tuplets, ternary_possible))
-        depth += 1
-        settled.append(written.filter("NOT _active"))
-        frontier = written.filter("_active")
-        if frontier.isEmpty():
-            return reduce(DataFrame.unionByName, settled)
+    """Arities voted by the hits of each span: explicit tuplets, recovered ternary positions, else the default (``votes``)."""
+    kept = ("score_id", "segment_index", "onset")
+    marks = [c for c in ("tuplets", "canonical_recovered") if c in rows.columns]
+    needed = rows.select(*kept, "beat_ticks", "compound", "_side", "_beat", "_rel", "_cap", "_parent", *marks)
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", _levels array<int>, _note array<string>"
+    in_order = needed.repartition(*_BEAT).sortWithinPartitions(*_BEAT, "_rel", "_side")
+    return in_order.mapInArrow(lambda batches: votes.voted(batches, _BEAT, kept), schema)
 
 
 def with_profile(events: DataFrame) -> DataFrame:
@@ -213,83 +200,3 @@ def with_profile(events: DataFrame) -> DataFrame:
         "density": F.size("levels"),
         "lowest_level": F.coalesce(F.array_min("levels"), F.lit(0)),
     })
-
-
-def _with_votes(rows: DataFrame, start_side: Column) -> DataFrame:
-    """One row per hit and arity it votes for in its span (``_vote``, ``_ballot`` numbers them; hits without a vote keep one row), with the onsets that vote alike.
-
-    A mark votes if its arity is prime and its hit lies on that arity's grid in the span; ``full`` says that some note of the hit fills one part.
-    """
-    width = F.col("beat_ticks")
-    aligned = F.filter(F.when(start_side, F.col("tuplets")), lambda t: (t["actual"] != t["normal"]) & is_prime(t["actual"]) & ((F.col("_rel") * t["actual"]) % width == 0))
-    fills = lambda t: (t["duration"] > 0) & (t["duration"] * t["actual"] * F.col("_s") == width)
-    arities = F.array_distinct(F.transform("_aligned", lambda t: t["actual"]))
-    votes = F.transform(arities, lambda p: F.struct(p.alias("p"), F.exists("_aligned", lambda t: (t["actual"] == p) & fills(t)).alias("full")))
-    rows = rows.withColumn("_aligned", aligned)
-    rows = rows.select(*[c for c in rows.columns if c != "_aligned"], F.posexplode_outer(votes).alias("_ballot", "_vote"))
-    # Hits are unique per tick, so rows of one arity in a span are its onsets.
-    return rows.withColumn("_onsets", F.count("_vote.p").over(Window.partitionBy(*_BEAT, "_s", "_q", "_vote.p")))
-
-
-def _round(rows: DataFrame, depth: int, with_tuplets: bool, ternary_possible: bool) -> DataFrame:
-    span = Window.partitionBy(*_BEAT, "_s", "_q")
-    width, is_end = F.col("beat_ticks"), F.col("_side") == "E"
-    start_side = F.col("_active") & ~is_end
-    inner = start_side & (F.col("_rel") > 0)
-    none = F.array().cast("array<string>")
-
-    if with_tuplets:
-        rows = _with_votes(rows, start_side)
-    counts: dict[str, Column] = {"_has": F.coalesce(F.max(inner).over(span), F.lit(False))}
-    if ternary_possible:
-        off_dyadic = inner & F.coalesce(F.col("canonical_recovered"), F.lit(False)) & (F.col("_rel") % F.col("_pow3") != 0)
-        counts["_tern"] = F.coalesce(F.max(off_dyadic).over(span), F.lit(False))
-    if with_tuplets:
-        p = F.col("_vote.p")
-        chosen = {"full": F.when(F.col("_vote.full"), p), "twice": F.when(F.col("_onsets") > 1, p)}
-        counts |= {f"_{name}_{end}": fn(arity).over(span) for name, arity in chosen.items() for end, fn in (("low", F.min), ("high", F.max))}
-    rows = rows.select("*", *[c.alias(name) for name, c in counts.items()])
-    gone = set(counts)
-    if with_tuplets:
-        rows = rows.filter(F.coalesce("_ballot", F.lit(0)) == 0)
-        gone |= {"_ballot", "_vote", "_onsets"}
-
-    visited = F.col("_active") & F.col("_has")
-    split = visited & (F.lit(depth) < F.col("_cap"))
-    default = F.when(F.col("compound"), F.lit(3)).otherwise(F.lit(2)) if depth == 0 else F.lit(2)
-    explicit: Column = F.lit(None).cast("int")
-    notes = [F.when(visited & ~split, F.concat_ws(":", F.lit("depth"), *[F.col(c).cast("string") for c in ("_beat", "_q", "_s")]))]
-    if with_tuplets:
-        # An arity that a full part vouches for; without any, one with two onsets.  Two candidates are a conflict.
-        low, high = (F.when(F.col("_full_low").isNotNull(), F.col(f"_full_{end}")).otherwise(F.col(f"_twice_{end}")) for end in ("low", "high"))
-        explicit = F.when(low == high, low)
-        notes.append(F.when(split & (low < high), F.lit("conflict")))
-    ternary: Column = F.lit(None).cast("int")
-    if ternary_possible:
-        ternary = F.when((default == 2) & F.col("_tern"), F.lit(3))
-        notes.append(F.when(split & explicit.isNull() & ternary.isNotNull(), F.lit("ternary")))
-    found = F.array_compact(F.array(*notes))
-    if with_tuplets:
-        composite = F.transform(
-            F.filter("tuplets", lambda t: (t["actual"] != t["normal"]) & ~is_prime(t["actual"])),
-            lambda t: F.concat_ws(":", F.lit("composite"), t["actual"].cast("string"), t["normal"].cast("string")))
-        found = F.concat(found, F.coalesce(F.when(split & ~is_end, composite), none))
-    rows = rows.select(
-        *[c for c in rows.columns if c not in (*gone, "_note")], split.alias("_split"),
-        F.coalesce(explicit, ternary, default).cast("int").alias("_f"), F.concat(F.col("_note"), found).alias("_note"))
-
-    x, split = F.col("_rel") * F.col("_f"), F.col("_split")
-    rows = rows.select("*", F.when(is_end, int_div(x - 1, width)).otherwise(int_div(x, width)).cast("int").alias("_k"))
-    point = F.when(is_end, F.col("_k") + 1).otherwise(F.col("_k"))
-    gained = F.transform(point_levels(F.col("_f"), point), lambda level: level + F.col("_parent"))
-    moved = {
-        "_rel": F.when(split, x - F.col("_k") * width).otherwise(F.col("_rel")),
-        "_q": F.when(split, F.col("_q") * F.col("_f") + F.col("_k")).otherwise(F.col("_q")),
-        "_s": F.when(split, F.col("_s") * F.col("_f")).otherwise(F.col("_s")),
-        # Under another name: inside a lambda a column of the same select wins over the input column.
-        "_under": F.when(split, F.col("_parent") + child_level(F.col("_f"), F.col("_k"))).otherwise(F.col("_parent")),
-        "_levels": F.when(split & (x % width == 0), F.concat(F.col("_levels"), gained)).otherwise(F.col("_levels")),
-    }
-    gone = (*moved, "_parent", "_active", "_split", "_f", "_k")
-    rows = rows.select(*[c for c in rows.columns if c not in gone], *[e.alias(n) for n, e in moved.items()], split.alias("_active"))
-    return rows.withColumnRenamed("_under", "_parent")

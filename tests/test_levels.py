@@ -2,11 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.grid import child_level, grid_position, grid_top, point_levels
-from pulsegrid.operators import levels as L
+from pulsegrid.operators import levels as L, votes
 from tests import brute
 
 
@@ -112,3 +113,29 @@ def test_hand_golden(spark):
     hits = {t: {"tuplets": set(), "canonical": False} for t in (0, 2, 3, 4)}
     out = {r.onset: r.levels for r in L.refine(to_frame(spark, [(0, 4, 2, 2, False, hits)], False, False)).collect()}
     assert out == {0: [1], 2: [1, 2], 3: [2], 4: [1, 2]}
+
+
+def test_votes_take_one_written_table(spark, monkeypatch):
+    """tuplet_levels, tuplet_notes: all rounds of a beat run in one task, so what is written does not depend on their number."""
+    written = []
+    monkeypatch.setattr(L, "write_table", lambda df, name, write=L.write_table: (written.append(name), write(df, name))[1])
+    segments = random_segments(3, 20, True, True)
+    check(segments, L.refine(to_frame(spark, segments, True, True)))
+    assert written == ["beat-rows"]
+
+
+def test_batches_are_cut_between_beats():
+    rows = pa.record_batch({
+        "score_id": ["a", "a", "a", "a", "b", None, None], "segment_index": pa.array([0, 0, 0, 1, 1, 1, 1], pa.int32()), "_beat": [0, 0, 1, 1, 1, 1, 1], "beat_ticks": [60] * 7, "compound": [False] * 7,
+        "_side": ["S"] * 7, "_rel": [20, 40, 12, 30, 30, 12, 24], "_cap": pa.array([8] * 7, pa.int32()), "_parent": pa.array([1] * 7, pa.int32()),
+        "tuplets": pa.array([[{"actual": 3, "normal": 2, "duration": 20}], [{"actual": 3, "normal": 2, "duration": None}], None, [], [{"actual": 6, "normal": 4, "duration": 10}],
+                             [{"actual": 5, "normal": 4, "duration": 12}], [{"actual": 5, "normal": None, "duration": 12}]],
+                            pa.list_(pa.struct([("actual", pa.int32()), ("normal", pa.int32()), ("duration", pa.int64())]))),
+    })
+    keys = ("score_id", "segment_index", "_beat")
+    beats = [b.column("_rel").to_pylist() for b, _ in votes.whole_beats([rows.slice(k, 1) for k in range(7)], keys)]
+    assert beats == [[20, 40], [12], [30], [30], [12, 24]]
+    got = lambda batches: [r for b in votes.voted(iter(batches), keys, ("score_id", "_rel")) for r in b.to_pylist()]
+    whole = got([rows])
+    assert whole == got([rows.slice(k, 1) for k in range(7)]) == got([rows.slice(0, 0), rows.slice(0, 3), rows.slice(3)])
+    assert whole[0]["_levels"] == [2, 3] and "composite:6:4" in whole[4]["_note"]
