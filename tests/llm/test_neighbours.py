@@ -1,9 +1,18 @@
 import duckdb
 import numpy as np
+from pyspark.accumulators import AccumulatorParam
 
 from pulsegrid.llm import neighbours
 
 
+class MostOf(AccumulatorParam):
+    def zero(self, value):
+        return value
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def exact(ids, x, query, own, k=10):
     d = np.sqrt(((x - query) ** 2).sum(axis=1))
     order = [i for i in np.lexsort((ids, d)) if ids[i] != own][:k]
@@ -49,3 +58,53 @@ def test_far_and_identical_vectors(spark):
     got = neighbours.search(df, df.filter("id in (0, 1019)"), "id", "v", 25).collect()
     assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == 0), key=lambda r: r["rank"])][:19] == list(range(3, 60, 3))
     assert sorted((r for r in got if r["query_id"] == 1019), key=lambda r: r["rank"])[0]["vec_id"] == 1018
+
+
+def test_no_row_holds_a_block(spark, monkeypatch):
+    """Rows on their way to and from the workers stay small however many vectors there are; results as from brute force, over cells, blocks and copies."""
+    frame = type(spark.range(0))
+    most, plain = spark.sparkContext.accumulator(0, MostOf()), frame.mapInArrow
+
+    def seen(batches):
+        for b in batches:
+            most.add(max(b.nbytes // max(1, b.num_rows), b.nbytes if b.num_rows == 1 else 0))
+            yield b
+
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, *a, **b: plain(self, lambda batches: seen(f(seen(batches))), schema, *a, **b))
+    x = np.random.RandomState(3).standard_normal((16_000, 24)).astype(np.float32)
+    x[1::5] = x[0::5]  # pairs of equal vectors
+    x[9000:9020] = x[7]  # and one that is met often: ties go to the smaller id
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "id long, v array<float>").repartition(5)
+    for kind in ("float", "double"):
+        given = df.withColumn("v", df.v.cast(f"array<{kind}>"))
+        got = {}
+        for r in neighbours.search(given, given.filter("id in (0, 7, 999, 9001, 15999)"), "id", "v").collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        hits = 0
+        for q in (0, 7, 999, 9001, 15999):
+            want = exact(ids, x.astype(float), x[q].astype(float), q)
+            hits += len({(v, s) for _, v, s in got[q]} & set(want))
+            assert [r for r, _, _ in sorted(got[q])] == list(range(1, 11))
+        assert hits >= 48 and [v for _, v, _ in sorted(got[7])] == list(range(9000, 9010))
+    assert 0 < most.value <= 2 << 20
+
+
+def test_blocks_of_extreme_vectors():
+    """Overflowing, tiny and far-off vectors lose nothing to rounding."""
+    rng = np.random.RandomState(4)
+    near, k = rng.standard_normal((3000, 8)), 10
+    for scale, shift in ((1.0, 0.0), (1e-25, 0.0), (1e30, 0.0), (1.0, 1e5), (1e-200, 0.0), (1e160, 0.0)):
+        for kind in ("<f4", "<f8"):
+            with np.errstate(over="ignore", under="ignore"):
+                x = (near * scale + shift).astype(kind)
+            if not np.isfinite(x).all() or not x.any():
+                continue
+            ids, cell = np.arange(len(x)), neighbours.Cell(8)
+            cell.add(ids, x)
+            with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+                found = cell.search(ids[:20], x[:20].astype("<f8"), k).to_pydict()
+                d = [np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1)) for q in range(20)]
+            assert len(found["query_id"]) == 20 * k
+            hits = sum(s <= np.sort(np.delete(d[q], q))[k - 1] for q, s in zip(found["query_id"], found["score"], strict=True))
+            assert hits >= 0.95 * 20 * k, (scale, shift, kind, hits)
