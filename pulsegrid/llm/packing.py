@@ -27,6 +27,8 @@ CAPACITY = 1024
 NEARLY_FULL = 0.99
 FAN_IN = 8
 TASK_ITEMS = 100_000
+#: Bytes of text encoded at once: what a worker holds for that stays with it beyond its task.
+SLICE = 512 << 10
 #: A round that joins fewer bins than this share is followed by one that brings emptiest and fullest together.
 LEAST_GAIN = 0.01
 
@@ -114,6 +116,12 @@ def members_of(doc_ids: pa.Array, ids: np.ndarray, counts: np.ndarray, capacity:
     return pa.StructArray.from_arrays([doc_ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], fields=list(MEMBER))
 
 
+def _members(batches, encoder: tokens.Encoder, end: int | None, capacity: int) -> Iterator[pa.StructArray]:
+    """Members of all documents, those of a slice of texts at once."""
+    for batch in slices(batches, "text", SLICE):
+        yield members_of(batch.column("id"), *encoder.documents(batch.column("text"), end), capacity)
+
+
 def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACITY, end: int | None = 2, tokenizer: str | None = None,
          nearly_full: float = NEARLY_FULL, task_items: int = TASK_ITEMS) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
@@ -130,8 +138,7 @@ def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = CAPACI
             length = _lengths(members)
             yield from _bins(length, np.ones_like(length), members, capacity, least, number)
 
-        for batch in slices(batches, "text", 2 << 20):
-            found = members_of(batch.column("id"), *encoder.documents(batch.column("text"), end), capacity)
+        for found in _members(batches, encoder, end, capacity):
             is_full = _lengths(found) == capacity
             full, others = found.filter(pa.array(is_full)), found.filter(pa.array(~is_full))
             yield from _batches(_lengths(full), np.ones(len(full), np.int64), full, least, number)
@@ -187,5 +194,7 @@ def _merge(open_bins: DataFrame, tasks: int, round_no: int, capacity: int, least
             members.append(pa.StructArray.from_arrays(lists.flatten().flatten(), fields=list(MEMBER)))
         if sum(map(len, fill)):
             yield from _bins(np.concatenate(fill), np.concatenate(sizes), pa.concat_arrays(members), capacity, least, number)
+        del fill, sizes, members
+        give_back()
 
     return open_bins.repartition(tasks, F.xxhash64("sequence_id", F.lit(round_no))).select("fill", "members").mapInArrow(again, BINS)

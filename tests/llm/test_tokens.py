@@ -210,3 +210,17 @@ def test_bins_keep_every_member():
         own = list(dict.fromkeys(item[m["doc_id"]] for m in b["members"]))
         assert b["fill"] == fill[own].sum() <= 64 and len(b["members"]) == sizes[own].sum() and b["closed"] == (b["fill"] >= 60)
     assert sorted(m["doc_id"] for b in out for m in b["members"]) == list(range(int(sizes.sum())))
+
+
+def test_texts_are_packed_in_small_slices(encoder, monkeypatch):
+    """Pipeline: a worker outlives its task, so what it holds to encode a slice counts against the executor."""
+    texts = [" ".join(f"w{(k * j) % 97}" for j in range(300)) for k in range(40)] + [None, "", "a b"]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    assert packing.SLICE <= 512 << 10
+
+    def made(limit):
+        monkeypatch.setattr(packing, "SLICE", limit)
+        return [x.to_pylist() for x in packing._members([batch], encoder, 2, 64)]
+
+    whole, cut = made(1 << 20), made(3000)
+    assert len(whole) == 1 < len(cut) and whole[0] == [m for x in cut for m in x]
